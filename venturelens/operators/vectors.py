@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from venturelens.functions.text import token_bucket, word_tokens
+from venturelens.functions.text import hash_bucket, raw_tokens, token_hash
 from venturelens.schema import DEFAULT_K, ENCODER_DIM
 
 # ---------------------------------------------------------------------------
@@ -51,18 +51,22 @@ def embed_text(df: DataFrame, text_col: str, id_col: str, out_col: str = "embedd
     if encoder is not None:
         return df.select(F.col(id_col), pandas_encoder(encoder)(F.col(text_col)).alias(out_col))
     toks = df.select(F.col(id_col).alias("_id"),
-                     F.explode_outer(word_tokens(text_col)).alias("_t"))
-    buckets = toks.select("_id", token_bucket(F.col("_t"), dim).alias("_b"))
+                     F.explode_outer(raw_tokens(text_col)).alias("_t"))
+    # md5 in its own projection: it is computed once per token even though the
+    # bucket expression reads two of its digits.
+    hashed = toks.select("_id", token_hash(F.col("_t")).alias("_h"))
+    buckets = hashed.select("_id", hash_bucket(F.col("_h"), dim).alias("_b"))
     counts = buckets.groupBy("_id", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    present = F.col("_b").isNotNull()
     per_doc = counts.groupBy("_id").agg(
-        F.map_from_entries(F.filter(F.collect_list(F.struct("_b", "_n")),
-                                    lambda e: e["_b"].isNotNull())).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.col("_m")[i], F.lit(0)).cast("double"))
-    with_counts = per_doc.select("_id", dense.alias("_v"))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x * x))
-    vec = F.transform("_v", lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))
-    return with_counts.select(F.col("_id").alias(id_col), vec.alias(out_col))
+        F.map_from_entries(F.collect_list(F.when(present, F.struct("_b", "_n")))).alias("_m"),
+        F.sum(F.when(present, F.col("_n") * F.col("_n"))).alias("_ss"))
+    norm = F.sqrt(F.col("_ss").cast("double"))
+    vec = F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda i: F.when(F.col("_ss") > 0, F.coalesce(F.col("_m")[i], F.lit(0)).cast("double") / norm)
+        .otherwise(F.lit(0.0)).cast("float"))
+    return per_doc.select(F.col("_id").alias(id_col), vec.alias(out_col))
 
 
 def pandas_encoder(encode: Callable[[pd.Series], list]):

@@ -91,11 +91,11 @@ def encoder_ctes(name: str, src: str, id_col: str, text_col: str, dim: int = ENC
     """Dense (vid, b, v) rows of the default text encoder for ``src``."""
     return f"""{name}_tok AS (
   SELECT {id_col} AS vid,
-         unnest(list_filter(regexp_split_to_array(lower(coalesce({text_col}, '')), {q(TOKEN_SPLIT_PATTERN)}),
+         unnest(list_filter(regexp_split_to_array(coalesce({text_col}, ''), {q(TOKEN_SPLIT_PATTERN)}),
                             lambda t: t <> '')) AS t
   FROM {src}),
 {name}_cnt AS (
-  SELECT vid, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % {dim} AS b, count(*) AS n
+  SELECT vid, CAST(('0x' || substr(md5(lower(t)), 1, 8)) AS BIGINT) % {dim} AS b, count(*) AS n
   FROM {name}_tok GROUP BY vid, b),
 {name}_norm AS (SELECT vid, sqrt(sum(n * n)) AS norm FROM {name}_cnt GROUP BY vid),
 {name}_sparse AS (

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from venturelens.functions.text import jaccard_percent, shared_word_count, word_set
 from venturelens.schema import (
@@ -60,7 +61,7 @@ def score_pairs(pairs: DataFrame, scorer: Callable[[pd.Series], list] | None = N
         raw = pairs.withColumn("raw", default_verdict_json(F.col(idea_col), F.col(match_col), threshold))
     else:
         prompted = build_prompts(pairs, idea_col, match_col, company_col)
-        schema = prompted.schema.add("raw", "string")
+        schema = T.StructType(prompted.schema.fields + [T.StructField("raw", T.StringType())])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:

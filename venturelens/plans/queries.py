@@ -705,7 +705,7 @@ def _validation_features(spark, sf, model_dir):
     loaded = M.load_model(spark, model_dir)
     funded = funded_only(training_catalog(spark, sf))
     _, valid = M.split_train_validation(funded)
-    return loaded, loaded.features.transform(valid)
+    return loaded, loaded.features.transform(valid.withColumn("label", F.log1p("funding")))
 
 
 @register("fit_ensemble")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from venturelens.functions.cleaning import inverse_target
 from venturelens.operators.guards import funded_only, min_rows_guard
+from venturelens.operators.quantiles import exact_quantiles
 from venturelens.operators.vectors import embed_text
 from venturelens.schema import (
     BASELINE_CONFIDENCE, ENCODER_DIM, ENSEMBLE_MEMBERS, ERROR_CONFIDENCE, FEATURE_MISSING_TOKEN,
@@ -228,7 +229,8 @@ def rmse(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
 def median_abs_error(df: DataFrame, y: str = "y", pred: str = "pred", log_scale: bool = True) -> DataFrame:
     """Median absolute error in dollars (exact median)."""
     back = (lambda c: F.expm1(F.col(c))) if log_scale else (lambda c: F.col(c))
-    return df.agg(F.percentile(F.abs(back(y) - back(pred)), 0.5).alias("median_abs_error"))
+    err = df.select(F.abs(back(y) - back(pred)).alias("_e"))
+    return exact_quantiles(err, "_e", [0.5]).select(F.col("q_0").alias("median_abs_error"))
 
 
 def interval_coverage(df: DataFrame, y: str, lower: str, upper: str, log_scale: bool = True) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from venturelens.operators.quantiles import exact_quantiles
+
 # ---------------------------------------------------------------------------
 # A4-A6 categories
 # ---------------------------------------------------------------------------
@@ -68,7 +70,8 @@ def describe_all(df: DataFrame, cols: list[str] | None = None, digits: int = 6)
     """Numeric count/mean/std/min/quartiles/max; text count/unique/top/freq.
 
     Long form (column, stat, num_value, text_value).  Quartiles are exact
-    (linear interpolation), ``top`` breaks ties by the smaller value.
+    (linear interpolation, skew-safe ``exact_quantiles``), ``top`` breaks ties
+    by the smaller value.
     """
     cols = cols or df.columns
     nums = [c for c in cols if c in _numeric(df)]
@@ -80,26 +83,38 @@ def describe_all(df: DataFrame, cols: list[str] | None = None, digits: int = 6)
             x = F.col(c).cast("double")
             aggs += [F.count(x).alias(f"count_{i}"), F.avg(x).alias(f"mean_{i}"),
                      F.stddev_samp(x).alias(f"std_{i}"), F.min(x).alias(f"min_{i}"),
-                     F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{i}"),
                      F.max(x).alias(f"max_{i}")]
         row = df.agg(*aggs)
         entries = []
         for i, c in enumerate(nums):
             stats = [("count", F.col(f"count_{i}").cast("double")), ("mean", F.col(f"mean_{i}")),
-                     ("std", F.col(f"std_{i}")), ("min", F.col(f"min_{i}")),
-                     ("25%", F.col(f"q_{i}")[0]), ("50%", F.col(f"q_{i}")[1]),
-                     ("75%", F.col(f"q_{i}")[2]), ("max", F.col(f"max_{i}"))]
+                     ("std", F.col(f"std_{i}")), ("min", F.col(f"min_{i}")), ("max", F.col(f"max_{i}"))]
             entries += [F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"),
                                  F.round(v, digits).alias("num_value"),
                                  F.lit(None).cast("string").alias("text_value")) for s, v in stats]
         parts.append(row.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
-    for c in texts:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+        # all numeric columns stacked (column, value): one quantile job for every column
+        stacked = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in nums]))
+            .alias("e")).select("e.*")
+        qs = exact_quantiles(stacked, "v", [0.25, 0.5, 0.75], ["column"])
+        qe = [F.struct(F.col("column"), F.lit(name).alias("stat"),
+                       F.round(F.col(f"q_{j}"), digits).alias("num_value"),
+                       F.lit(None).cast("string").alias("text_value"))
+              for j, name in enumerate(("25%", "50%", "75%"))]
+        parts.append(qs.select(F.explode(F.array(*qe)).alias("e")).select("e.*"))
+    if texts:
+        # all text columns stacked (column, value): one shuffle for every column
+        stacked = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in texts]))
+            .alias("e")).select("e.*").where(F.col("value").isNotNull())
+        counts = stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
         # top: the most frequent value, ties to the smaller value
-        s = counts.agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
-                       F.min_by(F.col(c), F.struct(-F.col("n"), F.col(c))).alias("top"),
-                       F.max("n").alias("freq"))
-        entries = [F.struct(F.lit(c).alias("column"), F.lit(st).alias("stat"), v.alias("num_value"),
+        s = counts.groupBy("column").agg(
+            F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
+            F.min_by(F.col("value"), F.struct(-F.col("n"), F.col("value"))).alias("top"),
+            F.max("n").alias("freq"))
+        entries = [F.struct(F.col("column"), F.lit(st).alias("stat"), v.alias("num_value"),
                             t.alias("text_value"))
                    for st, v, t in [("count", F.col("count").cast("double"), F.lit(None).cast("string")),
                                     ("unique", F.col("unique").cast("double"), F.lit(None).cast("string")),
@@ -129,14 +144,16 @@ def head(df: DataFrame, order_by: str = "id", n: int = 5) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def _stats_row(df: DataFrame, col: str) -> dict:
+def _stats_row(df: DataFrame, col: str, with_iqr: bool = True) -> dict:
     x = F.col(col).cast("double")
     r = df.where(x.isNotNull()).agg(
         F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"),
-        F.stddev_samp(x).alias("std"),
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()
-    return {"n": r["n"], "lo": r["lo"], "hi": r["hi"], "std": r["std"],
-            "iqr": (r["q"][1] - r["q"][0]) if r["q"] else None}
+        F.stddev_samp(x).alias("std")).first()
+    out = {"n": r["n"], "lo": r["lo"], "hi": r["hi"], "std": r["std"], "iqr": None}
+    if with_iqr and r["n"]:
+        q = exact_quantiles(df, col, [0.25, 0.75]).first()
+        out["iqr"] = q["q_1"] - q["q_0"]
+    return out
 
 
 def auto_bins(n: int, lo: float, hi: float, iqr: float) -> int:
@@ -173,7 +190,7 @@ def kde_curve(df: DataFrame, col: str, points: int = 200, cut: float = 3.0) -> D
     One aggregate pass: each grid point is its own ``sum(exp(..))`` aggregate,
     so no row is replicated per grid point.
     """
-    s = _stats_row(df, col)
+    s = _stats_row(df, col, with_iqr=False)
     n, std = s["n"], s["std"]
     if not n or not std or std <= 0:
         return df.sparkSession.createDataFrame([], "point int, x double, density double")
@@ -195,15 +212,13 @@ def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, whiskers (farthest points within 1.5 IQR) and outliers per group."""
     x = F.col(value).cast("double")
     base = df.where(x.isNotNull()).select(F.col(by).alias("grp"), x.alias("v"))
-    q = base.groupBy("grp").agg(
-        F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-        F.count(F.lit(1)).alias("n"))
-    q = q.select("grp", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                 F.col("q")[2].alias("q3"))
-    fences = q.select("grp", "n", "q1", "median", "q3",
+    q = exact_quantiles(base, "v", [0.25, 0.5, 0.75], ["grp"])
+    q = q.select("grp", "n", F.col("q_0").alias("q1"), F.col("q_1").alias("median"),
+                 F.col("q_2").alias("q3"))
+    fences = q.select(F.col("grp").alias("_g"), "n", "q1", "median", "q3",
                       (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo_fence"),
                       (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi_fence"))
-    j = base.join(fences, base["grp"].eqNullSafe(fences["grp"])).drop(fences["grp"])
+    j = base.join(fences, F.col("grp").eqNullSafe(F.col("_g"))).drop("_g")
     out = j.groupBy("grp", "n", "q1", "median", "q3", "lo_fence", "hi_fence").agg(
         F.min(F.when(F.col("v") >= F.col("lo_fence"), F.col("v"))).alias("whisker_lo"),
         F.max(F.when(F.col("v") <= F.col("hi_fence"), F.col("v"))).alias("whisker_hi"),

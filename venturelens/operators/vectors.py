@@ -187,9 +187,11 @@ def top_k_similar(ideas: DataFrame, catalog: DataFrame, k: int = DEFAULT_K,
     q_bytes = 0 if local.empty else int(sum(len(v) for v in local["embedding"]) * 8)
     if len(local) <= probe_rows and q_bytes <= broadcast_budget_bytes:
         cands = _broadcast_scan(spark, local, cat, k, exclude_self)
-    else:
-        cands = _block_grid(q, cat, k, exclude_self, idea_block_rows, catalog_block_rows,
-                            min_catalog_blocks)
+        # at most len(local) x k rows (checked above): safe to broadcast into the
+        # catalog lookup join, so the catalog is not shuffled for it either
+        return F.broadcast(_final_topk(cands, k))
+    cands = _block_grid(q, cat, k, exclude_self, idea_block_rows, catalog_block_rows,
+                        min_catalog_blocks)
     return _final_topk(cands, k)
 
 

@@ -207,6 +207,15 @@ def q_log_target(spark, sf):
                     F.round(C.inverse_target(lg, "log1p"), 4).alias("restored"))
 
 
+@register("inverse_target", PREFIX + """
+SELECT id, round(exp(ln(1 + funding)) - 1, 4) AS funding_back, round(ln(1 + funding), 6) AS funding_log
+FROM clean WHERE funding > 0""")
+def q_inverse_target(spark, sf):
+    c = funded_only(cleaned_catalog(spark, sf)).select("id", C.log_target("funding").alias("lg"))
+    return c.select("id", F.round(C.inverse_target("lg", "log1p"), 4).alias("funding_back"),
+                    F.round(C.inverse_target("lg", None), 6).alias("funding_log"))
+
+
 MEMBER_STATS_SQL = """member_predictions AS ({mp}),
 per_id AS (SELECT id, max(y) AS y, avg(pred) AS mean_pred, stddev_pop(pred) AS std_pred
            FROM member_predictions GROUP BY id)""".format(mp=MEMBER_PREDICTIONS_SQL.strip())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from venturelens.schema import TOKEN_SPLIT_PATTERN
+from venturelens.schema import TOKEN_PATTERN, TOKEN_SPLIT_PATTERN
 
 
 def _c(col: Column | str) -> Column:
@@ -14,8 +14,7 @@ def _c(col: Column | str) -> Column:
 
 def raw_tokens(col: Column | str) -> Column:
     """Maximal ASCII letter/digit runs of the whole text (case kept)."""
-    parts = F.split(F.coalesce(_c(col), F.lit("")), TOKEN_SPLIT_PATTERN)
-    return F.array_remove(parts, "")
+    return F.regexp_extract_all(F.coalesce(_c(col), F.lit("")), F.lit(TOKEN_PATTERN), 0)
 
 
 def word_tokens(col: Column | str) -> Column:

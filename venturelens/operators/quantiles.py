@@ -12,8 +12,11 @@ This operator instead:
 3. turns those counts into per-partition rank offsets (a window over the small
    table) and computes, for every group and probability, the two row ids that
    hold ranks floor((n-1)p) and ceil((n-1)p);
-4. fetches just those rows with a join on the row id (broadcast when the target
-   list is small, a checked bound) and interpolates.
+4. fetches just those rows with a join on the row id (broadcast when the
+   target list is small, a checked bound) and interpolates.
+
+The numbered rows are checkpointed (reliable checkpoint in the shared folder)
+before they are used twice.
 
 The result equals ``percentile`` / DuckDB ``quantile_cont``.
 """
@@ -23,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from venturelens.session import ensure_checkpoint_dir
+
 BROADCAST_TARGET_ROWS = 2_000_000
 
 
@@ -36,6 +41,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], group_cols: l
          .repartitionByRange(nparts, *g, "_v").sortWithinPartitions(*g, "_v")
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
+    # The row ids are used twice (rank statistics, value lookup).  A reliable
+    # checkpoint in the shared folder fixes them once: a re-run or a lost
+    # executor cannot re-sample the range bounds and renumber rows.
+    ensure_checkpoint_dir(spark)
+    s = s.checkpoint(eager=True)
     stats = s.groupBy("_pid", *g).agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_c"))
     by_group = Window.partitionBy(*g) if g else Window.partitionBy()
     before = by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

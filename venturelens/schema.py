@@ -56,6 +56,7 @@ NUMBER_PATTERN = r"^ *[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)? *$"
 INTEGER_PATTERN = r"^ *[+-]?[0-9]+ *$"
 # Default text encoder: ASCII word runs, md5 bucket, L2 normalised.
 TOKEN_SPLIT_PATTERN = "[^A-Za-z0-9]+"
+TOKEN_PATTERN = "[A-Za-z0-9]+"
 ENCODER_DIM = 64
 # ---------------------------------------------------------------------------
 

@@ -71,3 +71,12 @@ def test_encoder_unit_length_and_empty(spark):
     assert abs(np.linalg.norm(v[1]) - 1.0) < 1e-6
     assert not v[2].any() and not v[3].any()
     assert np.array_equal(v[1], v[4])  # case-insensitive words
+
+
+def test_row_encoder_equals_sql_encoder(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    a = embed_text(docs, "text", "doc_id", method="sql")
+    b = embed_text(docs, "text", "doc_id", method="rows").withColumnRenamed("embedding", "e2")
+    j = a.join(b, "doc_id")
+    assert j.count() == docs.count()
+    assert j.where(F.col("embedding") != F.col("e2")).count() == 0

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from venturelens.functions.cleaning import inverse_target
 from venturelens.operators.guards import funded_only, min_rows_guard
 from venturelens.operators.quantiles import exact_quantiles
-from venturelens.operators.vectors import embed_text
+from venturelens.operators.vectors import with_embedding
 from venturelens.schema import (
     BASELINE_CONFIDENCE, ENCODER_DIM, ENSEMBLE_MEMBERS, ERROR_CONFIDENCE, FEATURE_MISSING_TOKEN,
     FEATURE_ORDER, MEMBER_SEED_BASE, MIN_FUNDED_ROWS, NO_MODEL_ERROR, SPLIT_SEED,
@@ -91,8 +91,7 @@ class FundingFeaturesModel:
     encoder: object = None
 
     def transform(self, df: DataFrame, id_col: str = "id", out_col: str = "features") -> DataFrame:
-        vec = embed_text(df, "description", id_col, dim=self.dim, encoder=self.encoder)
-        x = df.join(vec, id_col, "left")
+        x = with_embedding(df, "description", "embedding", self.dim, self.encoder)
         x = frequency_encode(x, self.city_counts, "city", "city_count")
         x = frequency_encode(x, self.industry_counts, "industries", "industry_count")
         zeros = F.array_repeat(F.lit(0.0).cast("float"), self.dim)
@@ -349,9 +348,7 @@ def train_funding_model(catalog: DataFrame, model_dir: str, params: TrainParams
 def train_legacy_model(catalog: DataFrame, model_dir: str, num_trees: int = 20, max_depth: int = 8,
                        seed: int = MEMBER_SEED_BASE) -> None:
     """Fallback model on embedding + year only (the older two-part feature vector)."""
-    funded = funded_only(catalog)
-    vec = embed_text(funded, "description", "id")
-    x = funded.join(vec, "id").select(
+    x = with_embedding(funded_only(catalog), "description").select(
         F.log1p("funding").alias("label"),
         array_to_vector(F.concat(F.col("embedding").cast("array<double>"),
                                  F.array(F.col("starting_year").cast("double")))).alias("features"))
@@ -387,8 +384,7 @@ def predict_funding(ideas: DataFrame, model_dir: str, industry_col: str | None =
                              lower.alias("lower"), upper.alias("upper"))
     if loaded.kind == "legacy":
         transform = loaded.meta.get("target_transform")
-        vec = embed_text(inputs, "description", "idea_id", encoder=encoder)
-        x = inputs.join(vec, "idea_id", "left").withColumn(
+        x = with_embedding(inputs, "description", "embedding", encoder=encoder).withColumn(
             "features", array_to_vector(F.concat(
                 F.coalesce(F.col("embedding"), F.array_repeat(F.lit(0.0).cast("float"), ENCODER_DIM))
                 .cast("array<double>"), F.array(F.col("starting_year")))))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from venturelens.functions.text import hash_bucket, raw_tokens, token_hash
-from venturelens.schema import DEFAULT_K, ENCODER_DIM
+from venturelens.schema import DEFAULT_K, ENCODER_DIM, TOKEN_PATTERN
 
 # ---------------------------------------------------------------------------
 # V1 embed_text
@@ -39,17 +39,25 @@ from venturelens.schema import DEFAULT_K, ENCODER_DIM
 
 def embed_text(df: DataFrame, text_col: str, id_col: str, out_col: str = "embedding",
                dim: int = ENCODER_DIM,
-               encoder: Callable[[pd.Series], list] | None = None) -> DataFrame:
-    """Text -> fixed-length float vector, one row per ``id_col``.
-
-    Default encoder (pure Spark SQL): count the md5 bucket of every word of the
-    whole text, then L2-normalise; a text without words gives the zero vector.
-    Map-side partial aggregation keeps at most ``dim`` rows per document in the
-    shuffle.  ``encoder`` plugs in any batch function (for example a neural
-    sentence encoder) through an Arrow-batched iterator pandas UDF.
+               encoder: Callable[[pd.Series], list] | None = None,
+               method: str = "rows") -> DataFrame:
+    """Text -> fixed-length float vector, as (``id_col``, ``out_col``).
+
+    Default encoder: count the md5 bucket of every word of the whole text, then
+    L2-normalise; a text without words gives the zero vector.
+
+    * ``method="rows"`` (default): row-local, Arrow-batched - no shuffle and no
+      join back to the rows; measured faster than the SQL form at sf0.1.
+    * ``method="sql"``: the same definition in pure Spark SQL (explode, hash,
+      partial aggregation per (document, bucket)); it mirrors the DuckDB oracle
+      statement and needs no Python worker.
+
+    ``encoder`` plugs in any batch function (for example a neural sentence
+    encoder) through an Arrow-batched iterator pandas UDF.
     """
-    if encoder is not None:
-        return df.select(F.col(id_col), pandas_encoder(encoder)(F.col(text_col)).alias(out_col))
+    if encoder is not None or method == "rows":
+        return with_embedding(df.select(id_col, text_col), text_col, out_col, dim, encoder) \
+            .select(id_col, out_col)
     toks = df.select(F.col(id_col).alias("_id"),
                      F.explode_outer(raw_tokens(text_col)).alias("_t"))
     # md5 in its own projection: it is computed once per token even though the
@@ -69,6 +77,56 @@ def embed_text(df: DataFrame, text_col: str, id_col: str, out_col: str = "embedd
     return per_doc.select(F.col("_id").alias(id_col), vec.alias(out_col))
 
 
+def _hashed_words_batches(dim: int):
+    """Arrow-batched, row-local form of the default encoder (no shuffle, no join).
+
+    Same definition as the SQL form: ASCII word runs, md5 of the lower-cased
+    word, first 32 bits modulo ``dim``, counts divided by their L2 norm in
+    double, then rounded to float.  A per-task cache maps repeated words to
+    their bucket, so md5 runs once per distinct word per task.
+    """
+    import hashlib
+    import re
+
+    word = re.compile(TOKEN_PATTERN)
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache: dict[str, int] = {}
+        zero = np.zeros(dim, dtype=np.float32)
+        for texts in batches:
+            out = []
+            for text in texts:
+                if not isinstance(text, str) or not text:
+                    out.append(zero)
+                    continue
+                idx = []
+                for w in word.findall(text):
+                    w = w.lower()
+                    b = cache.get(w)
+                    if b is None:
+                        if len(cache) > 2_000_000:
+                            cache.clear()
+                        b = int(hashlib.md5(w.encode("ascii")).hexdigest()[:8], 16) % dim
+                        cache[w] = b
+                    idx.append(b)
+                if not idx:
+                    out.append(zero)
+                    continue
+                counts = np.bincount(np.asarray(idx, dtype=np.int64), minlength=dim).astype(np.float64)
+                out.append((counts / np.sqrt(float(np.dot(counts, counts)))).astype(np.float32))
+            yield pd.Series(out)
+
+    return _encode
+
+
+def with_embedding(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = ENCODER_DIM,
+                   encoder: Callable[[pd.Series], list] | None = None) -> DataFrame:
+    """Add the vector of ``text_col`` as a column, row by row (map only)."""
+    fn = pandas_encoder(encoder) if encoder is not None else _hashed_words_batches(dim)
+    return df.withColumn(out_col, fn(F.col(text_col)))
+
+
 def pandas_encoder(encode: Callable[[pd.Series], list]):
     """Wrap a batch encoder ``Series[str] -> list[vector]`` as an iterator UDF.
 

@@ -22,11 +22,12 @@ def idea_vectors(ideas: DataFrame, encoder=None) -> DataFrame:
 
 
 def find_neighbours(ideas: DataFrame, catalog: DataFrame, k: int = DEFAULT_K,
-                    encoder=None, cat_vectors: DataFrame | None = None) -> DataFrame:
+                    encoder=None, cat_vectors: DataFrame | None = None,
+                    cols: tuple[str, ...] = ("company", "industries", "funding")) -> DataFrame:
     """V1 -> V3 -> J1: ranked neighbours with their catalog columns."""
     cv = cat_vectors if cat_vectors is not None else catalog_vectors(catalog, encoder)
     nb = top_k_similar(idea_vectors(ideas, encoder), cv, k=k)
-    return lookup_in_rank_order(nb, catalog, ["company", "industries", "funding"])
+    return lookup_in_rank_order(nb, catalog, list(cols))
 
 
 def evaluate_ideas(ideas: DataFrame, catalog: DataFrame, k: int = DEFAULT_K,
@@ -61,9 +62,8 @@ def copycat_report(ideas: DataFrame, catalog: DataFrame, k: int = DEFAULT_K, sco
     from venturelens.operators.pairs import score_pairs
 
     valid, _ = split_requests(ideas, bounds)
-    rows = find_neighbours(valid, catalog, k, encoder, cat_vectors)
-    top = (rows.where(F.col("rank") == 1).select("idea_id", "id", "company")
-           .join(catalog.select("id", "description"), "id")
+    rows = find_neighbours(valid, catalog, k, encoder, cat_vectors, ("company", "description"))
+    top = (rows.where(F.col("rank") == 1).select("idea_id", "id", "company", "description")
            .join(valid.select("idea_id", "user_idea"), "idea_id"))
     scored = score_pairs(top, scorer, threshold, "user_idea", "description", "company")
     return scored.select("idea_id", F.col("company").alias("top_match_name"), "score", "is_copy",

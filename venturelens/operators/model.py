@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from venturelens.functions.cleaning import inverse_target
 from venturelens.operators.guards import funded_only, min_rows_guard
+from venturelens.operators.joins import broadcast_if_small
 from venturelens.operators.quantiles import exact_quantiles
 from venturelens.operators.vectors import with_embedding
 from venturelens.schema import (
@@ -48,11 +49,13 @@ def frequency_encode(df: DataFrame, table: DataFrame, col: str, out_col: str,
                      missing: str = FEATURE_MISSING_TOKEN) -> DataFrame:
     """Map a category to its training count; unseen -> 0.
 
-    A left join: AQE broadcasts the count table when it is small and falls
-    back to a shuffle join when the category set is large.
+    A left join; the count table is broadcast when its row count is within a
+    checked bound (so a hot category is not sent to one task), else a
+    shuffle join with AQE skew handling.
     """
     key = F.coalesce(F.col(col), F.lit(missing))
-    t = table.select(F.col("value").alias(f"_{out_col}_v"), F.col("n").alias(f"_{out_col}_n"))
+    t = broadcast_if_small(table.select(F.col("value").alias(f"_{out_col}_v"),
+                                        F.col("n").alias(f"_{out_col}_n")))
     j = df.join(t, key == F.col(f"_{out_col}_v"), "left")
     return j.withColumn(out_col, F.coalesce(F.col(f"_{out_col}_n"), F.lit(0)).cast("double")) \
         .drop(f"_{out_col}_v", f"_{out_col}_n")

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from venturelens.operators.joins import broadcast_if_small
 from venturelens.operators.quantiles import exact_quantiles
+from venturelens.session import ensure_checkpoint_dir
 
 # ---------------------------------------------------------------------------
 # A4-A6 categories
@@ -221,6 +223,10 @@ def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     fences = q.select(F.col("grp").alias("_g"), "n", "q1", "median", "q3",
                       (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo_fence"),
                       (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi_fence"))
+    # one fence row per group, fixed once (checkpoint) then broadcast behind a row
+    # check, so a hot group is not sent to one task by the join
+    ensure_checkpoint_dir(df.sparkSession)
+    fences = broadcast_if_small(fences.checkpoint(eager=True))
     j = base.join(fences, F.col("grp").eqNullSafe(F.col("_g"))).drop("_g")
     out = j.groupBy("grp", "n", "q1", "median", "q3", "lo_fence", "hi_fence").agg(
         F.min(F.when(F.col("v") >= F.col("lo_fence"), F.col("v"))).alias("whisker_lo"),
@@ -271,7 +277,7 @@ def bar_of_top_rows(df: DataFrame, value: str, group: str, n: int = 10,
 def count_top_categories(df: DataFrame, col: str, n: int = 10) -> DataFrame:
     """P10: counts for the ``n`` most common values, joined back with a semi join."""
     top = top_categories(df, col, n).select(col, "rank")
-    kept = df.join(top.select(col), col, "left_semi")
+    kept = df.join(F.broadcast(top.select(col)), col, "left_semi")  # at most n rows
     counts = kept.groupBy(col).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     return counts.join(top, col)
 

@@ -25,12 +25,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from venturelens.functions.text import hash_bucket, raw_tokens, token_hash
-from venturelens.schema import DEFAULT_K, ENCODER_DIM, TOKEN_PATTERN
+from venturelens.schema import DEFAULT_K, ENCODER_DIM, TOKEN_SPLIT_PATTERN
 
 # ---------------------------------------------------------------------------
 # V1 embed_text
@@ -82,40 +84,45 @@ def _hashed_words_batches(dim: int):
 
     Same definition as the SQL form: ASCII word runs, md5 of the lower-cased
     word, first 32 bits modulo ``dim``, counts divided by their L2 norm in
-    double, then rounded to float.  A per-task cache maps repeated words to
-    their bucket, so md5 runs once per distinct word per task.
+    double, then rounded to float.
+
+    Tokenising, distinct-word lookup and counting run in Arrow / NumPy kernels
+    over the whole batch; Python only hashes each distinct word once per task
+    (a per-task cache), so the cost does not grow with words per document.
     """
     import hashlib
-    import re
-
-    word = re.compile(TOKEN_PATTERN)
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def _encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict[str, int] = {}
-        zero = np.zeros(dim, dtype=np.float32)
         for texts in batches:
-            out = []
-            for text in texts:
-                if not isinstance(text, str) or not text:
-                    out.append(zero)
-                    continue
-                idx = []
-                for w in word.findall(text):
-                    w = w.lower()
-                    b = cache.get(w)
-                    if b is None:
-                        if len(cache) > 2_000_000:
-                            cache.clear()
-                        b = int(hashlib.md5(w.encode("ascii")).hexdigest()[:8], 16) % dim
-                        cache[w] = b
-                    idx.append(b)
-                if not idx:
-                    out.append(zero)
-                    continue
-                counts = np.bincount(np.asarray(idx, dtype=np.int64), minlength=dim).astype(np.float64)
-                out.append((counts / np.sqrt(float(np.dot(counts, counts)))).astype(np.float32))
-            yield pd.Series(out)
+            n = len(texts)
+            words = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")),
+                                           TOKEN_SPLIT_PATTERN)
+            per_row = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+            coded = pc.dictionary_encode(pc.list_flatten(words))
+            if isinstance(coded, pa.ChunkedArray):
+                coded = coded.combine_chunks()
+            vocab = coded.dictionary.to_pylist()
+            if len(cache) > 2_000_000:
+                cache.clear()
+            bucket = np.empty(len(vocab), dtype=np.int64)
+            for j, w in enumerate(vocab):
+                b = cache.get(w)
+                if b is None:
+                    b = int(hashlib.md5(w.encode("ascii")).hexdigest()[:8], 16) % dim if w else -1
+                    cache[w] = b
+                bucket[j] = b
+            tok_bucket = bucket[coded.indices.to_numpy(zero_copy_only=False)]
+            tok_row = np.repeat(np.arange(n, dtype=np.int64), per_row)
+            keep = tok_bucket >= 0
+            counts = np.bincount(tok_row[keep] * dim + tok_bucket[keep],
+                                 minlength=n * dim).reshape(n, dim).astype(np.float64)
+            norm = np.sqrt(np.einsum("ij,ij->i", counts, counts))
+            vec = np.divide(counts, norm[:, None], out=np.zeros_like(counts),
+                            where=norm[:, None] > 0).astype(np.float32)
+            offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
+            yield pa.ListArray.from_arrays(offsets, pa.array(vec.ravel()))
 
     return _encode
 

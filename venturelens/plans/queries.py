@@ -362,7 +362,10 @@ SELECT vid AS doc_id, CAST(b AS INTEGER) AS bucket, round(v, 6) AS weight FROM d
 def q_embed_text(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     v = embed_text(docs, "text", "doc_id")
-    return (v.select("doc_id", F.posexplode("embedding").alias("bucket", "w"))
+    # posexplode_outer: the vector always has ``dim`` entries, and the plain form
+    # makes the optimizer infer size(embedding) > 0 below the projection, which
+    # would run the encoder twice.
+    return (v.select("doc_id", F.posexplode_outer("embedding").alias("bucket", "w"))
             .where(F.col("w") != 0)
             .select("doc_id", F.col("bucket").cast("int").alias("bucket"),
                     F.round(F.col("w").cast("double"), 6).alias("weight")))

@@ -80,3 +80,27 @@ def test_row_encoder_equals_sql_encoder(spark):
     j = a.join(b, "doc_id")
     assert j.count() == docs.count()
     assert j.where(F.col("embedding") != F.col("e2")).count() == 0
+
+
+def test_block_kernel_vs_brute_force_randomised():
+    """The vectorised block kernel on random grids full of exact ties and hot copies."""
+    from venturelens.operators.vectors import _block_topk
+
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        nq, nc, d, k = rng.integers(1, 30), rng.integers(1, 50), rng.integers(1, 7), int(rng.integers(1, 8))
+        c = rng.integers(-2, 3, size=(nc, d)).astype(np.float64) / 2
+        if rng.random() < 0.5:
+            c[: nc // 3] = c[0]  # one vector holds a third of the rows
+        ci = rng.permutation(nc * 3)[:nc].astype(np.int64)
+        q = rng.integers(-2, 3, size=(nq, d)).astype(np.float64) / 2
+        qi = np.arange(nq, dtype=np.int64) if rng.random() < 0.5 else rng.choice(ci, size=nq)
+        ex = bool(rng.random() < 0.5)
+        got = _block_topk(qi, q, ci, c, k, ex, chunk=int(rng.integers(1, 40)), pad=int(rng.integers(0, 5)))
+        g = sorted(zip(got.idea_id.tolist(), got.id.tolist(), got.dist2.tolist()))
+        want = []
+        for r in range(nq):
+            d2 = np.round(((c - q[r]) ** 2).sum(1), 6)
+            idx = sorted((j for j in range(nc) if not (ex and ci[j] == qi[r])), key=lambda j: (d2[j], ci[j]))
+            want += [(int(qi[r]), int(ci[j]), float(d2[j])) for j in idx[:k]]
+        assert g == sorted(want)

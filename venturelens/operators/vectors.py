@@ -176,13 +176,28 @@ def _as_matrix(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
 
 
+def _exact_rows(qv: np.ndarray, qid: int, cand: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
+                k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact top-k of one query row over a candidate index set (slow path)."""
+    diff = c[cand] - qv
+    exact = np.round(np.einsum("ij,ij->i", diff, diff), 6)
+    ids = c_ids[cand]
+    order = np.lexsort((ids, exact))[:k]
+    return np.full(len(order), qid, dtype=np.int64), ids[order], exact[order]
+
+
 def _block_topk(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
-                k: int, exclude_self: bool, chunk: int = 512) -> pd.DataFrame:
+                k: int, exclude_self: bool, chunk: int = 512, pad: int = 8) -> pd.DataFrame:
     """Exact top-k (by round(dist2, 6), then id) of every query row in ``c``.
 
     A matrix product preselects; every row within a tolerance of the k-th
     preselected distance is then re-scored exactly as sum((q - c)^2), so ties
     and rounding are resolved on exact values, never on the approximation.
+
+    Vectorised over query rows: the ``k + pad`` best approximate candidates of
+    every row are re-scored and ordered at once.  Only a row whose near-tie set
+    is larger than that window (for example many copies of one vector) takes the
+    per-row path over its whole near-tie set, so the answer stays exact.
     """
     out_q, out_c, out_d = [], [], []
     if len(q_ids) == 0 or len(c_ids) == 0:
@@ -191,33 +206,42 @@ def _block_topk(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
     cn = (c * c).sum(axis=1)
     cmax = float(cn.max())
     n = len(c_ids)
+    kk = min(k, n)
+    m = min(n, k + pad)
     for s in range(0, len(q_ids), chunk):
         qb, qid = q[s:s + chunk], q_ids[s:s + chunk]
+        rows = np.arange(len(qid))[:, None]
         qn = (qb * qb).sum(axis=1)
         approx = qn[:, None] + cn[None, :] - 2.0 * (qb @ c.T)
         if exclude_self:
             approx[qid[:, None] == c_ids[None, :]] = np.inf
-        kk = min(k, n)
+        finite = np.isfinite(approx)
         kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-        tol = 1e-5 + 1e-9 * (qn + cmax)
-        for r in range(len(qid)):
-            if not np.isfinite(kth[r]):
-                cand = np.nonzero(np.isfinite(approx[r]))[0]
-            else:
-                cand = np.nonzero(approx[r] <= kth[r] + tol[r])[0]
-            if len(cand) == 0:
-                continue
-            diff = c[cand] - qb[r]
-            exact = np.round(np.einsum("ij,ij->i", diff, diff), 6)
-            ids = c_ids[cand]
-            order = np.lexsort((ids, exact))[:k]
-            out_q.append(np.full(len(order), qid[r], dtype=np.int64))
-            out_c.append(ids[order])
-            out_d.append(exact[order])
-    if not out_q:
-        return _block_topk(q_ids[:0], q, c_ids[:0], c, k, exclude_self)
-    return pd.DataFrame({"idea_id": np.concatenate(out_q), "id": np.concatenate(out_c),
-                         "dist2": np.concatenate(out_d)})
+        thr = kth + 1e-5 + 1e-9 * (qn + cmax)  # inf when fewer than k finite rows
+        n_near = ((approx <= thr[:, None]) & finite).sum(axis=1)
+        win = np.argpartition(approx, m - 1, axis=1)[:, :m] if m < n else np.broadcast_to(
+            np.arange(n), (len(qid), n))
+        diff = c[win] - qb[:, None, :]
+        exact = np.round(np.einsum("rmd,rmd->rm", diff, diff), 6)
+        exact[~finite[rows, win]] = np.inf
+        ids = c_ids[win]
+        order = np.lexsort((ids, exact), axis=1)[:, :kk]
+        top_d = exact[rows, order]
+        top_i = ids[rows, order]
+        fast = n_near <= m
+        keep = np.isfinite(top_d) & fast[:, None]
+        out_q.append(np.broadcast_to(qid[:, None], top_d.shape)[keep])
+        out_c.append(top_i[keep])
+        out_d.append(top_d[keep])
+        for r in np.nonzero(~fast)[0]:
+            cand = np.nonzero((approx[r] <= thr[r]) & finite[r])[0]
+            a, b, d = _exact_rows(qb[r], qid[r], cand, c_ids, c, k)
+            out_q.append(a)
+            out_c.append(b)
+            out_d.append(d)
+    return pd.DataFrame({"idea_id": np.concatenate(out_q).astype(np.int64),
+                         "id": np.concatenate(out_c).astype(np.int64),
+                         "dist2": np.concatenate(out_d).astype(np.float64)})
 
 
 def _merge_topk(frames: list[pd.DataFrame], k: int) -> pd.DataFrame:

@@ -31,7 +31,7 @@ from venturelens.schema import (
 )
 from venturelens.session import shared_path
 from venturelens.sources.bindings import (
-    CATALOG_SQL, IDEAS_SQL, MEMBER_PREDICTIONS_SQL, VERDICTS_SQL, binding,
+    CATALOG_SQL, IDEAS_SQL, MEMBER_PREDICTIONS_SQL, VERDICTS_SQL, binding, table,
 )
 from venturelens.sources.catalog import (
     assign_row_id, clean_catalog, normalize_nulls, scan_requests, select_columns, write_results,
@@ -313,7 +313,7 @@ def q_funded_only(spark, sf):
 
 @register("ids_in", PREFIX + "\nSELECT id, company FROM clean WHERE id IN (SELECT doc_id FROM labels)")
 def q_ids_in(spark, sf):
-    labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("id"))
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
     return ids_in(cleaned_catalog(spark, sf), labels).select("id", "company")
 
 
@@ -360,7 +360,7 @@ def q_knn_join(spark, sf):
 @register("embed_text", "WITH " + O.encoder_ctes("dv", "documents", "doc_id", "text") + """
 SELECT vid AS doc_id, CAST(b AS INTEGER) AS bucket, round(v, 6) AS weight FROM dv WHERE v <> 0""")
 def q_embed_text(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = table(spark, sf, "documents")
     v = embed_text(docs, "text", "doc_id")
     # posexplode_outer: the vector always has ``dim`` entries, and the plain form
     # makes the optimizer infer size(embedding) > 0 below the projection, which
@@ -375,7 +375,7 @@ def q_embed_text(spark, sf):
 SELECT a.vid AS idea_id, c.vid AS id, round(sum((a.v - c.v) * (a.v - c.v)), 6) AS dist2
 FROM ev a JOIN ev c ON c.vid = a.vid + 1 AND a.b = c.b GROUP BY a.vid, c.vid""")
 def q_l2_distance(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    e = table(spark, sf, "embeddings")
     a = e.select(F.col("vec_id").alias("idea_id"), F.col("embedding").alias("ea"))
     b = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("eb"))
     j = a.join(b, F.col("id") == F.col("idea_id") + 1)
@@ -554,7 +554,7 @@ def q_head(spark, sf):
 
 
 def _events(spark, sf):
-    return spark.read.parquet(f"{sf}/events.parquet").select("event_type", "value")
+    return table(spark, sf, "events").select("event_type", "value")
 
 
 HIST_SQL = """WITH s AS (

@@ -31,7 +31,7 @@ from venturelens.schema import (
 )
 from venturelens.session import shared_path
 from venturelens.sources.bindings import (
-    CATALOG_SQL, IDEAS_SQL, MEMBER_PREDICTIONS_SQL, VERDICTS_SQL, binding, table,
+    CATALOG_SQL, IDEAS_SQL, MEMBER_PREDICTIONS_SQL, VERDICTS_SQL, binding, spread_if_narrow, table,
 )
 from venturelens.sources.catalog import (
     assign_row_id, clean_catalog, normalize_nulls, scan_requests, select_columns, write_results,
@@ -587,7 +587,9 @@ FROM grid, events e WHERE e.value IS NOT NULL GROUP BY point, x, bw, n"""
 
 @register("kde_curve", KDE_SQL)
 def q_kde_curve(spark, sf):
-    return P.kde_curve(_events(spark, sf), "value", 200)
+    # every value is fanned out over the whole grid: spread a narrow scan first
+    events = spread_if_narrow(table(spark, sf, "events"), "event_id")
+    return P.kde_curve(events.select("event_type", "value"), "value", 200)
 
 
 BOX_SQL = """WITH q AS (

@@ -89,9 +89,9 @@ _SCANS: dict[tuple[int, str], DataFrame] = {}
 _VIEWS: dict[tuple[int, str], str] = {}
 
 
-# Tables whose rows carry heavy per-row work (whole texts for the encoder and
-# pair scorer, values fanned out over the KDE grid), with their unique key.
-SPREAD_KEYS = {"documents": "doc_id", "events": "event_id"}
+# Tables whose rows carry heavy per-row work in most queries (whole texts for
+# the encoder and the pair scorer), with their unique key.
+SPREAD_KEYS = {"documents": "doc_id"}
 
 
 def spread_if_narrow(df: DataFrame, key: str) -> DataFrame:

@@ -10,7 +10,7 @@ Two physical layouts, both exact:
 
 * **broadcast scan** (ideas fit a checked byte budget): the idea matrix is
   shipped once to every executor and the catalog is scanned in place with
-  ``mapInPandas``; the catalog is never shuffled.
+  ``mapInArrow``; the catalog is never shuffled.
 * **block grid** (ideas above the budget): ideas are hashed into ``IB`` blocks
   and the catalog into ``CB`` blocks, each bounded in rows; every idea block is
   paired with every catalog block by an equi-join on the grid cell and the cell
@@ -176,6 +176,22 @@ def _as_matrix(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
 
 
+def _arrow_matrix(col: pa.Array) -> np.ndarray:
+    """A list<float> column of equal-length vectors as an (n, d) float64 matrix."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    n = len(col)
+    if n == 0:
+        return np.zeros((0, 0))
+    if col.null_count:
+        raise ValueError("null vector in the catalog")
+    lengths = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+    if (lengths != lengths[0]).any():
+        raise ValueError("vectors of different lengths in the catalog")
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(n, int(lengths[0]))
+
+
 def _exact_rows(qv: np.ndarray, qid: int, cand: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
                 k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact top-k of one query row over a candidate index set (slow path)."""
@@ -290,20 +306,22 @@ def _broadcast_scan(spark, local: pd.DataFrame, cat: DataFrame, k: int,
     q_mat = _as_matrix(local["embedding"]) if len(local) else np.zeros((0, 0))
     bq = spark.sparkContext.broadcast((q_ids, q_mat))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, mat = bq.value
         parts = []
         for b in batches:
-            if len(b) == 0 or len(ids) == 0:
+            if b.num_rows == 0 or len(ids) == 0:
                 continue
-            parts.append(_block_topk(ids, mat, b["id"].to_numpy(dtype=np.int64),
-                                     _as_matrix(b["embedding"]), k, exclude_self))
+            parts.append(_block_topk(ids, mat, b.column("id").to_numpy(zero_copy_only=False),
+                                     _arrow_matrix(b.column("embedding")), k, exclude_self))
             if len(parts) >= 8:
                 parts = [_merge_topk(parts, k)]
         if parts:
-            yield _merge_topk(parts, k)
+            yield pa.RecordBatch.from_pandas(_merge_topk(parts, k), preserve_index=False)
 
-    return cat.mapInPandas(scan, _CAND_SCHEMA)
+    # Arrow in and out: the catalog vectors go from the Arrow batch's flat value
+    # buffer to one NumPy matrix, with no per-row Python objects
+    return cat.mapInArrow(scan, _CAND_SCHEMA)
 
 
 def _block_grid(q: DataFrame, cat: DataFrame, k: int, exclude_self: bool,

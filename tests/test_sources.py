@@ -55,3 +55,20 @@ def test_rmse_agrees_with_evaluator(spark):
     ours = M.rmse(df, "y", "pred").first()[0]
     ev = RegressionEvaluator(labelCol="y", predictionCol="pred", metricName="rmse").evaluate(df)
     assert abs(ours - ev) < 1e-12
+
+
+def test_table_scan_built_once_and_spread_only_when_narrow(spark):
+    from venturelens.sources.bindings import spread_if_narrow, table
+
+    a = table(spark, SMOKE, "documents")
+    assert table(spark, SMOKE, "documents") is a  # one scan (one schema job) per session
+    cores = spark.sparkContext.defaultParallelism
+    assert a.rdd.getNumPartitions() >= cores  # single row group: spread to the cores
+    assert a.count() == spark.read.parquet(f"{SMOKE}/documents.parquet").count()
+    wide = spark.read.parquet(f"{SMOKE}/documents.parquet").repartition(cores * 2, "doc_id")
+    assert spread_if_narrow(wide, "doc_id") is wide  # enough splits: no extra shuffle
+    # views are registered once per folder and follow a change of folder
+    binding(spark, SMOKE, "catalog").count()
+    other = "/root/testdata/sf0.01"
+    assert binding(spark, other, "catalog").count() == spark.read.parquet(f"{other}/documents.parquet").count()
+    assert binding(spark, SMOKE, "catalog").count() == a.count()

@@ -81,3 +81,15 @@ def test_stream_equals_batch(spark):
     streamed = spark.read.parquet(os.path.join(base, "out", "evaluated")).drop("epoch")
     batch = evaluate_ideas(ideas, catalog)
     assert sorted(map(tuple, streamed.select(*batch.columns).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_parallel_member_fits_equal_sequential(spark):
+    c = M.funded_only(training_catalog(spark, SMOKE))
+    x = M.assemble(c.select("id", "starting_year", "employees_count", F.log1p("funding").alias("label")),
+                   ["starting_year", "employees_count"]).persist()
+    seq = M.ForestEnsemble(3, 4, 4, parallelism=1).fit(x).predict_with_uncertainty(x)
+    par = M.ForestEnsemble(3, 4, 4, parallelism=3).fit(x).predict_with_uncertainty(x)
+    a = sorted((r.id, round(r.mean_log, 9), round(r.std_log, 9)) for r in seq.collect())
+    b = sorted((r.id, round(r.mean_log, 9), round(r.std_log, 9)) for r in par.collect())
+    x.unpersist()
+    assert a == b and len(a) > 0

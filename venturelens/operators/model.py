@@ -206,15 +206,33 @@ class ForestEnsemble:
     max_depth: int = 30
     max_bins: int = 32
     seed_base: int = MEMBER_SEED_BASE
+    parallelism: int = ENSEMBLE_MEMBERS
 
     def fit(self, df: DataFrame, features: str = "features", label: str = "label") -> ForestEnsembleModel:
-        members = []
-        for i in range(self.n_members):
+        """Fit the members, up to ``parallelism`` at a time.
+
+        Each member is its own distributed job with its own seed, so fitting
+        them from a thread pool (as ``CrossValidator(parallelism=)`` does)
+        changes no result; it keeps the cluster busy between the small jobs of
+        one forest.  ``df`` should be persisted by the caller.
+        """
+        from concurrent.futures import ThreadPoolExecutor
+
+        from pyspark.util import inheritable_thread_target
+
+        def member(i: int) -> RandomForestRegressionModel:
             rf = RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=self.num_trees,
                                        maxDepth=self.max_depth, maxBins=self.max_bins,
                                        featureSubsetStrategy="all", subsamplingRate=1.0,
                                        bootstrap=True, seed=self.seed_base + i)
-            members.append(rf.fit(df))
+            return rf.fit(df)
+
+        workers = max(1, min(self.parallelism, self.n_members))
+        if workers == 1:
+            return ForestEnsembleModel([member(i) for i in range(self.n_members)])
+        with ThreadPoolExecutor(max_workers=workers) as pool:
+            target = inheritable_thread_target(df.sparkSession)(member)
+            members = list(pool.map(target, range(self.n_members)))
         return ForestEnsembleModel(members)
 
 

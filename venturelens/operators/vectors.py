@@ -14,7 +14,7 @@ Two physical layouts, both exact:
 * **block grid** (ideas above the budget): ideas are hashed into ``IB`` blocks
   and the catalog into ``CB`` blocks, each bounded in rows; every idea block is
   paired with every catalog block by an equi-join on the grid cell and the cell
-  is solved by a co-grouped ``applyInPandas``.  Bytes moved are
+  is solved by a co-grouped ``applyInArrow``.  Bytes moved are
   ``|ideas| x CB + |catalog| x IB``.
 """
 
@@ -338,16 +338,18 @@ def _block_grid(q: DataFrame, cat: DataFrame, k: int, exclude_self: bool,
     cg = (cat.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(cb)).cast("int"))
           .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1)))))
 
-    def cell(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
-        if len(qp) == 0 or len(cp) == 0:
-            return _block_topk(np.array([], np.int64), np.zeros((0, 0)),
-                               np.array([], np.int64), np.zeros((0, 0)), k, exclude_self)
-        return _block_topk(qp["idea_id"].to_numpy(dtype=np.int64), _as_matrix(qp["embedding"]),
-                           cp["id"].to_numpy(dtype=np.int64), _as_matrix(cp["embedding"]),
-                           k, exclude_self)
+    def cell(qt: pa.Table, ct: pa.Table) -> pa.Table:
+        if qt.num_rows == 0 or ct.num_rows == 0:
+            empty = np.array([], np.int64)
+            out = _block_topk(empty, np.zeros((0, 0)), empty, np.zeros((0, 0)), k, exclude_self)
+        else:
+            out = _block_topk(qt.column("idea_id").to_numpy(), _arrow_matrix(qt.column("embedding")),
+                              ct.column("id").to_numpy(), _arrow_matrix(ct.column("embedding")),
+                              k, exclude_self)
+        return pa.Table.from_pandas(out, preserve_index=False)
 
     return (qg.groupBy("ib", "cb").cogroup(cg.groupBy("ib", "cb"))
-            .applyInPandas(cell, _CAND_SCHEMA))
+            .applyInArrow(cell, _CAND_SCHEMA))
 
 
 # ---------------------------------------------------------------------------

@@ -104,3 +104,12 @@ def test_block_kernel_vs_brute_force_randomised():
             idx = sorted((j for j in range(nc) if not (ex and ci[j] == qi[r])), key=lambda j: (d2[j], ci[j]))
             want += [(int(qi[r]), int(ci[j]), float(d2[j])) for j in idx[:k]]
         assert g == sorted(want)
+
+
+def test_encoder_runs_once_in_the_embed_text_plan(spark):
+    """posexplode of the vector must not infer a filter that re-runs the encoder."""
+    from conftest import SMOKE
+    from venturelens.plans.queries import q_embed_text
+
+    plan = q_embed_text(spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

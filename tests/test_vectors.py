@@ -113,3 +113,27 @@ def test_encoder_runs_once_in_the_embed_text_plan(spark):
 
     plan = q_embed_text(spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_encoder_matches_python_definition_on_random_text(spark):
+    """ASCII word runs only: non-ASCII letters (Kelvin sign, dotted I, accents) split words."""
+    import hashlib
+    import re
+
+    rng = np.random.default_rng(7)
+    alphabet = list("abcXYZ019 _-,.\n\t") + ["K", "İ", "é", "ß", "中", "\U0001f600"]
+    texts = ["".join(rng.choice(alphabet, size=int(rng.integers(0, 60)))) for _ in range(300)]
+    texts += [None, "", "   ", "KKK", "İstanbul ISTANBUL"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.array(r.embedding, dtype=np.float32) for r in embed_text(df, "text", "doc_id").collect()}
+
+    def reference(text, dim=64):
+        counts = np.zeros(dim)
+        for w in re.findall("[A-Za-z0-9]+", text or ""):
+            counts[int(hashlib.md5(w.lower().encode("ascii")).hexdigest()[:8], 16) % dim] += 1
+        norm = np.sqrt((counts * counts).sum())
+        return (counts / norm if norm > 0 else counts).astype(np.float32)
+
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert np.array_equal(got[i], reference(t)), (i, t)

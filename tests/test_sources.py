@@ -72,3 +72,12 @@ def test_table_scan_built_once_and_spread_only_when_narrow(spark):
     other = "/root/testdata/sf0.01"
     assert binding(spark, other, "catalog").count() == spark.read.parquet(f"{other}/documents.parquet").count()
     assert binding(spark, SMOKE, "catalog").count() == a.count()
+
+
+@pytest.mark.parametrize("parts", [1, 4, 17])
+def test_assign_row_id_dense_with_hot_key(spark, parts):
+    rows = [(i, "hot" if i % 3 == 0 else f"c{i % 37:02d}") for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, company string").repartition(parts)
+    got = sorted((r.row_id, r.company, r.id) for r in assign_row_id(df, ["company", "id"]).collect())
+    want = [(n, c, i) for n, (c, i) in enumerate(sorted((c, i) for i, c in rows))]
+    assert got == want

@@ -60,16 +60,31 @@ def assign_row_id(df: DataFrame, order_by: list[str] | None = None, key: str | N
     """S3: a stable 0..n-1 id.
 
     A natural key is used as is when given.  Otherwise rows are sorted by
-    ``order_by`` with a distributed range sort and numbered with
-    ``zipWithIndex``, which only needs per-partition counts (no single-task
-    global window).
+    ``order_by`` with a distributed range sort and numbered from per-partition
+    counts: each row gets its partition's offset (a running sum over a table of
+    one row per partition, broadcast back) plus its position inside the
+    partition.  No row passes through Python and no window spans all rows.
+    The numbered rows are cut with a reliable checkpoint in the shared folder
+    before they are read twice, so a lost executor cannot renumber them.
     """
+    from pyspark.sql import Window
+
+    from venturelens.session import ensure_checkpoint_dir
+
     if key is not None:
         return df.withColumn(out_col, F.col(key).cast("long"))
     ordered = df.orderBy(*order_by) if order_by else df
-    schema = T.StructType(ordered.schema.fields + [T.StructField(out_col, T.LongType(), False)])
-    rdd = ordered.rdd.zipWithIndex().map(lambda ri: (*ri[0], ri[1]))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    numbered = (ordered.withColumn("_pid", F.spark_partition_id())
+                .withColumn("_mid", F.monotonically_increasing_id()))
+    ensure_checkpoint_dir(df.sparkSession)
+    numbered = numbered.checkpoint(eager=True)
+    counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    # one row per partition of ``numbered``: a bound fixed before any job runs
+    within = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return (numbered.join(F.broadcast(offsets), "_pid")
+            .select(*df.columns, (F.col("_off") + within).cast("long").alias(out_col)))
 
 
 def clean_catalog(raw: DataFrame, defaults: CatalogDefaults = SERVING_DEFAULTS) -> DataFrame:

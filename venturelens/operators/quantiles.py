@@ -62,7 +62,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], group_cols: l
                .where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_c")))
                .select(*[F.col(c) for c in g], "_n", "_i", "_k", "_f",
                        (F.col("_m0") + F.col("_r") - F.col("_off")).alias("_mid")))
-    small = targets.count() <= BROADCAST_TARGET_ROWS
+    # without groups each rank sits in exactly one partition: at most two rows
+    # per probability, a bound known without a job; with groups, count them
+    small = not g or targets.count() <= BROADCAST_TARGET_ROWS
     right = F.broadcast(targets) if small else targets
     vals = s.select("_mid", "_v").join(right, "_mid")
     per_p = vals.groupBy(*g, "_n", "_i").agg(

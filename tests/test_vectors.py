@@ -137,3 +137,15 @@ def test_encoder_matches_python_definition_on_random_text(spark):
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         assert np.array_equal(got[i], reference(t)), (i, t)
+
+
+def test_broadcast_layout_does_not_shuffle_the_catalog(spark):
+    """One kNN scan in place over the catalog; the only shuffle is on idea_id for the final top-k."""
+    from conftest import SMOKE
+
+    e = spark.read.parquet(f"{SMOKE}/embeddings.parquet")
+    nb = top_k_similar(e.select(F.col("vec_id").alias("idea_id"), "embedding"),
+                       e.select(F.col("vec_id").alias("id"), "embedding"), k=5, exclude_self=True)
+    plan = nb._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(idea_id" in plan

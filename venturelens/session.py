@@ -8,9 +8,12 @@ used as is.
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -38,8 +41,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only when it is unset
-    (local runs and tests) is a scratch folder created and registered.
+    ``spark.checkpoint.dir`` is read from the session.  Only a session whose
+    master is ``local`` (driver and executor are one process, as in tests) may
+    have it unset: it then gets a scratch folder.  Any other session raises,
+    because executors could not read a folder local to the driver.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,14 +53,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver "
+                               "and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="venturelens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
-    """A path below the shared checkpoint folder (models, stream state)."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, *parts)
+    """A path (a URI where the folder is one) below the shared checkpoint folder."""
+    return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), *parts])
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, never used before."""
+    return shared_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back.
+
+    Cuts the lineage: what follows re-reads the files when an executor is lost.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: dict[str, str] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application.
+
+    Python workers unpickle functions by module name, so they need the package
+    even when it is not installed on their machines.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="venturelens-pkg-"), "venturelens")
+    spark.sparkContext.addPyFile(
+        shutil.make_archive(base, "zip", os.path.dirname(here), os.path.basename(here)))
+    _SHIPPED[app] = base

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F  # noqa: F401
 
-from venturelens.llm import mixing, stream_dedup
-from venturelens.llm.registry import ORACLES, QUERIES, register, table  # noqa: F401
+from venturelens.llm import byte_bpe, mixing, stream_dedup
+from venturelens.llm.registry import ORACLES, QUERIES, register, table, tokenizer_file, tokenizer_pattern  # noqa: F401
 
 
 @register("op4_mix_sources", mixing.ORACLE)
@@ -18,3 +18,9 @@ def op4_mix_sources(spark, sf_dir):
 def op5_exact_dedup(spark, sf_dir):
     return stream_dedup.dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+@register("op3_byte_bpe")
+def op3_byte_bpe(spark, sf_dir):
+    ranks = byte_bpe.read_ranks(spark, tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, tokenizer_pattern(), digests=True)

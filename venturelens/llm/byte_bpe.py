@@ -24,6 +24,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from venturelens.llm.textkit import slices
+
 #: Characters from which a text is cut, and the least length of a piece.
 LONG_TEXT, PIECE = 1 << 16, 1 << 14
 _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -80,7 +82,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, name = _codec(shared, pattern), names.value.__getitem__
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             rows = []
             for text in batch.column("text"):
                 ids = codec.encode(text.as_py() or "")

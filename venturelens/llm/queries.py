@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F  # noqa: F401
 
-from venturelens.llm import byte_bpe, mixing, stream_dedup
+from venturelens.llm import byte_bpe, mixing, parity_join, stream_dedup
 from venturelens.llm.registry import ORACLES, QUERIES, register, table, tokenizer_file, tokenizer_pattern  # noqa: F401
 
 
@@ -24,3 +24,8 @@ def op5_exact_dedup(spark, sf_dir):
 def op3_byte_bpe(spark, sf_dir):
     ranks = byte_bpe.read_ranks(spark, tokenizer_file("byte_bpe_multi_50k.tiktoken"))
     return byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, tokenizer_pattern(), digests=True)
+
+
+@register("op10_ngram_join", parity_join.ORACLE)
+def op10_ngram_join(spark, sf_dir):
+    return parity_join.join(table(spark, sf_dir, "documents"), parity_join.Similarity(n=3, percent=90))

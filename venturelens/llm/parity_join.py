@@ -219,7 +219,7 @@ def _across(members: DataFrame, sim: Similarity) -> DataFrame:
     def pairs_of(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(group["n"], kind="stable")
         n, comp, node, chunk = (group[c][order] for c in ("n", "component", "node", "chunk"))
-        fold = np.stack([group[c][order] for c in folds], 1)
+        fold = np.stack([group[c][order] for c in folds], 1).view(np.uint64)
         one_chunk = group["i"][0] == group["j"][0]
         found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         far = np.searchsorted(n, n * 100 // sim.percent, side="right")
@@ -296,9 +296,9 @@ def join(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
 
 ORACLE = """
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g FROM w),
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * common >= 90 * (u.n + v.n - common)),

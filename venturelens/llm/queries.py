@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F  # noqa: F401
 
-from venturelens.llm import byte_bpe, mixing, parity_join, stream_dedup
+from venturelens.llm import byte_bpe, mixing, parity_join, ppm, pu_quality, stream_dedup
+from venturelens.llm.textkit import held_out, remainder
 from venturelens.llm.registry import ORACLES, QUERIES, register, table, tokenizer_file, tokenizer_pattern  # noqa: F401
 
 
@@ -29,3 +30,19 @@ def op3_byte_bpe(spark, sf_dir):
 @register("op10_ngram_join", parity_join.ORACLE)
 def op10_ngram_join(spark, sf_dir):
     return parity_join.join(table(spark, sf_dir, "documents"), parity_join.Similarity(n=3, percent=90))
+
+
+@register("op6_language_id")
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    trees = ppm.fit(docs.where(remainder("doc_id", 4) != 2))
+    return ppm.predict(docs, trees).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@register("op9_quality")
+def op9_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = pu_quality.fit(docs, labels.where((F.col("quality") == 1) & (remainder("doc_id", 5) != 0)))
+    return pu_quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), F.col("_quality").alias("score"),
+        F.when(F.col("_quality") >= 0.3, 1).otherwise(0).alias("predicted"))

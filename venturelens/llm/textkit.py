@@ -67,6 +67,17 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     return flat, ends.astype(np.int64)
 
 
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All UTF-8 bytes of the texts (null counts as empty), joined, and each text's number of bytes."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data else np.zeros(0, np.uint8)
+    return raw, np.diff(offsets)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F  # noqa: F401
 
-from venturelens.llm import byte_bpe, mixing, parity_join, ppm, pu_quality, stream_dedup
+from venturelens.llm import byte_bpe, mixing, parity_join, ppm, pu_quality, secret_scan, stream_dedup
 from venturelens.llm.textkit import held_out, remainder
 from venturelens.llm.registry import ORACLES, QUERIES, register, table, tokenizer_file, tokenizer_pattern  # noqa: F401
 
@@ -46,3 +46,20 @@ def op9_quality(spark, sf_dir):
     return pu_quality.score(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out("doc_id", 5, 0).alias("held_out"), F.col("_quality").alias("score"),
         F.when(F.col("_quality") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@register("op8_secrets")
+def op8_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.fit(docs))
+
+    def text(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(text(F.filter("spans", lambda s: s["kind"] != "model")), 256).alias("base_sha256"),
+        text(F.col("spans")).alias("spans"), count("model").alias("n_model"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F  # noqa: F401
 
-from venturelens.llm import byte_bpe, mixing, parity_join, ppm, pu_quality, secret_scan, stream_dedup
+from venturelens.llm import byte_bpe, mixing, parity_join, ppm, pu_quality, secret_scan, stream_dedup, toxicity
 from venturelens.llm.textkit import held_out, remainder
 from venturelens.llm.registry import ORACLES, QUERIES, register, table, tokenizer_file, tokenizer_pattern  # noqa: F401
 
@@ -63,3 +63,12 @@ def op8_secrets(spark, sf_dir):
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(text(F.filter("spans", lambda s: s["kind"] != "model")), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"), count("model").alias("n_model"))
+
+
+@register("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = toxicity.fit(docs, labels.where(remainder("doc_id", 3) != 1).select("doc_id", F.col("toxic").alias("label")))
+    return toxicity.score(docs, net).select(
+        "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))

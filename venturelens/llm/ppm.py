@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from venturelens.llm.textkit import bounded_sample, raw_bytes, slices
+from venturelens.llm.textkit import bounded_sample, compact, raw_bytes, slices
 
 ORDER = 3
 _LETTER = regex.compile(r"\p{L}")
@@ -126,7 +126,7 @@ def fit_trees(by_lang: dict[str, list[str]], order: int = ORDER, max_nodes: int
 
 def code_lengths(texts: pa.Array, trees: ContextTrees) -> np.ndarray:
     """Exact code length in nats of every text (null: empty) under every language."""
-    raw, size = raw_bytes(pc.utf8_lower(texts.cast(pa.large_string())))
+    raw, size = raw_bytes(pc.utf8_lower(compact(texts)))
     out = np.zeros((len(size), len(trees.langs)))
     total = len(raw)
     if not total:

@@ -111,7 +111,7 @@ def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, width: int = 2
     net = _net(np.concatenate([pos, unl]), width, rng)
     m, v, t = [np.zeros_like(a) for a in net.w], [np.zeros_like(a) for a in net.w], 0
     batches = max(1, len(unl) // 512)
-    for _ in range(epochs):
+    for _ in range(max(epochs, 12 * epochs // batches)):            # small samples: as many steps
         for p, u in zip(np.array_split(rng.permutation(len(pos)), batches), np.array_split(rng.permutation(len(unl)), batches)):
             if not len(p) or not len(u):
                 continue

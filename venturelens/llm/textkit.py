@@ -14,6 +14,9 @@ from pyspark.sql import Window
 #: Text of one working slice inside a task; a longer text is a slice of its own.
 SLICE_BYTES = 6 << 20
 
+_AZ = np.arange(256, dtype=np.uint8)
+_AZ[65:91] += 32
+
 
 def remainder(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text modulo ``mod``; null for a null id."""
@@ -57,8 +60,7 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
 
     Null counts as empty; ``lower`` folds A-Z only.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    split = pc.ascii_split_whitespace(compact(texts, _AZ if lower else None))
     flat, ends = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
     full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     if not full.all():
@@ -69,15 +71,24 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of the texts (null counts as empty), joined, and each text's number of bytes."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(0, np.int64)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    # a copy that begins at offset 0: some Arrow kernels misread slices
+    texts = pc.fill_null(pa.concat_arrays([texts.cast(pa.large_string()), pa.array([""], pa.large_string())]), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts)]
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data else np.zeros(0, np.uint8)
     return raw, np.diff(offsets)
 
 
+def compact(texts: pa.Array, table: np.ndarray | None = None) -> pa.Array:
+    """The texts as one array from offset 0 (null: empty), each byte replaced by ``table`` where given."""
+    raw, size = raw_bytes(texts)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    raw = raw if table is None else table[raw]
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw)))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from venturelens.llm.textkit import bounded_sample, mix64, ranges, raw_bytes, slices, words
+from venturelens.llm.textkit import bounded_sample, compact, mix64, ranges, raw_bytes, slices, words
 
 WINDOW, STEP, HIDDEN, DIM, BUCKETS, ATTEND = 32, 24, 8, 8, 1 << 17, 8
 LANES = 4096
@@ -51,9 +51,7 @@ _FOLD[65:91] += 32
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, the words of all texts as places in them, and where each text's begin."""
-    raw, size = raw_bytes(pc.utf8_lower(texts.cast(pa.large_string())))
-    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    folded = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(_FOLD[raw]))
+    folded = compact(pc.utf8_lower(compact(texts)), _FOLD)
     flat, to = words(folded, lower=False)
     coded = flat.dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), to
@@ -304,9 +302,10 @@ def train(texts: pa.Array, y: np.ndarray, frequency: tuple[float, float] = (0.5,
         clean = np.flatnonzero((y[doc] == 0) & fitted[doc])
         full = np.unique(np.concatenate([best, rng.choice(clean, min(len(clean), len(best)), replace=False)]))
         full = full[(size[full] > 0) & fitted[doc[full]]]
-        for _ in range(2):
+        batches = max(1, len(full) // 192)
+        for _ in range(max(2, 40 // batches)):                     # forty steps at least
             rng.shuffle(full)
-            for b in np.array_split(full, max(1, len(full) // 192)):
+            for b in np.array_split(full, batches):
                 t = np.arange(int(size[b].max()))
                 live = (t < size[b][:, None])
                 ids = np.where(live, idx_end[np.minimum(first[b][:, None] + t, len(idx_end) - 1)], 0)

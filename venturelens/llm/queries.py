@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F  # noqa: F401
 
-from venturelens.llm import byte_bpe, mixing, parity_join, ppm, pu_quality, secret_scan, stream_dedup, toxicity
+from venturelens.llm import byte_bpe, mixing, parity_join, ppm, pu_quality, rans, secret_scan, stream_dedup, toxicity
 from venturelens.llm.textkit import held_out, remainder
 from venturelens.llm.registry import ORACLES, QUERIES, register, table, tokenizer_file, tokenizer_pattern  # noqa: F401
 
@@ -72,3 +72,8 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score(docs, net).select(
         "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score",
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@register("op7_token_files")
+def op7_token_files(spark, sf_dir):
+    return rans.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)

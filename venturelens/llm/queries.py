@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F  # noqa: F401
 
-from venturelens.llm import byte_bpe, mixing, parity_join, ppm, pu_quality, rans, secret_scan, stream_dedup, toxicity
+from venturelens.llm import byte_bpe, mixing, parity_join, ppm, projected_ann, pu_quality, rans, secret_scan, stream_dedup, toxicity
 from venturelens.llm.textkit import held_out, remainder
 from venturelens.llm.registry import ORACLES, QUERIES, register, table, tokenizer_file, tokenizer_pattern  # noqa: F401
 
@@ -77,3 +77,9 @@ def op2_toxicity(spark, sf_dir):
 @register("op7_token_files")
 def op7_token_files(spark, sf_dir):
     return rans.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+
+
+@register("op1_nearest")
+def op1_nearest(spark, sf_dir):
+    index = projected_ann.Index(table(spark, sf_dir, "embeddings"))
+    return index.search(index.rows.where("vec_id % 50 = 0"))

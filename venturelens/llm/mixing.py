@@ -15,7 +15,7 @@ and are taken or left together; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from venturelens.session import written
@@ -24,13 +24,16 @@ LEVEL_BITS, LEVELS = 10, 6
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def doc_hash(doc_id) -> Column:
+    """60 bits of the md5 of the id as text."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words and the 60-bit hash of every document."""
     return docs.select(
-        "doc_id", "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10)
-        .cast("long").alias("h"))
+        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        doc_hash(F.col("doc_id")).alias("h"))
 
 
 def targets(per_source: DataFrame, max_repeat: float = 3.0) -> DataFrame:
@@ -56,19 +59,20 @@ def targets(per_source: DataFrame, max_repeat: float = 3.0) -> DataFrame:
          .withColumn("_open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
          .withColumn("_level", (F.col("_total") - F.col("_capped")) / F.col("_open"))
          # the level is right at the first source that it leaves below its cap
-         .withColumn("level", F.min(F.when(F.col("_fill") >= F.col("_level"), F.col("_level"))).over(every)))
+         .withColumn("level", F.min(F.when(F.col("_fill") >= F.col("_level"), F.struct("_fill", "_i", "_level"))).over(every)["_level"]))
     return w.select("source", "source_size", "weight",
                     F.least("_cap", F.coalesce("level", F.col("_fill")) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, max_repeat: float = 3.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every document.
+def plan(docs: DataFrame, max_repeat: float = 3.0) -> DataFrame:
+    """What the mix takes of each source: source_size, target, whole (repeats of all) and threshold.
 
-    ``copies`` is how often the mix holds the document, ``taken`` the words of
-    these copies.  A source's taken words differ from its target by less than
-    the size of one document (of one hash value).
+    Documents of the source whose hash is below the threshold are taken once more.
     """
-    d = written(sizes(docs), "mix-sizes")
+    return _plan(written(sizes(docs), "mix-sizes"), max_repeat)
+
+
+def _plan(d: DataFrame, max_repeat: float) -> DataFrame:
     per = written(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeat)
                   .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
                               .otherwise(F.lit(0)).cast("long"))
@@ -96,15 +100,38 @@ def mix(docs: DataFrame, max_repeat: float = 3.0) -> DataFrame:
     # the hash value on the threshold comes in when that is the nearer side
     cut = state.select("s", (F.col("prefix") + F.when(F.col("edge") <= 2 * F.col("left"), F.when(F.col("edge") > 0, 1).otherwise(0))
                              .otherwise(0)).alias("threshold"))
-    plan = per.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold"))
-    return (d.join(plan, F.col("source").eqNullSafe(F.col("s")))
-            .withColumn("copies", F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0))
-            .withColumn("copies", F.least("copies", F.lit(int(max_repeat))))
+    return written(per.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold")), "mix-plan")
+
+
+def _copies(h, max_repeat: float):
+    return F.least(F.col("whole") + F.when(h < F.col("threshold"), 1).otherwise(0), F.lit(int(max_repeat)).cast("long"))
+
+
+def mix(docs: DataFrame, max_repeat: float = 3.0) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of every document.
+
+    ``copies`` is how often the mix holds the document, ``taken`` the words of
+    these copies.  A source's taken words differ from its target by less than
+    the size of one document (of one hash value).
+    """
+    d = written(sizes(docs), "mix-sizes")
+    return (d.join(_plan(d, max_repeat), F.col("source").eqNullSafe(F.col("s")))
+            .withColumn("copies", _copies(F.col("h"), max_repeat))
             .select("doc_id", "source", "size", "source_size", "target", "copies",
                     (F.col("size") * F.col("copies")).alias("taken")))
 
 
+def mixed(docs: DataFrame, max_repeat: float = 3.0) -> DataFrame:
+    """The rows of the mix: ``docs`` filtered, and repeated as often as the mix holds them."""
+    take = plan(docs, max_repeat).select(F.struct("s", "whole", "threshold").alias("_mix_plan"))
+    joined = docs.join(take, docs["source"].eqNullSafe(take["_mix_plan.s"]))
+    h = doc_hash(docs["doc_id"])
+    copies = F.least(F.col("_mix_plan.whole") + F.when(h < F.col("_mix_plan.threshold"), 1).otherwise(0), F.lit(int(max_repeat)).cast("long"))
+    return (joined.withColumn("_mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies))))
+            .select(*(docs[c] for c in docs.columns)))
+
+
 #: The same computation in DuckDB, by sorting.
 ORACLE = """
 WITH d AS (SELECT doc_id, source,
@@ -117,7 +144,7 @@ l AS (SELECT *, cap / weight AS fill,
              (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lev
       FROM v),
-t AS (SELECT source, source_size, least(cap, coalesce(min(CASE WHEN fill >= lev THEN lev END) OVER (), fill) * weight) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, coalesce(arg_min(lev, pos) FILTER (WHERE fill >= lev) OVER (), fill) * weight) AS target FROM (SELECT *, row_number() OVER (ORDER BY fill, i) AS pos FROM l)),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 r AS (SELECT d.doc_id, d.h, d.size, b.source_size, b.target, b.whole, target - whole * b.source_size AS budget,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS run,

@@ -294,6 +294,12 @@ def join(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
+def keep_one(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
+    """``docs`` with the document of smallest doc_id of every component; rows without doc_id stay."""
+    gone = join(docs, sim).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 ORACLE = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),

@@ -175,16 +175,23 @@ def fit(docs: DataFrame, positives: DataFrame, per_class: int = 6000, prior: flo
     return QualityModel(_train(pos, unl, prior), prior)
 
 
-def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` with a column ``_quality`` (0 to 1) at the end; rows stay where they are."""
-    names = docs.columns
+def score(docs: DataFrame, model: QualityModel, name: str = "quality_score") -> DataFrame:
+    """``docs`` with a column ``name`` (0 to 1) at the end; rows stay where they are."""
+    names = [*docs.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 x = features(part.column("text"))
                 s = model.net.score(x) if model.net else np.full(len(x), 0.5)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*names, "_quality"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=names)
 
-    schema = docs.select("*", F.lit(0.0).cast("double").alias("_quality")).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).cast("double").alias(name)).schema)
+
+
+def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.3) -> DataFrame:
+    """``docs`` without the rows that score below ``least``; all columns stay."""
+    name = "quality_score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, model, name).where(F.col(name) >= least).drop(name)

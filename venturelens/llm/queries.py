@@ -44,8 +44,8 @@ def op9_quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = pu_quality.fit(docs, labels.where((F.col("quality") == 1) & (remainder("doc_id", 5) != 0)))
     return pu_quality.score(docs.select("doc_id", "text"), model).select(
-        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), F.col("_quality").alias("score"),
-        F.when(F.col("_quality") >= 0.3, 1).otherwise(0).alias("predicted"))
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), F.col("quality_score").alias("score"),
+        F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 @register("op8_secrets")

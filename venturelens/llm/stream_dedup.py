@@ -130,6 +130,19 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
                        ((F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))).alias("kept"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that are dropped as copies; all columns stay."""
+    names = docs.columns
+    place = {"_dedup_file": F.col("_metadata.file_path"), "_dedup_row": F.col("_metadata.row_index")}
+    try:
+        placed = docs.select("*", *(c.alias(n) for n, c in place.items()))
+    except AnalysisException:
+        docs = written(docs, "dedup-input")
+        placed = docs.select("*", *(c.alias(n) for n, c in place.items()))
+    gone = dedup(docs).where(~F.col("kept")).select(F.col("file").alias("_dedup_file"), F.col("row").alias("_dedup_row"))
+    return placed.join(gone, list(place), "left_anti").select(*names)
+
+
 ORACLE = """
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') AS norm, length(coalesce(text, '')) AS n FROM documents),
 k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d)

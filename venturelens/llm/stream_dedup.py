@@ -34,6 +34,13 @@ from venturelens.session import scratch_path, written
 
 #: Tasks over which the rows of one digest are spread while their bytes are compared.
 SALTS = 16
+#: State on disk; changes are checkpointed as logs, and small stores do not reserve space ahead.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -75,9 +82,9 @@ def advance(spark: SparkSession, landing: DataFrame, landing_path: str, state_pa
 
     digest, group_size and ``keep`` (identifier and locator of the row that stays).
     """
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = {key: spark.conf.get(key, None) for key in STATE_CONF}
+    for key, value in STATE_CONF.items():
+        spark.conf.set(key, value)
     try:
         query = (spark.readStream.schema(landing.schema).parquet(landing_path)
                  .groupBy("digest").agg(F.max(_best()).alias("keep"), F.count(F.lit(1)).alias("group_size"))
@@ -85,10 +92,8 @@ def advance(spark: SparkSession, landing: DataFrame, landing_path: str, state_pa
                  .option("checkpointLocation", state_path).start())
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(provider)
-        else:
-            spark.conf.set(provider, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     state = spark.read.format("statestore").load(state_path)
     keep, size = state.schema["value"].dataType.names[:2]
     return state.select(F.col("key.digest").alias("digest"), F.col(f"value.{keep}").alias("keep"),

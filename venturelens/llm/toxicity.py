@@ -259,13 +259,22 @@ class GruNet:
             self.p[k] = (self.p[k] - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)).astype(np.float32)
 
 
-def _telling(buckets: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How much more often than by chance the documents that hold a bucket have label 1 (0: no evidence); their number."""
-    pair = np.unique(doc * np.int64(BUCKETS) + buckets)
-    d, b = pair // BUCKETS, pair % BUCKETS
-    n1, n = np.bincount(b, y[d] == 1, BUCKETS), np.bincount(b, minlength=BUCKETS)
-    rate = max((y[np.unique(doc)] == 1).mean(), 1e-6)
-    return np.clip(np.log((n1 + 12 * rate) / (n * rate + 12 * rate)) - 0.7, 0, 2), n
+def _telling(idx: np.ndarray, to: np.ndarray, docs: np.ndarray, y: np.ndarray, of, support: int) -> tuple[np.ndarray, np.ndarray]:
+    """How much more often than by chance the documents that hold a bucket have label 1 (0: no evidence).
+
+    ``of`` gives the buckets of vocabulary places and how many each has.  The
+    second result tells which buckets at least ``support`` of the documents hold.
+    """
+    n1, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for some in np.array_split(docs, max(1, len(docs) // 64)):           # few documents at a time: bounded memory
+        each = [np.unique(idx[to[d]:to[d + 1]]) for d in some]
+        buckets, counts = of(np.concatenate(each))
+        holder = np.repeat(np.repeat(np.arange(len(some)), [len(e) for e in each]), counts)
+        pair = np.unique(holder * np.int64(BUCKETS) + buckets)
+        n1 += np.bincount(pair % BUCKETS, y[some][pair // BUCKETS] == 1, BUCKETS)
+        n += np.bincount(pair % BUCKETS, minlength=BUCKETS)
+    rate = max((y[docs] == 1).mean(), 1e-6)
+    return np.clip(np.log((n1 + 12 * rate) / (n * rate + 12 * rate)) - 0.7, 0, 2), n >= support
 
 
 def train(texts: pa.Array, y: np.ndarray, frequency: tuple[float, float] = (0.5, 0.5), rounds: int = 6, seed: int = 1) -> GruNet:
@@ -276,13 +285,10 @@ def train(texts: pa.Array, y: np.ndarray, frequency: tuple[float, float] = (0.5,
     word, spell, spell_to = _spellings(vocab)
     first, size, doc = _windows(to)
     fitted = rng.random(len(y)) >= 0.2
-    owner = np.repeat(np.arange(len(y)), np.diff(to))
-    mine = fitted[owner]
-    counts = np.diff(spell_to)[idx[mine]]
-    for name, buckets, docs, support in (("word", word[idx[mine]], owner[mine], 3),
-                                         ("char", spell[ranges(spell_to[idx[mine]], counts)], np.repeat(owner[mine], counts), 5)):
-        told, held = _telling(buckets, docs, y)
-        known = held >= support
+    for name, of, support in (
+            ("word", lambda w: (word[w], np.ones(len(w), np.int64)), 3),
+            ("char", lambda w: (spell[ranges(spell_to[w], np.diff(spell_to)[w])], np.diff(spell_to)[w]), 5)):
+        told, known = _telling(idx, to, np.flatnonzero(fitted), y, of, support)
         net.p[name][known] = rng.normal(0, 0.05, (int(known.sum()), DIM))
         net.p[name][:, 0] = np.where(known, told, 0)
         net.state[name] = known

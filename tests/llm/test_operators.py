@@ -1,0 +1,376 @@
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from common import WORD, edge_docs, jaccard_components, near_copies
+from venturelens.llm import byte_bpe, mixing, parity_join, ppm, projected_ann, pu_quality, rans, secret_scan, stream_dedup, textkit, toxicity
+from venturelens.llm.components import components
+from venturelens.llm.registry import tokenizer_file, tokenizer_pattern
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.read.parquet(f"{SF}/labels.parquet")
+
+
+def auc(y, s):
+    rank = np.argsort(np.argsort(s)) + 1
+    n1 = (y == 1).sum()
+    return (rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))
+
+
+def test_words_of_slices():
+    texts = pa.array([None, "A b", None, "", "c  D ", None, "é\tF"])
+    for at in range(7):
+        flat, to = textkit.words(texts[at:])
+        want = [[w.lower() for w in WORD.findall(t.as_py() or "")] for t in texts[at:]]
+        assert flat.to_pylist() == sum(want, []) and np.diff(to).tolist() == [len(w) for w in want]
+
+
+# 1
+def brute_nearest(ids, x, k=5):
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    out = {}
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = x @ x[i]
+        s[ids == ids[i]] = -9
+        out[ids[i]] = ids[np.lexsort((ids, -np.round(s, 13)))[:k]].tolist()
+    return out
+
+
+def test_nearest_recall(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    pdf = vectors.toPandas()
+    want = brute_nearest(pdf.vec_id.to_numpy(), np.stack(pdf.embedding).astype(float))
+    index = projected_ann.Index(vectors)
+    got = index.search(index.rows.where("vec_id % 50 = 0")).toPandas()
+    hit = sum(len(set(g.vec_id) & set(want[q])) for q, g in got.groupby("query_id"))
+    assert hit >= 0.9 * 5 * len(want) and sorted(got["rank"].unique()) == [1, 2, 3, 4, 5]
+
+
+def test_nearest_edges_and_many_parts(spark, monkeypatch):
+    rows = [(50, [1.0, 0.0]), (100, [1.0, 0.0]), (7, [2.0, 0.0]), (8, None), (9, [0.0, 0.0]), (10, [float("nan"), 1.0]),
+            (11, [None, 1.0]), (0, [0.0, 1.0]), (12, [1.0]), (None, [1.0, 1.0]), (13, [float("inf"), 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = projected_ann.Index(vectors)
+    got = [tuple(r) for r in index.search(index.rows.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
+    assert got[:3] == [(0, 1, 7, 0.0), (0, 2, 50, 0.0), (0, 3, 100, 0.0)] and got[3][:3] == (50, 1, 7) and len(got) == 9
+    assert projected_ann.Index(vectors.limit(0)).n == 0
+    monkeypatch.setattr(projected_ann, "ROWS", 40)
+    monkeypatch.setattr(projected_ann, "QUERIES", 3)
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(300, 6)), np.tile(rng.normal(size=(1, 6)), (200, 1))])
+    ids = np.arange(len(x))
+    index = projected_ann.Index(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>"))
+    got = index.search(index.rows.where("vec_id % 50 = 0"), confidence=0.999).toPandas().sort_values("rank")
+    want = brute_nearest(ids, x)
+    assert sum(g.vec_id.tolist() == want[q] for q, g in got.groupby("query_id")) >= 0.9 * len(want)
+    assert all(got[got.query_id == q].vec_id.tolist() == want[q] for q in (300, 350, 400, 450))      # copies: ties by id
+
+
+# 2
+def test_toxicity_held_out(docs, labels):
+    text = {r.doc_id: r.text for r in docs.collect()}
+    rows = [(r.doc_id, r.toxic) for r in labels.orderBy("doc_id").collect()]
+    held = np.array([zlib.crc32(str(i).encode()) % 3 == 1 for i, _ in rows])
+    y = np.array([t for _, t in rows], float)
+    texts = pa.array([text[i] for i, _ in rows])
+    keep = pa.array(~held)
+    net = toxicity.train(texts.filter(keep), y[~held], (1 - y.mean(), y.mean()))
+    s = net.scores(texts)
+    assert auc(y[held], s[held]) > 0.75 and ((s >= 0) & (s <= 1)).all()
+    # scores do not depend on the neighbours in a batch
+    assert np.allclose(net.scores(texts[7:9]), s[7:9], atol=1e-5)
+
+
+def test_toxicity_gradient():
+    net = toxicity.GruNet.new(3)
+    vocab = pa.array(["idiot", "clown", "word", "other"])
+    word, spell, to = toxicity._spellings(vocab)
+    rng = np.random.default_rng(0)
+    for name, rows in (("word", word), ("char", spell)):
+        net.p[name][rows] = rng.normal(0, 0.5, (len(rows), toxicity.DIM))
+        net.state[name] = np.ones(toxicity.BUCKETS, bool)
+    ids, live = np.array([[0, 1, 2], [3, 2, 0]]), np.array([[True, True, True], [True, True, False]])
+    y, seen = np.array([1.0, 0.0]), {}
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net._adam = lambda g, rate: seen.update(g)
+
+    def loss():
+        x = net.inputs(vocab).astype(np.float64)
+        flat = np.array([0, 1, 2, 3, 2])
+        m = net.margins(x, flat, np.array([0, 3]), np.array([3, 2])).astype(float)
+        return np.mean(np.logaddexp(0, m) - y * m)
+
+    net.learn(word, spell, to, ids, live, y, np.ones(2), 0.0)
+    for name in ("o", "A", "v", "fWz", "fUn", "bUr", "bWn", "bbz"):
+        flat = net.p[name].reshape(-1)
+        old, step = flat[0], 1e-3
+        flat[0] = old + step
+        up = loss()
+        flat[0] = old - step
+        down = loss()
+        flat[0] = old
+        assert abs((up - down) / (2 * step) - seen[name].reshape(-1)[0]) < 2e-3, name
+
+
+def test_toxicity_edges(spark):
+    out = toxicity.score(edge_docs(spark), toxicity.GruNet.new()).collect()
+    assert len(out) == 13 and all(0 <= r.score <= 1 for r in out)
+    assert [r.score for r in toxicity.score(edge_docs(spark).limit(2), None).collect()] == [0.0, 0.0]
+    assert toxicity.fit(edge_docs(spark), spark.createDataFrame([(1, 1)], "doc_id long, label int")) is None
+
+
+# 3
+def test_bpe_safe_boundaries(monkeypatch):
+    codec = byte_bpe.Codec(byte_bpe.read_ranks(None, tokenizer_file("byte_bpe_multi_50k.tiktoken")), tokenizer_pattern())
+    monkeypatch.setattr(byte_bpe, "PIECE", 7)
+    monkeypatch.setattr(byte_bpe, "LONG_TEXT", 1)
+    rng = random.Random(1)
+    for _ in range(1500):
+        t = "".join(rng.choice([" ", "\n", "\t", "\x1c", "\xa0", "a", "é", "9", "漢", "'", "s", "t", "!", " ", "́", "😀", "\r"]) for _ in range(rng.randint(0, 80)))
+        ids = codec.encode(t)
+        assert ids == codec._enc.encode_ordinary(t) and codec.decode(ids) == t.encode()
+
+
+def test_bpe_round_trip(spark):
+    ranks = byte_bpe.read_ranks(spark, tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    docs = edge_docs(spark).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    enc = byte_bpe.encode(docs, ranks, tokenizer_pattern())
+    back = {r.doc_id: bytes(r.bytes).decode() for r in byte_bpe.decode(enc, ranks).collect()}
+    assert back == {r.doc_id: r.text or "" for r in docs.collect()}
+    short = byte_bpe.encode(docs, ranks, tokenizer_pattern(), digests=True).collect()
+    ids = {r.doc_id: r.ids for r in enc.collect()}
+    assert all(r.ids_sha256 == hashlib.sha256(",".join(map(str, ids[r.doc_id])).encode()).hexdigest()
+               and r.decoded_sha256 == hashlib.sha256(back[r.doc_id].encode()).hexdigest() for r in short)
+    assert byte_bpe.encode(docs.limit(0), ranks, tokenizer_pattern()).count() == 0
+
+
+# 4
+def water_level(sizes):
+    names = sorted(s for s in sizes if s is not None) + ([None] if None in sizes else [])
+    weight, target = {s: 1 + i % 3 for i, s in enumerate(names)}, dict.fromkeys(names, 0.0)
+    rest, below = float(sum(sizes.values())), set(names)
+    while rest > 1e-9 and below:
+        share, rest = rest / sum(weight[s] for s in below), 0.0
+        for s in list(below):
+            target[s] += share * weight[s]
+            if target[s] >= 3 * sizes[s]:
+                rest += target[s] - 3 * sizes[s]
+                target[s] = 3.0 * sizes[s]
+                below.discard(s)
+    return target
+
+
+@pytest.mark.parametrize("sources", [1, 7, 20])
+def test_mix(spark, sources):
+    rng = random.Random(sources)
+    rows = [(i, rng.choice([None, "", " ".join(["w"] * rng.randint(0, 60))]),
+             rng.choice([None] + [f"s{k}" for k in range(sources)] + ["s0"] * sources)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(WORD.findall(t or ""))
+    want, got = water_level(sizes), mixing.mix(docs).collect()
+    taken = dict.fromkeys(want, 0)
+    for r in got:
+        assert r.target == pytest.approx(want[r.source], abs=1e-6) and r.source_size == sizes[r.source] and r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    assert len(got) == 300 and all(abs(taken[s] - want[s]) <= 60 for s in want)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=str)
+
+
+def test_mix_rows_and_edges(spark):
+    docs = edge_docs(spark)
+    plan = mixing.mix(docs).collect()
+    assert len(plan) == 13 and all(r.taken == r.copies * r.size for r in plan)
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns and got.count() == sum(r.copies for r in plan)
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+# 5
+def test_dedup_with_colliding_digests(spark):
+    docs = edge_docs(spark, [(20, "a b", "en", "a"), (21, "ab", "en", "a"), (22, " a b ", "en", "a")])
+    text = [(r.doc_id, re.sub(r"[\x20\x09-\x0D]", "", r.text or ""), len(r.text or "")) for r in docs.collect()]
+    weak = lambda c: F.substring(F.sha2(c.cast("binary"), 256), 1, 1)  # noqa: E731  sixteen digests only
+    for digest in (stream_dedup.sha256, weak):
+        got = stream_dedup.dedup(docs, digest).collect()
+        groups = {}
+        for i, t, n in text:
+            groups.setdefault(t, []).append((-n, i is None, i))
+        want = sorted((i, min(groups[t])[2], len(groups[t])) for i, t, _ in text if i is not None)
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got if r.doc_id is not None) == want
+        assert sum(r.kept for r in got) == len(groups) and len(got) == len(text)
+    assert stream_dedup.dedup(docs.limit(0)).count() == 0
+    kept = stream_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len(groups)
+
+
+def test_dedup_state_goes_on(spark):
+    from venturelens.session import scratch_path
+    base = scratch_path(spark, "test-dedup")
+    for docs, size in (([(1, "a b")], 1), ([(2, "ab "), (3, "zz")], 2)):
+        rows = stream_dedup.located(spark.createDataFrame(docs, "doc_id long, text string"))
+        landing = stream_dedup.land(rows, f"{base}/landing")
+        state = stream_dedup.advance(spark, landing, f"{base}/landing", f"{base}/state").collect()
+        assert max(r.group_size for r in state) == size
+    assert len(state) == 2
+
+
+# 6
+def test_language_held_out(docs):
+    trees = ppm.fit(docs.where(textkit.remainder("doc_id", 4) != 2))
+    got = ppm.predict(docs, trees).join(docs.select("doc_id", "lang"), "doc_id").where(textkit.remainder("doc_id", 4) == 2).collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97
+
+
+def test_ppm_probabilities():
+    trees = ppm.fit_trees({"x": ["abracadabra abc", "bra"], "y": ["zyx zzz"]})
+    spread = np.exp(-trees.cost[:-1, :-1].astype(float)).sum(1) + (257 - trees.child.shape[1]) * np.exp(-trees.cost[:-1, -1].astype(float))
+    assert np.allclose(spread, 1, atol=1e-5)             # every context's code is complete
+    whole = ppm.code_lengths(pa.array(["abra zyx", None, "", "abra zyx"])[1:], trees)
+    assert np.allclose(whole[2], ppm.code_lengths(pa.array(["abra zyx"]), trees)[0]) and not whole[:2].any()
+
+
+def test_language_edges(spark):
+    docs = edge_docs(spark)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in ppm.predict(docs, ppm.fit(docs)).where("doc_id IS NOT NULL").collect()}
+    assert got[3] == got[4] == got[5] == got[8] == ("und", 0.0) and got[9][0] in ("en", "de", "fr")
+    assert {r.lang_pred for r in ppm.predict(docs, ppm.fit(docs.limit(0))).collect()} == {"und"}
+
+
+# 7
+def test_rans_blocks():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 63, 64, 16384, 16385, 60_000):
+        ids = np.minimum(rng.zipf(1.3, n), 3000) - 1
+        count = np.bincount(ids, minlength=5) if n else np.array([1, 0, 3])
+        freq = np.where(count > 0, np.maximum(1, count * (1 << rans.PROB_BITS) // count.sum()), 0)
+        freq[np.argmax(freq)] += (1 << rans.PROB_BITS) - freq.sum()
+        frame = rans.encode_ids(ids, freq)
+        assert (rans.Decoder(freq).decode(frame) == ids).all()
+    broken = bytearray(frame)
+    broken[500] ^= 1
+    with pytest.raises(ValueError):
+        rans.Decoder(freq).decode(bytes(broken))
+
+
+def test_word_coder_is_the_library():
+    path = tokenizer_file("word_bpe_49k.json")
+    coder, rng = rans.WordCoder(path), random.Random(4)
+    pieces = ["a", "B", "É", "é", "1", "٣", ".", ",", "'s", "'", "!", "%", " ", "\n", "\x1c", "\xa0", "́", "Σ", "ß", "İ", "漢", "😀",
+              "<|endoftext|>", "-", "…", "²", "̸", "=", "K"]
+    for _ in range(1500):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
+        flat, _ = textkit.words(pa.array([t]), lower=False)
+        assert [int(i) for w in coder.ids(flat.to_pylist()) for i in w] == coder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_token_files(spark, docs, monkeypatch):
+    monkeypatch.setattr(rans, "FRAME", 5000)
+    path = tokenizer_file("word_bpe_49k.json")
+    got = sorted(map(tuple, rans.pack(docs, path, 2).collect()))
+    coder, at = rans.WordCoder(path).tokenizer, 0
+    for row, doc in zip(got, docs.orderBy("doc_id").collect()):
+        ids = coder.encode(doc.text or "", add_special_tokens=False).ids + [2]
+        assert row == (doc.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    edge = rans.pack(edge_docs(spark), path, 2).collect()
+    assert len(edge) == 13 and sorted(r.start for r in edge)[0] == 0
+    assert rans.pack(edge_docs(spark).limit(0), path, 2).count() == 0
+
+
+# 8
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute_base(t):
+    t = t or ""
+    return sorted([(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+                  + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+                  + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16])
+
+
+def test_secret_base_rules(spark):
+    rng = random.Random(2)
+    pieces = ["token", "TOKEN", "password", "passwd", " ", ":", "=", '"', "'", "a1b2c3d4e5f6a7b8", "AKIA", "ABCD1234EFGH5678", "é", "\n",
+              "0123456789abcdef", "secret", "api_key", "apikey", "K", "ſ", ".", "zz", "tokentoken"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(1500)] + [None, "", "a" * 100_000 + "token=abcdefabcdefabcdef"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.scan(docs, None).collect():
+        assert [(s["start"], secret_scan.KINDS.index(s["kind"]), s["end"]) for s in r.spans] == brute_base(texts[r.doc_id])
+
+
+def test_secret_network_adds_spans(spark, docs):
+    model = secret_scan.fit(docs)
+    assert model is not None and model.threshold >= 0.5
+    key = "Zm9vYmFyMTIzNDU2Nzg5cXV4" + "9f8e7d6c5b4a39281706"
+    plain = "the quick brown fox jumps over seventeenhundredwonderfulhouses and goes home"
+    rows = [(1, f"deploy with {key} tonight"), (2, plain), (3, f"token = {'ab12' * 8}")]
+    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.spans]
+           for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert ("model", 12, 12 + len(key)) in got[1] and got[2] == [] and {k for k, *_ in got[3]} == {"assign", "hex"}
+    assert len(secret_scan.scan(edge_docs(spark), model).collect()) == 13
+    assert secret_scan.fit(docs.limit(0)) is None
+
+
+# 9
+def test_quality_held_out(docs, labels):
+    model = pu_quality.fit(docs, labels.where((F.col("quality") == 1) & (textkit.remainder("doc_id", 5) != 0)))
+    got = (pu_quality.score(docs.select("doc_id", "text"), model).join(labels, "doc_id")
+           .where(textkit.remainder("doc_id", 5) == 0).toPandas())
+    assert auc(got.quality.to_numpy(), got.quality_score.to_numpy()) > 0.97 and 0.7 < model.prior < 0.97
+
+
+def test_quality_edges(spark):
+    docs = edge_docs(spark).withColumn("quality_score", F.lit("mine"))
+    empty = spark.createDataFrame([], "doc_id long")
+    kept = pu_quality.keep_good(docs, pu_quality.fit(docs, empty))
+    assert kept.columns == docs.columns and kept.count() == 13        # nothing learned: 0.5 for every row
+    some = pu_quality.fit(docs, spark.createDataFrame([(1,), (6,), (7,), (9,)], "doc_id long"))
+    assert all(0 <= r.s <= 1 for r in pu_quality.score(docs, some, "s").collect())
+    assert pu_quality.score(docs.limit(0), some, "s").count() == 0
+
+
+# 10
+@pytest.mark.parametrize("n,percent,block", [(3, 90, 1024), (5, 80, 8), (2, 60, 1024)])
+def test_jaccard_join(spark, monkeypatch, n, percent, block):
+    monkeypatch.setattr(parity_join, "BLOCK", block)
+    rows = near_copies(n) + [(9001, None), (9002, ""), (9003, " \n"), (None, "a b c"), (None, "a b c")]
+    rows.append(rows[5])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(map(tuple, parity_join.join(docs, parity_join.Similarity(n, percent)).collect()), key=str)
+    assert got == jaccard_components(rows, n, percent)
+
+
+def test_jaccard_keep_one_and_edges(spark):
+    docs = edge_docs(spark)
+    kept = parity_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 1, 3, 4, 5, 6, 7, 8, 9, 10]
+    assert parity_join.join(docs.limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}

@@ -34,3 +34,13 @@ def test_global_quantiles(spark):
     df = spark.createDataFrame([(float(x),) for x in [5, 1, 3, 3, 9, 7]], "v double")
     r = exact_quantiles(df, "v", [0.25, 0.5, 0.9]).first()
     assert r.n == 6 and [r.q_0, r.q_1, r.q_2] == list(np.quantile([5, 1, 3, 3, 9, 7], [0.25, 0.5, 0.9]))
+
+
+def test_one_value_on_half_of_the_rows_is_one_row(spark):
+    """The hot value is folded before the range partitioning: no task reads its rows."""
+    n = 4000
+    df = spark.range(n).selectExpr("'g' AS g", "CASE WHEN id % 2 = 0 THEN 7.0 ELSE id * 1.0 END AS v")
+    r = exact_quantiles(df, "v", [0.1, 0.5, 0.9], ["g"], partitions=16).first()
+    import numpy as np
+    x = np.where(np.arange(n) % 2 == 0, 7.0, np.arange(n))
+    assert [r.q_0, r.q_1, r.q_2] == list(np.quantile(x, [0.1, 0.5, 0.9])) and r.n == n

@@ -57,16 +57,12 @@ def test_rmse_agrees_with_evaluator(spark):
     assert abs(ours - ev) < 1e-12
 
 
-def test_table_scan_built_once_and_spread_only_when_narrow(spark):
-    from venturelens.sources.bindings import spread_if_narrow, table
+def test_table_scan_built_once(spark):
+    from venturelens.sources.bindings import table
 
     a = table(spark, SMOKE, "documents")
     assert table(spark, SMOKE, "documents") is a  # one scan (one schema job) per session
-    cores = spark.sparkContext.defaultParallelism
-    assert a.rdd.getNumPartitions() >= cores  # single row group: spread to the cores
     assert a.count() == spark.read.parquet(f"{SMOKE}/documents.parquet").count()
-    wide = spark.read.parquet(f"{SMOKE}/documents.parquet").repartition(cores * 2, "doc_id")
-    assert spread_if_narrow(wide, "doc_id") is wide  # enough splits: no extra shuffle
     # views are registered once per folder and follow a change of folder
     binding(spark, SMOKE, "catalog").count()
     other = "/root/testdata/sf0.01"
@@ -81,3 +77,19 @@ def test_assign_row_id_dense_with_hot_key(spark, parts):
     got = sorted((r.row_id, r.company, r.id) for r in assign_row_id(df, ["company", "id"]).collect())
     want = [(n, c, i) for n, (c, i) in enumerate(sorted((c, i) for i, c in rows))]
     assert got == want
+
+
+def test_csv_catalog_by_header_name(spark):
+    folder = tempfile.mkdtemp(prefix="vl-csv-")
+    path = os.path.join(folder, "c.csv")
+    with open(path, "w") as f:
+        f.write('City,Company,Funding Amount in $,Description,Industries,Funding Round,Founders Count\n'
+                'Oslo,Acme,"$1,000","makes ""things"", fast","A,B",Seed,2\nBern,None,5M,,C,Seed,\n')
+    rows = scan_catalog(spark, path).orderBy("id").collect()
+    assert [(r.id, r.company, r.city, r.funding_raw, r.description_raw, r.founders_count_raw, r.starting_year_raw) for r in rows] == [
+        (0, "Acme", "Oslo", "$1,000", 'makes "things", fast', "2", None), (1, None, "Bern", "5M", None, None, None)]
+    for bad in ("Company,City\na,b\n", "Company,Description,Industries,City,Funding Amount in $,Funding Round,Colour\n1,2,3,4,5,6,7\n"):
+        with open(path, "w") as f:
+            f.write(bad)
+        with pytest.raises(ValueError):
+            scan_catalog(spark, path)

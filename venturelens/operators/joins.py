@@ -1,17 +1,17 @@
-"""Join helpers: broadcast only behind a checked row bound."""
+"""Join helper for small per-group tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Small per-group tables (counts, fences) beyond this many rows are joined with a
-# shuffle join instead (AQE skew-join handling then splits hot keys).
-BROADCAST_MAX_ROWS = 1_000_000
+from venturelens.session import written
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def computed_once(df: DataFrame, name: str = "small") -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    It is computed once however often it is used, and its size in bytes is then
+    known: Spark broadcasts it below ``spark.sql.autoBroadcastJoinThreshold``
+    and shuffles beyond (AQE then splits hot keys).
+    """
+    return written(df, name)

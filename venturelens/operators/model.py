@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from venturelens.functions.cleaning import inverse_target
 from venturelens.operators.guards import funded_only, min_rows_guard
-from venturelens.operators.joins import broadcast_if_small
+from venturelens.operators.joins import computed_once
 from venturelens.operators.quantiles import exact_quantiles
 from venturelens.operators.vectors import with_embedding
 from venturelens.schema import (
@@ -54,7 +54,7 @@ def frequency_encode(df: DataFrame, table: DataFrame, col: str, out_col: str,
     shuffle join with AQE skew handling.
     """
     key = F.coalesce(F.col(col), F.lit(missing))
-    t = broadcast_if_small(table.select(F.col("value").alias(f"_{out_col}_v"),
+    t = computed_once(table.select(F.col("value").alias(f"_{out_col}_v"),
                                         F.col("n").alias(f"_{out_col}_n")))
     j = df.join(t, key == F.col(f"_{out_col}_v"), "left")
     return j.withColumn(out_col, F.coalesce(F.col(f"_{out_col}_n"), F.lit(0)).cast("double")) \

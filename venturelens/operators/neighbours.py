@@ -11,7 +11,7 @@ from venturelens.schema import DEFAULT_K, UNKNOWN_INDUSTRY
 
 def ids_in(df: DataFrame, result: DataFrame, id_col: str = "id") -> DataFrame:
     """rows of ``df`` whose id appears in ``result`` (left semi join)."""
-    return df.join(result.select(id_col).distinct(), id_col, "left_semi")
+    return df.join(result.select(id_col), id_col, "left_semi")
 
 
 def lookup_in_rank_order(neighbours: DataFrame, catalog: DataFrame,

@@ -75,22 +75,24 @@ def score_pairs(pairs: DataFrame, scorer: Callable[[pd.Series], list] | None = N
 
 
 def extract_json_blob(col: Column | str) -> Column:
-    """The first flat ``{...}`` inside noisy text, else null."""
+    """The first flat ``{...}`` inside noisy text, else null; braces in quoted strings do not count."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.nullif(F.regexp_extract(c, r"\{[^{}]*\}", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(c, r'\{(?:[^{}"]++|"(?:[^"\\]++|\\.)*+")*+\}', 0), F.lit(""))
 
 
 def parse_verdicts(df: DataFrame, raw_col: str = "raw", extract: bool = False) -> DataFrame:
     """L3: JSON text -> typed columns.
 
     Fields are read as strings, so a quoted number still parses.  A record
-    exists only for a non-empty JSON object (an empty object counts as no
-    answer); otherwise every field is null and ``has_record`` is false.
+    exists only when the whole text is one non-empty JSON object (an empty
+    object, a second object or words after it count as no answer); otherwise every field is null and ``has_record`` is false.
     """
     text = extract_json_blob(raw_col) if extract else F.col(raw_col)
     keys = F.json_object_keys(text)
     parsed = F.from_json(text, VERDICT_SCHEMA)
-    has = F.coalesce(F.size(keys) > 0, F.lit(False))
+    # the text as the only element of an array: anything after the object breaks that
+    alone = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>")
+    has = F.coalesce((F.size(alone) == 1) & (F.size(keys) > 0), F.lit(False))
     return df.select(
         "*",
         has.alias("has_record"),

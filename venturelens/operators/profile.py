@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from venturelens.operators.joins import broadcast_if_small
+from venturelens.operators.joins import computed_once
 from venturelens.operators.quantiles import exact_quantiles
 from venturelens.session import ensure_checkpoint_dir
 
@@ -171,19 +171,20 @@ def auto_bins(n: int, lo: float, hi: float, iqr: float) -> int:
 
 
 def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
-    """P5: equal-width bins over [min, max]; the last bin is closed."""
+    """P5: equal-width bins over [min, max], empty ones too; the last bin is closed."""
     s = _stats_row(df, col)
     if s["n"] == 0:
-        return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, n bigint")
+        return df.sparkSession.createDataFrame([], "bin bigint, lo double, hi double, n bigint")
     nb = bins or auto_bins(s["n"], s["lo"], s["hi"], s["iqr"])
     lo, hi = float(s["lo"]), float(s["hi"])
     width = (hi - lo) / nb if hi > lo else 1.0
     x = F.col(col).cast("double")
-    idx = F.least(F.floor((x - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(nb - 1))
+    idx = F.least(F.floor((x - F.lit(lo)) / F.lit(width)).cast("bigint"), F.lit(nb - 1).cast("bigint"))
     counts = df.where(x.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("bin", F.round(F.lit(lo) + F.col("bin") * F.lit(width), 6).alias("lo"),
+    every = df.sparkSession.range(nb).withColumnRenamed("id", "bin")
+    return every.join(counts, "bin", "left").select("bin", F.round(F.lit(lo) + F.col("bin") * F.lit(width), 6).alias("lo"),
                          F.round(F.lit(lo) + (F.col("bin") + 1) * F.lit(width), 6).alias("hi"),
-                         F.col("n").cast("bigint").alias("n"))
+                         F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def kde_curve(df: DataFrame, col: str, points: int = 200, cut: float = 3.0) -> DataFrame:
@@ -226,7 +227,7 @@ def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     # one fence row per group, fixed once (checkpoint) then broadcast behind a row
     # check, so a hot group is not sent to one task by the join
     ensure_checkpoint_dir(df.sparkSession)
-    fences = broadcast_if_small(fences.checkpoint(eager=True))
+    fences = computed_once(fences)
     j = base.join(fences, F.col("grp").eqNullSafe(F.col("_g"))).drop("_g")
     out = j.groupBy("grp", "n", "q1", "median", "q3", "lo_fence", "hi_fence").agg(
         F.min(F.when(F.col("v") >= F.col("lo_fence"), F.col("v"))).alias("whisker_lo"),

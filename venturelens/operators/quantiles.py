@@ -4,19 +4,17 @@ Spark's exact ``percentile`` aggregate merges every distinct value of a group
 in one buffer, so one hot group (or a global quantile) lands on one task.
 This operator instead:
 
-1. range-partitions the (group, value) rows and sorts each partition, so a hot
-   group is split across many partitions by value;
-2. numbers rows inside each partition (``monotonically_increasing_id`` after
-   the sort) and counts rows per (partition, group) - a table of at most
-   partitions x groups rows;
-3. turns those counts into per-partition rank offsets (a window over the small
-   table) and computes, for every group and probability, the two row ids that
-   hold ranks floor((n-1)p) and ceil((n-1)p);
-4. fetches just those rows with a join on the row id (broadcast when the
-   target list is small, a checked bound) and interpolates.
+1. counts rows per distinct (group, value) with map-side partial aggregation,
+   so however many rows share one value, they are one row with a weight;
+2. range-partitions these distinct values and sums the weights inside each
+   partition, so a hot group is split over many partitions by value;
+3. turns the weights per (partition, group), a table of at most partitions x
+   groups rows, into rank offsets, and finds for every group and probability
+   the partition that holds ranks floor((n-1)p) and ceil((n-1)p);
+4. fetches the values whose running weight covers those ranks, and interpolates.
 
-The numbered rows are checkpointed (reliable checkpoint in the shared folder)
-before they are used twice.
+The partitioned values are checkpointed (reliable checkpoint in the shared
+folder) before they are used twice.
 
 The result equals ``percentile`` / DuckDB ``quantile_cont``.
 """
@@ -28,8 +26,6 @@ from pyspark.sql import functions as F
 
 from venturelens.session import ensure_checkpoint_dir
 
-BROADCAST_TARGET_ROWS = 2_000_000
-
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], group_cols: list[str] | None = None,
                     partitions: int | None = None, prefix: str = "q") -> DataFrame:
@@ -38,15 +34,15 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], group_cols: l
     spark = df.sparkSession
     nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = (df.select(*g, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-         .repartitionByRange(nparts, *g, "_v").sortWithinPartitions(*g, "_v")
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    # The row ids are used twice (rank statistics, value lookup).  A reliable
+         .groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_w"))
+         .repartitionByRange(nparts, *g, "_v")
+         .withColumn("_pid", F.spark_partition_id()))
+    # The partition numbers are used twice (rank offsets, value lookup).  A reliable
     # checkpoint in the shared folder fixes them once: a re-run or a lost
-    # executor cannot re-sample the range bounds and renumber rows.
+    # executor cannot re-sample the range bounds and renumber partitions.
     ensure_checkpoint_dir(spark)
     s = s.checkpoint(eager=True)
-    stats = s.groupBy("_pid", *g).agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_c"))
+    stats = s.groupBy("_pid", *g).agg(F.sum("_w").alias("_c"))
     by_group = Window.partitionBy(*g) if g else Window.partitionBy()
     before = by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = (stats.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
@@ -57,16 +53,17 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], group_cols: l
         for kind, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             wanted.append(F.struct(F.lit(i).alias("_i"), F.lit(kind).alias("_k"),
                                    rank.cast("long").alias("_r"), (pos - F.floor(pos)).alias("_f")))
-    targets = (stats.select(*g, "_n", "_off", "_c", "_m0", F.explode(F.array(*wanted)).alias("_t"))
-               .select(*g, "_n", "_off", "_c", "_m0", "_t.*")
+    targets = (stats.select(*g, "_pid", "_n", "_off", "_c", F.explode(F.array(*wanted)).alias("_t"))
+               .select(*g, "_pid", "_n", "_off", "_c", "_t.*")
                .where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_c")))
-               .select(*[F.col(c) for c in g], "_n", "_i", "_k", "_f",
-                       (F.col("_m0") + F.col("_r") - F.col("_off")).alias("_mid")))
-    # without groups each rank sits in exactly one partition: at most two rows
-    # per probability, a bound known without a job; with groups, count them
-    small = not g or targets.count() <= BROADCAST_TARGET_ROWS
-    right = F.broadcast(targets) if small else targets
-    vals = s.select("_mid", "_v").join(right, "_mid")
+               .select(*[F.col(c).alias(f"_t_{c}") for c in g], F.col("_pid").alias("_t_pid"), "_n", "_i", "_k", "_f",
+                       (F.col("_r") - F.col("_off")).alias("_at")))
+    in_part = Window.partitionBy("_pid", *g).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = s.withColumn("_end", F.sum("_w").over(in_part))
+    same = F.col("_pid") == F.col("_t_pid")
+    for c in g:
+        same &= F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+    vals = ranked.join(targets, same & (F.col("_at") < F.col("_end")) & (F.col("_at") >= F.col("_end") - F.col("_w")))
     per_p = vals.groupBy(*g, "_n", "_i").agg(
         F.max(F.when(F.col("_k") == "lo", F.col("_v"))).alias("_lo"),
         F.max(F.when(F.col("_k") == "hi", F.col("_v"))).alias("_hi"),

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from venturelens.functions.text import hash_bucket, raw_tokens, token_hash
+from venturelens.session import written
 from venturelens.schema import DEFAULT_K, ENCODER_DIM, TOKEN_SPLIT_PATTERN
 
 # ---------------------------------------------------------------------------
@@ -286,15 +287,11 @@ def top_k_similar(ideas: DataFrame, catalog: DataFrame, k: int = DEFAULT_K,
     spark = ideas.sparkSession
     q = ideas.select(F.col(idea_id).alias("idea_id"), F.col(vec_col).alias("embedding"))
     cat = catalog.select(F.col(cat_id).alias("id"), F.col(vec_col).alias("embedding"))
-    dim_guess = 1024  # bytes per idea row bound used only to size the probe
-    probe_rows = max(1, broadcast_budget_bytes // dim_guess)
-    local = q.limit(probe_rows + 1).toPandas()
-    q_bytes = 0 if local.empty else int(sum(len(v) for v in local["embedding"]) * 8)
-    if len(local) <= probe_rows and q_bytes <= broadcast_budget_bytes:
-        cands = _broadcast_scan(spark, local, cat, k, exclude_self)
-        # at most len(local) x k rows (checked above): safe to broadcast into the
-        # catalog lookup join, so the catalog is not shuffled for it either
-        return F.broadcast(_final_topk(cands, k))
+    # stored once: encoded one time, and sized before anything reaches the driver
+    q = written(q, "ideas")
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("embedding")).alias("floats")).first()
+    if (size["floats"] or 0) * 8 + size["n"] * 8 <= broadcast_budget_bytes:
+        return _final_topk(_broadcast_scan(spark, q.toPandas(), cat, k, exclude_self), k)
     cands = _block_grid(q, cat, k, exclude_self, idea_block_rows, catalog_block_rows,
                         min_catalog_blocks)
     return _final_topk(cands, k)

@@ -26,15 +26,16 @@ from venturelens.plans import oracle as O
 from venturelens.plans.evaluate import copycat_report, evaluate_ideas, evaluate_ideas_full
 from venturelens.plans.registry import register
 from venturelens.schema import (
-    COPY_LABEL, DEFAULT_K, FEATURE_MISSING_TOKEN, MISSING_REASONING, NO_ANALYSIS_REASONING,
+    CATALOG_HEADERS, COPY_LABEL, DEFAULT_K, FEATURE_MISSING_TOKEN, MISSING_REASONING, NO_ANALYSIS_REASONING,
     TRAINING_DEFAULTS, UNIQUE_LABEL, VALIDATION_PERCENT, YearBounds,
 )
 from venturelens.session import shared_path
 from venturelens.sources.bindings import (
-    CATALOG_SQL, IDEAS_SQL, MEMBER_PREDICTIONS_SQL, VERDICTS_SQL, binding, spread_if_narrow, table,
+    CATALOG_SQL, IDEAS_SQL, MEMBER_PREDICTIONS_SQL, VERDICTS_SQL, binding, table,
 )
 from venturelens.sources.catalog import (
-    assign_row_id, clean_catalog, normalize_nulls, scan_requests, select_columns, write_results,
+    assign_row_id, clean_catalog, normalize_nulls, scan_catalog, scan_requests, select_columns,
+    write_results,
 )
 from venturelens.streaming.requests import evaluate_stream
 
@@ -83,7 +84,15 @@ EMB_KNN = (O.list_vector_cte("ev", "embeddings", "vec_id", "embedding") + ",\n"
 
 @register("scan_catalog", PREFIX + "\nSELECT * FROM scanned")
 def q_scan_catalog(spark, sf):
-    return scanned_catalog(spark, sf)
+    """The catalog as a CSV file with the public headers, in another order, read by the real reader."""
+    path = scratch(spark, "catalog-csv")
+    header = {raw: h for h, raw in CATALOG_HEADERS.items()}
+    raw = binding(spark, sf, "catalog")
+    shuffled = sorted(raw.columns, key=lambda c: c[::-1])
+    (raw.select(*[F.col(c).alias(header.get(c, c)) for c in shuffled])
+     .write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return scan_catalog(spark, path)
 
 
 MODEL_INPUT_COLS = ["id", "description", "starting_year", "founders_count", "employees_count",
@@ -564,10 +573,10 @@ b AS (SELECT greatest(CAST(ceil(log2(n)) AS BIGINT) + 1,
                       CASE WHEN iqr > 0 THEN CAST(ceil((hi - lo) / (2.0 * iqr * pow(n, -1.0 / 3.0))) AS BIGINT) ELSE 0 END) AS nb,
              lo, hi FROM s),
 w AS (SELECT nb, lo, (hi - lo) / nb AS width FROM b)
-SELECT CAST(bin AS INTEGER) AS bin, round(w.lo + bin * w.width, 6) AS lo, round(w.lo + (bin + 1) * w.width, 6) AS hi,
-       CAST(n AS BIGINT) AS n
-FROM (SELECT least(CAST(floor((e.value - w.lo) / w.width) AS BIGINT), w.nb - 1) AS bin, count(*) AS n
-      FROM events e, w WHERE e.value IS NOT NULL GROUP BY 1) t, w"""
+SELECT every.bin, round(w.lo + every.bin * w.width, 6) AS lo, round(w.lo + (every.bin + 1) * w.width, 6) AS hi,
+       CAST(coalesce(n, 0) AS BIGINT) AS n
+FROM (SELECT unnest(range((SELECT nb FROM w))) AS bin) every CROSS JOIN w LEFT JOIN (SELECT least(CAST(floor((e.value - w.lo) / w.width) AS BIGINT), w.nb - 1) AS bin, count(*) AS n
+      FROM events e, w WHERE e.value IS NOT NULL GROUP BY 1) t ON t.bin = every.bin"""
 
 
 @register("histogram", HIST_SQL)
@@ -587,8 +596,7 @@ FROM grid, events e WHERE e.value IS NOT NULL GROUP BY point, x, bw, n"""
 
 @register("kde_curve", KDE_SQL)
 def q_kde_curve(spark, sf):
-    # every value is fanned out over the whole grid: spread a narrow scan first
-    events = spread_if_narrow(table(spark, sf, "events"), "event_id")
+    events = table(spark, sf, "events")
     return P.kde_curve(events.select("event_type", "value"), "value", 200)
 
 
@@ -837,7 +845,7 @@ def q_default_verdict(spark, sf):
     return defaulted_verdicts(spark, sf)
 
 
-BLOB = r"nullif(regexp_extract(raw, '\{[^{}]*\}', 0), '')"
+BLOB = r"""nullif(regexp_extract(raw, '\{([^{}"]|"([^"\\]|\\.)*")*\}', 0), '')"""
 
 
 @register("extract_json_blob", VERDICTS_PREFIX + f""",

@@ -75,6 +75,22 @@ RAW_CATALOG_SCHEMA = T.StructType([
     T.StructField("founders_raw", T.StringType()),
 ])
 
+# Headers of a catalog file and the raw column each one fills.
+CATALOG_HEADERS = {
+    "Company": "company",
+    "Description": "description_raw",
+    "Industries": "industries_raw",
+    "City": "city",
+    "Funding Amount in $": "funding_raw",
+    "Funding Round": "funding_round",
+    "Starting Year": "starting_year_raw",
+    "Founders": "founders_raw",
+    "Founders Count": "founders_count_raw",
+    "No. of Employees": "employees_raw",
+}
+# Headers that a catalog file may lack; ``id`` may be absent as well.
+OPTIONAL_HEADERS = ("Starting Year", "Founders", "Founders Count", "No. of Employees")
+
 REQUEST_SCHEMA = T.StructType([
     T.StructField("idea_id", T.LongType()),
     T.StructField("user_idea", T.StringType()),

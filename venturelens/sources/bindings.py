@@ -58,7 +58,10 @@ CATALOG_VECTORS_SQL = "SELECT vec_id AS id, embedding FROM embeddings"
 
 VERDICTS_SQL = """
 SELECT id,
-       CASE WHEN id % 6 = 0 THEN NULL
+       CASE WHEN id % 36 = 0 THEN '{"similarity_score": 7, "is_copy": true} trailing words'
+            WHEN id % 36 = 6 THEN '{"similarity_score": 8}{"similarity_score": 9}'
+            WHEN id % 36 = 12 THEN '{"reasoning": "uses {x} a lot", "similarity_score": 5}'
+            WHEN id % 6 = 0 THEN NULL
             WHEN id % 6 = 1 THEN 'not json'
             WHEN id % 6 = 2 THEN '{}'
             WHEN id % 6 = 3 THEN concat('{"similarity_score": ', cast(id % 101 AS varchar(20)), ', "is_copy": true, "reasoning": "same market"}')
@@ -89,28 +92,6 @@ _SCANS: dict[tuple[int, str], DataFrame] = {}
 _VIEWS: dict[tuple[int, str], str] = {}
 
 
-# Tables whose rows carry heavy per-row work in most queries (whole texts for
-# the encoder and the pair scorer), with their unique key.
-SPREAD_KEYS = {"documents": "doc_id"}
-
-
-def spread_if_narrow(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a file scan by ``key`` when it has fewer splits than cores.
-
-    A large input already has far more splits than the session has cores, so
-    this is a no-op at scale; it only matters when a whole table sits in a few
-    row groups and the heavy per-row stage after the scan would otherwise run
-    in a few tasks.  The check reads the planned splits of the bare scan (no
-    job runs); hashing a unique key keeps the spread even and deterministic
-    on retry.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of ``sf_dir`` as a lazy scan.
 
@@ -123,8 +104,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = _SCANS.get(key)
     if df is None or df.sparkSession is not spark:
         df = spark.read.parquet(path)
-        if name in SPREAD_KEYS:
-            df = spread_if_narrow(df, SPREAD_KEYS[name])
         _SCANS[key] = df
     return df
 

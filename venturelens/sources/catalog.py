@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from venturelens.functions import cleaning as C
 from venturelens.schema import (
-    RAW_CATALOG_SCHEMA, REQUEST_SCHEMA, SERVING_DEFAULTS, CatalogDefaults,
+    CATALOG_HEADERS, OPTIONAL_HEADERS, RAW_CATALOG_SCHEMA, REQUEST_SCHEMA, SERVING_DEFAULTS, CatalogDefaults,
 )
 
 
@@ -29,17 +29,46 @@ def normalize_nulls(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                        for c in df.columns])
 
 
-def scan_catalog(spark: SparkSession, path: str, fmt: str = "csv",
-                 schema: T.StructType = RAW_CATALOG_SCHEMA) -> DataFrame:
-    """Read a headered CSV (or Parquet) catalog with an explicit schema.
-
-    No inference: every raw column is text and is typed later by
-    ``clean_catalog``.  A missing path raises ``CatalogNotFound``.
+def _by_header(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """A CSV catalog with its columns found by header name, whatever their order."""
+    reader = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+              .option("enforceSchema", False))
+    df = reader.option("inferSchema", False).csv(path)          # reads the header; all columns are text
+    raw = set(CATALOG_HEADERS.values()) | {"id"}
+    names = {c: CATALOG_HEADERS.get(c.strip(), c.strip()) for c in df.columns}
+    unknown = [c for c, n in names.items() if n not in raw]
+    if unknown:
+        raise ValueError(f"unknown catalog headers: {unknown}")
+    if len(set(names.values())) < len(names):
+        raise ValueError("a catalog column appears twice")
+    optional = {CATALOG_HEADERS[h] for h in OPTIONAL_HEADERS} | {"id"}
+    missing = sorted(raw - optional - set(names.values()))
+    if missing:
+        raise ValueError(f"catalog columns missing: {missing}")
+    df = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    if "id" in df.columns:
+        df = df.withColumn("id", F.col("id").cast("long"))
+    else:
+        df = assign_row_id(df, out_col="id")
+    for name in ("starting_year_raw", "employees_raw", "founders_raw"):
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(None).cast("string"))
+    extra = ["founders_count_raw"] if "founders_count_raw" in df.columns else []
+    return df.select(*RAW_CATALOG_SCHEMA.fieldNames(), *extra)
+
+
+def scan_catalog(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
+    """Read a headered CSV (or Parquet) catalog; every raw column is text.
+
+    Columns are found by header name (``CATALOG_HEADERS`` or the raw names).
+    Optional ones may be absent: they are null, and without ``id`` rows are
+    numbered in file order.  An unknown or missing header raises, a missing path
+    raises ``CatalogNotFound``.  A quoted field may span lines, which makes each
+    file one task; ``multi_line=False`` splits large files without such fields.
     """
     try:
         if fmt == "csv":
-            df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-                  .option("escape", '"').csv(path))
+            df = _by_header(spark, path, multi_line)
         else:
             df = spark.read.format(fmt).load(path)
         df.schema  # noqa: B018 - forces path resolution now, not at the first action

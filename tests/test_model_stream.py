@@ -93,3 +93,13 @@ def test_parallel_member_fits_equal_sequential(spark):
     b = sorted((r.id, round(r.mean_log, 9), round(r.std_log, 9)) for r in par.collect())
     x.unpersist()
     assert a == b and len(a) > 0
+
+
+def test_model_refuses_another_encoder(spark):
+    from venturelens.operators.model import encoder_id
+
+    def mine(texts):
+        return texts
+
+    mine.name = "my-encoder-2"
+    assert encoder_id(None).startswith("hashed-words") and encoder_id(mine) == "my-encoder-2"

@@ -284,11 +284,19 @@ class TrainParams:
     seed: int = SPLIT_SEED
 
 
-def _meta_frame(spark: SparkSession, params: TrainParams, n_train: int) -> DataFrame:
+def encoder_id(encoder) -> str:
+    """Identity of a text encoder: its ``name``, else its place in the code; the built-in one by default."""
+    if encoder is None:
+        return ENCODER_NAME
+    return getattr(encoder, "name", None) or f"{encoder.__module__}.{encoder.__qualname__}"
+
+
+def _meta_frame(spark: SparkSession, params: TrainParams, n_train: int, encoder=None,
+                dim: int = ENCODER_DIM) -> DataFrame:
     return spark.createDataFrame(
-        [(TARGET_TRANSFORM, ENCODER_NAME, list(FEATURE_ORDER), params.n_members, params.num_trees,
+        [(TARGET_TRANSFORM, encoder_id(encoder), dim, list(FEATURE_ORDER), params.n_members, params.num_trees,
           params.max_depth, n_train)],
-        "target_transform string, embed_model string, feature_order array<string>, "
+        "target_transform string, embed_model string, dim int, feature_order array<string>, "
         "n_members int, num_trees int, max_depth int, n_train bigint",
     ).withColumn("trained_at", F.current_timestamp())
 
@@ -360,7 +368,7 @@ def train_funding_model(catalog: DataFrame, model_dir: str, params: TrainParams
         F.count(F.lit(1)).cast("bigint").alias("n_validation"),
         F.sqrt(F.avg(F.pow(F.col("label") - F.col("mean_log"), 2))).alias("rmse_log"))
     n_train = train_x.count()
-    save_model(model_dir, feats, ens, _meta_frame(spark, params, n_train))
+    save_model(model_dir, feats, ens, _meta_frame(spark, params, n_train, encoder, feats.dim))
     train_x.unpersist()
     return metrics.select(F.lit(n_train).cast("bigint").alias("n_train"), "n_validation",
                           F.round("rmse_log", 6).alias("rmse_log"))
@@ -393,10 +401,13 @@ def predict_funding(ideas: DataFrame, model_dir: str, industry_col: str | None =
     spark = ideas.sparkSession
     loaded = load_model(spark, model_dir)
     inputs = build_model_inputs(ideas, industry_col)
+    if loaded.kind == "pipeline" and loaded.meta.get("embed_model") != encoder_id(encoder):
+        loaded = LoadedModel("none", {}, error=f"model was trained with encoder {loaded.meta.get('embed_model')}, "
+                                               f"not {encoder_id(encoder)}")
     if loaded.kind == "pipeline":
         transform = loaded.meta.get("target_transform")
         feats = loaded.features
-        feats.encoder = encoder
+        feats.encoder, feats.dim = encoder, int(loaded.meta.get("dim") or ENCODER_DIM)
         scored = loaded.ensemble.predict_with_uncertainty(feats.transform(inputs, "idea_id"))
         amount, lower, upper = prediction_interval("mean_log", "std_log", transform)
         return scored.select("idea_id", amount.alias("predicted_amount"),
@@ -414,7 +425,7 @@ def predict_funding(ideas: DataFrame, model_dir: str, industry_col: str | None =
         scored = m.transform(x)
         return scored.select("idea_id", inverse_target("_pred", transform).alias("predicted_amount"),
                              F.lit(BASELINE_CONFIDENCE).alias("confidence"),
-                             F.lit(None).cast("string").alias("error"),
+                             F.lit(loaded.error).cast("string").alias("error"),   # why the pipeline was not used
                              F.lit(None).cast("double").alias("lower"),
                              F.lit(None).cast("double").alias("upper"))
     return inputs.select("idea_id", F.lit(None).cast("double").alias("predicted_amount"),

@@ -326,7 +326,7 @@ def q_ids_in(spark, sf):
     return ids_in(cleaned_catalog(spark, sf), labels).select("id", "company")
 
 
-@register("min_rows_guard")
+@register("min_rows_guard", PREFIX + "\nSELECT id, funding FROM clean WHERE funding > 0")
 def q_min_rows_guard(spark, sf):
     return min_rows_guard(funded_only(cleaned_catalog(spark, sf))).select("id", "funding")
 
@@ -668,7 +668,7 @@ def q_correlation_matrix(spark, sf):
 # ---------------------------------------------------------------------------
 
 QUERY_TRAIN = M.TrainParams(n_members=5, num_trees=20, max_depth=8)
-_TRAINED: dict[str, str] = {}
+_TRAINED: dict[tuple[str, str], str] = {}
 
 
 def _split_sql() -> str:
@@ -715,7 +715,7 @@ def q_transform_features(spark, sf):
 
 def trained_model_dir(spark, sf) -> str:
     """Train once per session and scale (quick profile), reuse afterwards."""
-    key = os.path.abspath(sf)
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
     if key not in _TRAINED:
         d = scratch(spark, "models")
         M.train_funding_model(training_catalog(spark, sf), d, QUERY_TRAIN).collect()
@@ -926,7 +926,7 @@ def q_catalog_profile(spark, sf):
     return p1.unionByName(p3).unionByName(p11)
 
 
-@register("evaluate_stream")
+@register("evaluate_stream", Q1_SQL)
 def q_evaluate_stream(spark, sf):
     base = scratch(spark, "stream")
     in_dir, out_dir = os.path.join(base, "in"), os.path.join(base, "out")

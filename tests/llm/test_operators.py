@@ -318,7 +318,7 @@ def test_secret_base_rules(spark):
 def test_secret_network_adds_spans(spark, docs):
     model = secret_scan.fit(docs)
     assert model is not None and model.threshold >= 0.5
-    key = "Zm9vYmFyMTIzNDU2Nzg5cXV4" + "9f8e7d6c5b4a39281706"
+    key = "7c72db563d7f6e5-0cec00950f7bab1-f2223b6afd9"     # no run of sixteen hex digits: not a base finding
     plain = "the quick brown fox jumps over seventeenhundredwonderfulhouses and goes home"
     rows = [(1, f"deploy with {key} tonight"), (2, plain), (3, f"token = {'ab12' * 8}")]
     got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.spans]

@@ -165,9 +165,9 @@ def fit(docs: DataFrame, positives: DataFrame, per_class: int = 6000, prior: flo
         got = df.select("text").mapInArrow(run, "x array<float>").toArrow().column("x").combine_chunks()
         return np.asarray(got.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, N_FEATURES)
 
-    ids = bounded_sample(positives.select("doc_id").distinct().withColumn("stratum", F.lit(1)), "stratum", per_class).select("doc_id")
+    ids = bounded_sample(positives.select("doc_id").where("doc_id IS NOT NULL").distinct(), None, per_class)
     pos = rows(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
-    web = bounded_sample(docs.select("doc_id").where("doc_id IS NOT NULL").withColumn("stratum", F.lit(1)), "stratum", per_class).select("doc_id").distinct()
+    web = bounded_sample(docs.select("doc_id").where("doc_id IS NOT NULL"), None, per_class).distinct()
     unl = rows(docs.select("doc_id", "text").join(web, "doc_id", "left_semi"))
     if not len(pos) or not len(unl):
         return QualityModel(None, 0.5)

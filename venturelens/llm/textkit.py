@@ -29,18 +29,29 @@ def held_out(doc_id: str | Column, mod: int, rest: int) -> Column:
     return F.coalesce(remainder(doc_id, mod) == rest, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int, key: str = "doc_id") -> DataFrame:
-    """At most ``per_stratum`` rows of each stratum, those of the smallest key hashes.
+def _sample_hash(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 40))
+
+
+def _sample_slack(per_stratum: int) -> int:
+    """Rows that the hash threshold leaves on average: enough that the bound is nearly surely reached."""
+    return per_stratum + 6 * int(per_stratum ** 0.5) + 20
+
+
+def bounded_sample(rows: DataFrame, stratum: str | None, per_stratum: int, key: str = "doc_id") -> DataFrame:
+    """At most ``per_stratum`` rows of each stratum (None: of all rows), those of the smallest key hashes.
 
     A hash threshold from the strata's counts leaves little more than the bound
     before the exact cut, so that no stratum is gathered whole in one task.
     Reruns choose the same rows.
     """
+    if stratum is None:
+        n = max(1, rows.count())
+        h, slack = _sample_hash(key), _sample_slack(per_stratum)
+        return rows.withColumn("_h", h).where(F.col("_h") <= slack * (1 << 40) // n).orderBy("_h", key).limit(per_stratum).drop("_h")
     counts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    h = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 40))
-    slack = per_stratum + 6 * int(per_stratum ** 0.5) + 20
-    near = (rows.join(counts, stratum).withColumn("_h", h)
-            .where(F.col("_h") * F.col("_n") <= F.lit(float(slack)) * F.lit(float(1 << 40))))
+    near = (rows.join(counts, stratum).withColumn("_h", _sample_hash(key))
+            .where(F.col("_h") * F.col("_n") <= F.lit(float(_sample_slack(per_stratum))) * F.lit(float(1 << 40))))
     w = Window.partitionBy(stratum).orderBy("_h", key)
     return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_stratum).drop("_n", "_h", "_r")
 

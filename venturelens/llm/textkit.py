@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from venturelens.session import written
+
 #: Text of one working slice inside a task; a longer text is a slice of its own.
 SLICE_BYTES = 6 << 20
 
@@ -49,7 +51,8 @@ def bounded_sample(rows: DataFrame, stratum: str | None, per_stratum: int, key:
         n = max(1, rows.count())
         h, slack = _sample_hash(key), _sample_slack(per_stratum)
         return rows.withColumn("_h", h).where(F.col("_h") <= slack * (1 << 40) // n).orderBy("_h", key).limit(per_stratum).drop("_h")
-    counts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+    # written: Spark then knows the bytes, and does not shuffle the rows by stratum to join a few counts
+    counts = written(rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")), "strata")
     near = (rows.join(counts, stratum).withColumn("_h", _sample_hash(key))
             .where(F.col("_h") * F.col("_n") <= F.lit(float(_sample_slack(per_stratum))) * F.lit(float(1 << 40))))
     w = Window.partitionBy(stratum).orderBy("_h", key)

@@ -24,7 +24,7 @@ from venturelens.session import ensure_checkpoint_dir
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """A4: frequency of each non-null value (descending count, then value)."""
+    """A4: frequency of each non-null value, in no order."""
     return (df.where(F.col(col).isNotNull()).groupBy(col)
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -244,25 +244,27 @@ def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
 
 
 def binned_scatter(df: DataFrame, pairs: list[tuple[str, str]], bins: int = 10) -> DataFrame:
-    """2-D bin counts per column pair (rows where both values are present)."""
+    """2-D bin counts per column pair (rows where both values are present), in one pass.
+
+    A column paired with itself gives its histogram, the diagonal of a pair plot.
+    """
     cols = sorted({c for p in pairs for c in p})
     r = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo_{c}") for c in cols],
                *[F.max(F.col(c).cast("double")).alias(f"hi_{c}") for c in cols]).first()
-    out = None
-    for xc, yc in pairs:
-        def idx(c):
-            lo, hi = r[f"lo_{c}"], r[f"hi_{c}"]
-            if lo is None:
-                return F.lit(None).cast("int")
-            w = (hi - lo) / bins if hi > lo else 1.0
-            return F.least(F.floor((F.col(c).cast("double") - F.lit(lo)) / F.lit(w)).cast("int"),
-                           F.lit(bins - 1))
-        part = (df.where(F.col(xc).isNotNull() & F.col(yc).isNotNull())
-                .groupBy(idx(xc).alias("bx"), idx(yc).alias("by"))
-                .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-                .select(F.lit(xc).alias("x"), F.lit(yc).alias("y"), "bx", "by", "n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def idx(c):
+        lo, hi = r[f"lo_{c}"], r[f"hi_{c}"]
+        if lo is None:
+            return F.lit(None).cast("int")
+        w = (hi - lo) / bins if hi > lo else 1.0
+        return F.least(F.floor((F.col(c).cast("double") - F.lit(lo)) / F.lit(w)).cast("int"), F.lit(bins - 1))
+
+    points = F.array(*[
+        F.when(F.col(xc).isNotNull() & F.col(yc).isNotNull(),
+               F.struct(F.lit(xc).alias("x"), F.lit(yc).alias("y"), idx(xc).alias("bx"), idx(yc).alias("by")))
+        for xc, yc in pairs])
+    return (df.select(F.explode(points).alias("p")).where(F.col("p").isNotNull())
+            .groupBy("p.x", "p.y", "p.bx", "p.by").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
 
 
 def bar_of_top_rows(df: DataFrame, value: str, group: str, n: int = 10,
@@ -276,11 +278,8 @@ def bar_of_top_rows(df: DataFrame, value: str, group: str, n: int = 10,
 
 
 def count_top_categories(df: DataFrame, col: str, n: int = 10) -> DataFrame:
-    """P10: counts for the ``n`` most common values, joined back with a semi join."""
-    top = top_categories(df, col, n).select(col, "rank")
-    kept = df.join(F.broadcast(top.select(col)), col, "left_semi")  # at most n rows
-    counts = kept.groupBy(col).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    return counts.join(top, col)
+    """P10: counts for the ``n`` most common values, with their rank (the rows of A5 already hold them)."""
+    return top_categories(df, col, n)
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:

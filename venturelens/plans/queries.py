@@ -21,7 +21,7 @@ from venturelens.operators import pairs as L
 from venturelens.operators import profile as P
 from venturelens.operators.guards import funded_only, min_rows_guard, validate_requests
 from venturelens.operators.neighbours import ids_in, lookup_in_rank_order, neighbour_stats
-from venturelens.operators.vectors import embed_text, hstack_features, l2_distance, top_k_similar, top_match
+from venturelens.operators.vectors import embed_text, hstack_features, l2_distance, top_k_similar, top_match, with_embedding
 from venturelens.plans import oracle as O
 from venturelens.plans.evaluate import copycat_report, evaluate_ideas, evaluate_ideas_full
 from venturelens.plans.registry import register
@@ -120,25 +120,45 @@ def q_scan_requests(spark, sf):
     return scan_requests(spark, path)
 
 
-RESULT_COLS = ["idea_id", "predicted_industry", "user_city", "founding_year", "top_match_name",
-               "rate", "avg_funding_str"]
 Q1_SQL = PREFIX_IDEAS + ",\n" + O.evaluate_ideas_ctes(K) + "\nSELECT * FROM q1"
 
 
-@register("write_results", Q1_SQL.replace("SELECT * FROM q1", "SELECT " + ", ".join(RESULT_COLS) + " FROM q1"))
+def _duck_words(x: str) -> str:
+    return (f"list_filter(list_distinct(regexp_split_to_array(lower(coalesce({x}, '')), "
+            f"{q('[^A-Za-z0-9]+')})), lambda t: t <> '')")
+
+
+IDEA_SCORES_SQL = (PREFIX_IDEAS + ",\n" + O.evaluate_ideas_ctes(K) + """,
+pairs AS (SELECT nb.idea_id, nb.id, v.user_idea, c.description, c.company
+          FROM nb JOIN valid v ON v.idea_id = nb.idea_id JOIN clean c ON c.id = nb.id WHERE nb.rank = 1),
+words AS (SELECT idea_id, id, company, """ + _duck_words("user_idea") + " AS wa, " + _duck_words("description") + """ AS wb FROM pairs),
+ju AS (SELECT idea_id, id, company, len(list_intersect(wa, wb)) AS i,
+              len(wa) + len(wb) - len(list_intersect(wa, wb)) AS u FROM words),
+scored AS (SELECT idea_id, company, CASE WHEN u = 0 THEN 0.0 ELSE round(100.0 * i / u, 0) END AS score,
+                  'The texts share ' || CAST(i AS VARCHAR) || ' of ' || CAST(u AS VARCHAR) || ' distinct words.' AS reasoning
+           FROM ju)""")
+
+
+@register("write_results", IDEA_SCORES_SQL + """
+SELECT q1.idea_id, predicted_industry, user_city, founding_year, top_match_name, score, score >= 80.0 AS is_copy, reasoning,
+       (SELECT string_agg(CAST(r.rank AS VARCHAR) || ':' || CAST(r.id AS VARCHAR) || ':' || coalesce(r.company, ''), '|' ORDER BY r.rank)
+        FROM rows r WHERE r.idea_id = q1.idea_id) AS similar_startups,
+       rate, avg_funding_str, true AS has_prediction, CAST(0.6 AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS error
+FROM q1 LEFT JOIN scored ON scored.idea_id = q1.idea_id""")
 def q_write_results(spark, sf):
-    res = evaluate_ideas(binding(spark, sf, "ideas"), cleaned_catalog(spark, sf), k=K)
-    nested = res.select(
-        "idea_id",
-        F.struct("predicted_industry", "user_city", "founding_year").alias("profile"),
-        F.struct(F.col("top_match_name")).alias("ai_analysis"),
-        F.struct("rate", "avg_funding_str").alias("funding_analysis"))
+    """The nested record of five sections, written as JSON and read back; forest amounts only as present or not."""
+    full = evaluate_ideas_full(binding(spark, sf, "ideas"), cleaned_catalog(spark, sf), trained_model_dir(spark, sf), k=K)
     path = scratch(spark, "results")
-    write_results(nested, path, "json")
-    back = spark.read.schema(nested.schema).json(path)
-    return back.select("idea_id", "profile.predicted_industry", "profile.user_city",
-                       "profile.founding_year", "ai_analysis.top_match_name",
-                       "funding_analysis.rate", "funding_analysis.avg_funding_str")
+    write_results(full, path, "json")
+    back = spark.read.schema(full.schema).json(path)
+    similar = F.transform("similar_startups", lambda r: F.concat_ws(
+        ":", r["rank"].cast("string"), r["id"].cast("string"), F.coalesce(r["company"], F.lit(""))))
+    return back.select("idea_id", "profile.predicted_industry", "profile.user_city", "profile.founding_year",
+                       "ai_analysis.top_match_name", "ai_analysis.score", "ai_analysis.is_copy", "ai_analysis.reasoning",
+                       F.array_join(similar, "|").alias("similar_startups"),
+                       "funding_analysis.rate", "funding_analysis.avg_funding_str",
+                       F.col("funding_prediction.predicted_amount").isNotNull().alias("has_prediction"),
+                       "funding_prediction.confidence", "funding_prediction.error")
 
 
 # ---------------------------------------------------------------------------
@@ -401,13 +421,16 @@ def q_top_match(spark, sf):
     return top_match(embedding_neighbours(spark, sf)).select("idea_id", "id", "dist2")
 
 
-@register("hstack_features")
+STACKED = ["starting_year", "founders_count", "employees_count"]
+
+
+@register("hstack_features", PREFIX + ",\n" + O.encoder_ctes("cvec", "clean", "id", "description") + f"""
+SELECT vid AS id, CAST(b AS INTEGER) AS pos, round(v, 6) AS feature FROM cvec""" + "".join(
+    f"\nUNION ALL\nSELECT id, {M.ENCODER_DIM + i}, CAST({c} AS DOUBLE) FROM clean" for i, c in enumerate(STACKED)))
 def q_hstack_features(spark, sf):
-    c = cleaned_catalog(spark, sf)
-    v = embed_text(c, "description", "id")
-    x = hstack_features(c.join(v, "id"), "embedding", ["starting_year", "founders_count",
-                                                       "employees_count"])
-    return x.select("id", vector_to_array("features").alias("features"))
+    x = hstack_features(with_embedding(cleaned_catalog(spark, sf), "description"), "embedding", STACKED)
+    return (x.select("id", F.posexplode_outer(vector_to_array("features")).alias("pos", "v"))
+            .select("id", F.col("pos").cast("int").alias("pos"), F.round("v", 6).alias("feature")))
 
 
 # ---------------------------------------------------------------------------
@@ -519,8 +542,8 @@ def q_profile_columns(spark, sf):
     return P.profile_columns(scanned_catalog(spark, sf))
 
 
-DESCRIBE_NUM = ["funding", "starting_year", "employees_count", "employees_mid", "founders"]
-DESCRIBE_TEXT = ["company", "city", "industries", "funding_round"]
+DESCRIBE_NUM = ["id", "funding", "starting_year", "founders_count", "employees_count", "employees_mid", "founders"]
+DESCRIBE_TEXT = ["company", "description", "industries", "city", "funding_round"]
 
 
 def _describe_sql() -> str:
@@ -566,58 +589,64 @@ def _events(spark, sf):
     return table(spark, sf, "events").select("event_type", "value")
 
 
-HIST_SQL = """WITH s AS (
-  SELECT count(value) AS n, min(value) AS lo, max(value) AS hi,
-         quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events WHERE value IS NOT NULL),
+def _hist_sql(src: str, col: str) -> str:
+    return f"""WITH s AS (
+  SELECT count({col}) AS n, min({col}) AS lo, max({col}) AS hi,
+         quantile_cont({col}, 0.75) - quantile_cont({col}, 0.25) AS iqr FROM {src} WHERE {col} IS NOT NULL),
 b AS (SELECT greatest(CAST(ceil(log2(n)) AS BIGINT) + 1,
                       CASE WHEN iqr > 0 THEN CAST(ceil((hi - lo) / (2.0 * iqr * pow(n, -1.0 / 3.0))) AS BIGINT) ELSE 0 END) AS nb,
              lo, hi FROM s),
 w AS (SELECT nb, lo, (hi - lo) / nb AS width FROM b)
 SELECT every.bin, round(w.lo + every.bin * w.width, 6) AS lo, round(w.lo + (every.bin + 1) * w.width, 6) AS hi,
        CAST(coalesce(n, 0) AS BIGINT) AS n
-FROM (SELECT unnest(range((SELECT nb FROM w))) AS bin) every CROSS JOIN w LEFT JOIN (SELECT least(CAST(floor((e.value - w.lo) / w.width) AS BIGINT), w.nb - 1) AS bin, count(*) AS n
-      FROM events e, w WHERE e.value IS NOT NULL GROUP BY 1) t ON t.bin = every.bin"""
+FROM (SELECT unnest(range((SELECT nb FROM w))) AS bin) every CROSS JOIN w
+LEFT JOIN (SELECT least(CAST(floor((e.{col} - w.lo) / w.width) AS BIGINT), w.nb - 1) AS bin, count(*) AS n
+           FROM {src} e, w WHERE e.{col} IS NOT NULL GROUP BY 1) t ON t.bin = every.bin"""
 
 
-@register("histogram", HIST_SQL)
+@register("histogram", _hist_sql("events", "value"))
 def q_histogram(spark, sf):
     return P.histogram(_events(spark, sf), "value")
 
 
-KDE_SQL = """WITH s AS (
-  SELECT count(value) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) AS sd FROM events WHERE value IS NOT NULL),
+def _kde_sql(src: str, col: str) -> str:
+    return f"""WITH s AS (
+  SELECT count({col}) AS n, min({col}) AS lo, max({col}) AS hi, stddev_samp({col}) AS sd FROM {src} WHERE {col} IS NOT NULL),
 h AS (SELECT n, sd * pow(n, -1.0 / 5.0) AS bw, lo, hi FROM s),
 g AS (SELECT n, bw, (lo - 3.0 * bw) AS glo, ((hi + 3.0 * bw) - (lo - 3.0 * bw)) / 199 AS step FROM h),
 grid AS (SELECT r.range AS point, g.glo + r.range * g.step AS x, g.bw, g.n FROM g, range(200) r)
 SELECT CAST(point AS INTEGER) AS point, round(x, 6) AS x,
-       round(sum(exp(-0.5 * pow((x - e.value) / bw, 2))) * (1.0 / (n * bw * sqrt(2.0 * pi()))), 10) AS density
-FROM grid, events e WHERE e.value IS NOT NULL GROUP BY point, x, bw, n"""
+       round(sum(exp(-0.5 * pow((x - e.{col}) / bw, 2))) * (1.0 / (n * bw * sqrt(2.0 * pi()))), 10) AS density
+FROM grid, {src} e WHERE e.{col} IS NOT NULL GROUP BY point, x, bw, n"""
 
 
-@register("kde_curve", KDE_SQL)
+@register("kde_curve", _kde_sql("events", "value"))
 def q_kde_curve(spark, sf):
     events = table(spark, sf, "events")
     return P.kde_curve(events.select("event_type", "value"), "value", 200)
 
 
-BOX_SQL = """WITH q AS (
-  SELECT event_type, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
-         quantile_cont(value, 0.75) AS q3 FROM events WHERE value IS NOT NULL GROUP BY event_type),
+def _box_sql(src: str, col: str, by: str) -> str:
+    return f"""WITH q AS (
+  SELECT {by}, count(*) AS n, quantile_cont({col}, 0.25) AS q1, quantile_cont({col}, 0.5) AS median,
+         quantile_cont({col}, 0.75) AS q3 FROM {src} WHERE {col} IS NOT NULL GROUP BY {by}),
 f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo_fence, q3 + 1.5 * (q3 - q1) AS hi_fence FROM q)
-SELECT f.event_type, CAST(f.n AS BIGINT) AS n, round(f.q1, 6) AS q1, round(f.median, 6) AS median, round(f.q3, 6) AS q3,
-       round(min(CASE WHEN e.value >= f.lo_fence THEN e.value END), 6) AS whisker_lo,
-       round(max(CASE WHEN e.value <= f.hi_fence THEN e.value END), 6) AS whisker_hi,
-       CAST(count(*) FILTER (WHERE e.value < f.lo_fence OR e.value > f.hi_fence) AS BIGINT) AS n_outliers
-FROM events e JOIN f ON e.event_type IS NOT DISTINCT FROM f.event_type
-WHERE e.value IS NOT NULL GROUP BY f.event_type, f.n, f.q1, f.median, f.q3"""
+SELECT f.{by}, CAST(f.n AS BIGINT) AS n, round(f.q1, 6) AS q1, round(f.median, 6) AS median, round(f.q3, 6) AS q3,
+       round(min(CASE WHEN e.{col} >= f.lo_fence THEN e.{col} END), 6) AS whisker_lo,
+       round(max(CASE WHEN e.{col} <= f.hi_fence THEN e.{col} END), 6) AS whisker_hi,
+       CAST(count(*) FILTER (WHERE e.{col} < f.lo_fence OR e.{col} > f.hi_fence) AS BIGINT) AS n_outliers
+FROM {src} e JOIN f ON e.{by} IS NOT DISTINCT FROM f.{by}
+WHERE e.{col} IS NOT NULL GROUP BY f.{by}, f.n, f.q1, f.median, f.q3"""
 
 
-@register("box_stats", BOX_SQL)
+@register("box_stats", _box_sql("events", "value", "event_type"))
 def q_box_stats(spark, sf):
     return P.box_stats(_events(spark, sf), "value", "event_type")
 
 
-SCATTER_PAIRS = [("founders", "funding"), ("starting_year", "funding"), ("employees_mid", "funding")]
+SCATTER_PAIRS = [("founders", "funding"), ("starting_year", "funding"), ("employees_mid", "funding"),
+                 ("starting_year", "employees_mid"), ("starting_year", "starting_year"),
+                 ("employees_mid", "employees_mid"), ("funding", "funding")]
 
 
 def _scatter_sql() -> str:
@@ -732,9 +761,9 @@ def _validation_features(spark, sf, model_dir):
 
 @register("fit_ensemble")
 def q_fit_ensemble(spark, sf):
-    loaded = M.load_model(spark, trained_model_dir(spark, sf))
-    rows = [(i, m.getNumTrees, m.totalNumNodes) for i, m in enumerate(loaded.ensemble.members)]
-    return spark.createDataFrame(rows, "member int, num_trees int, total_nodes int")
+    """Every fitted member over the validation rows: (id, member, pred)."""
+    loaded, x = _validation_features(spark, sf, trained_model_dir(spark, sf))
+    return loaded.ensemble.member_predictions(x, "id")
 
 
 @register("predict_ensemble")
@@ -749,9 +778,14 @@ def q_predict_with_uncertainty(spark, sf):
     return loaded.ensemble.predict_with_uncertainty(x).select("id", "label", "mean_log", "std_log")
 
 
-@register("train_funding_model")
+@register("train_funding_model", TRAIN_PREFIX + f"""
+SELECT CAST(count(*) FILTER (WHERE NOT {_split_sql()}) AS BIGINT) AS n_train,
+       CAST(count(*) FILTER (WHERE {_split_sql()}) AS BIGINT) AS n_validation, true AS has_rmse
+FROM clean WHERE funding > 0""")
 def q_train_funding_model(spark, sf):
-    return M.train_funding_model(training_catalog(spark, sf), scratch(spark, "models"), QUERY_TRAIN)
+    """Row counts of the training run; the error of a forest differs between libraries and is only said to exist."""
+    got = M.train_funding_model(training_catalog(spark, sf), scratch(spark, "models"), QUERY_TRAIN)
+    return got.select("n_train", "n_validation", F.col("rmse_log").isNotNull().alias("has_rmse"))
 
 
 @register("predict_funding")
@@ -774,10 +808,21 @@ def q_build_model_inputs(spark, sf):
     return M.build_model_inputs(binding(spark, sf, "ideas"))
 
 
-@register("save_model")
+@register("save_model", TRAIN_ROWS + f"""
+SELECT 'log1p' AS target_transform, {q(M.ENCODER_NAME)} AS embed_model, CAST({M.ENCODER_DIM} AS BIGINT) AS dim,
+       CAST({QUERY_TRAIN.n_members} AS BIGINT) AS n_members, CAST({QUERY_TRAIN.num_trees} AS BIGINT) AS num_trees,
+       CAST({QUERY_TRAIN.max_depth} AS BIGINT) AS max_depth, CAST(count(*) AS BIGINT) AS n_train,
+       CAST(count(DISTINCT coalesce(city, {q(FEATURE_MISSING_TOKEN)})) AS BIGINT) AS n_cities,
+       CAST(count(DISTINCT coalesce(industries, {q(FEATURE_MISSING_TOKEN)})) AS BIGINT) AS n_industries
+FROM train""")
 def q_save_model(spark, sf):
+    """Saved metadata, with the sizes of the saved count tables."""
     d = trained_model_dir(spark, sf)
-    return spark.read.json(os.path.join(d, "pipeline", "meta")).drop("trained_at")
+    feats = M.load_model(spark, d).features
+    meta = spark.read.json(os.path.join(d, "pipeline", "meta")).drop("trained_at", "feature_order")
+    n = F.count(F.lit(1))
+    return meta.select("*", feats.city_counts.agg(n).scalar().alias("n_cities"),
+                       feats.industry_counts.agg(n).scalar().alias("n_industries"))
 
 
 @register("load_model")
@@ -792,11 +837,6 @@ def q_load_model(spark, sf):
 # ---------------------------------------------------------------------------
 
 
-def _duck_words(x: str) -> str:
-    return (f"list_filter(list_distinct(regexp_split_to_array(lower(coalesce({x}, '')), "
-            f"{q('[^A-Za-z0-9]+')})), lambda t: t <> '')")
-
-
 PAIRS_SQL = PREFIX + ",\n" + EMB_KNN + """,
 pairs AS (SELECT nb.idea_id, nb.id, i.description AS user_idea, c.description, c.company
           FROM nb JOIN clean i ON i.id = nb.idea_id JOIN clean c ON c.id = nb.id WHERE nb.rank = 1)"""
@@ -872,15 +912,7 @@ def q_evaluate_ideas_full(spark, sf):
                                trained_model_dir(spark, sf), k=K)
 
 
-COPYCAT_SQL = (PREFIX_IDEAS + ",\n" + O.evaluate_ideas_ctes(K) + """,
-pairs AS (SELECT nb.idea_id, nb.id, v.user_idea, c.description, c.company
-          FROM nb JOIN valid v ON v.idea_id = nb.idea_id JOIN clean c ON c.id = nb.id WHERE nb.rank = 1),
-words AS (SELECT idea_id, id, company, """ + _duck_words("user_idea") + " AS wa, " + _duck_words("description") + """ AS wb FROM pairs),
-ju AS (SELECT idea_id, id, company, len(list_intersect(wa, wb)) AS i,
-              len(wa) + len(wb) - len(list_intersect(wa, wb)) AS u FROM words),
-scored AS (SELECT idea_id, company, CASE WHEN u = 0 THEN 0.0 ELSE round(100.0 * i / u, 0) END AS score,
-                  'The texts share ' || CAST(i AS VARCHAR) || ' of ' || CAST(u AS VARCHAR) || ' distinct words.' AS reasoning
-           FROM ju)
+COPYCAT_SQL = (IDEA_SCORES_SQL + """
 SELECT idea_id, company AS top_match_name, score, score >= 80.0 AS is_copy, reasoning,
        CASE WHEN score >= 80.0 THEN """ + q(COPY_LABEL) + " ELSE " + q(UNIQUE_LABEL) + """ END AS verdict
 FROM scored""")
@@ -899,31 +931,84 @@ def q_smoke_predictions(spark, sf):
     return ideas.select("idea_id", "user_city", "founding_year").join(preds, "idea_id")
 
 
-def _profile_union_sql() -> str:
-    p1 = "\nUNION ALL\n".join(
-        f"SELECT 'profile' AS section, '{c}' AS name, 'nulls' AS stat, CAST(count(*) - count({c}) AS DOUBLE) AS value FROM scanned"
-        for c, _ in SCANNED_TYPES)
-    p3 = (f"SELECT 'duplicates', 'rows', 'n_duplicates', CAST(coalesce(sum(n - 1), 0) AS DOUBLE) FROM "
-          f"(SELECT count(*) AS n FROM scanned GROUP BY {', '.join(DUP_COLS)}) t")
-    p11 = "\nUNION ALL\n".join(
-        f"SELECT 'correlation', '{a}|{b}', 'corr', round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) FROM clean"
-        for a in CORR_COLS for b in CORR_COLS)
-    return "\nUNION ALL\n".join([p1, p3, p11])
+BOX_STATS = ("n", "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers")
 
 
-@register("catalog_profile", PREFIX + "\n" + _profile_union_sql())
+def _profile_union_sql() -> str:
+    def top(col):
+        return (f"SELECT {col} AS name, count(*) AS n FROM scanned WHERE {col} IS NOT NULL GROUP BY {col} "
+                f"ORDER BY n DESC, name LIMIT 10")
+
+    p1 = " UNION ALL ".join(
+        f"SELECT '{c}' AS name, count({c}) AS non_null, count(*) - count({c}) AS nulls FROM scanned" for c, _ in SCANNED_TYPES)
+    corr = " UNION ALL ".join(
+        f"SELECT '{a}|{b}' AS name, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS corr FROM clean"
+        for a in CORR_COLS for b in CORR_COLS)
+    m, scatter = _scatter_sql().lstrip(",\n").split("\n", 1)
+    sections = [
+        ("profile", p1, "name", ("non_null", "nulls")),
+        ("duplicates", f"SELECT 'rows' AS name, coalesce(sum(n - 1), 0) AS n_duplicates FROM "
+                       f"(SELECT count(*) AS n FROM scanned GROUP BY {', '.join(DUP_COLS)}) t", "name", ("n_duplicates",)),
+        ("count city", top("city"), "name", ("n",)),
+        ("count industries", top("industries_raw"), "name", ("n",)),
+        ("count funding_round", "SELECT funding_round AS name, count(*) AS n FROM scanned "
+                                "WHERE funding_round IS NOT NULL GROUP BY funding_round", "name", ("n",)),
+        ("mean by city", "SELECT city AS name, round(avg(funding), 4) AS mean_value FROM clean WHERE city IS NOT NULL "
+                         "GROUP BY city ORDER BY avg(funding) DESC NULLS LAST, city LIMIT 10", "name", ("mean_value",)),
+        ("histogram funding", _hist_sql("clean", "funding"), "bin", ("n",)),
+        ("kde funding", _kde_sql("clean", "funding"), "point", ("density",)),
+        ("box funding", _box_sql("clean", "funding", "funding_round"), "funding_round", BOX_STATS),
+        ("bar of top rows", "SELECT city AS name, round(avg(funding), 4) AS mean_value, count(*) AS n, "
+                            "round(stddev_samp(funding), 4) AS std_value FROM (SELECT * FROM clean ORDER BY funding DESC, id LIMIT 10) t "
+                            "GROUP BY city", "name", ("mean_value", "n", "std_value")),
+        ("correlation", corr, "name", ("corr",)),
+        ("scatter", f"SELECT concat_ws('|', x, y, bx, \"by\") AS name, n FROM ({scatter}) t", "name", ("n",)),
+    ]
+    ctes = [m, f"described AS ({_describe_sql()})", "first_rows AS (SELECT * FROM clean ORDER BY id LIMIT 5)"]
+    ctes += [f"part_{i} AS ({sql})" for i, (_, sql, _, _) in enumerate(sections)]
+    rows = ["SELECT 'describe' AS section, \"column\" AS name, stat, num_value AS value, text_value AS text FROM described",
+            "SELECT 'head', CAST(id AS VARCHAR), 'funding', funding, company FROM first_rows"]
+    rows += [f"SELECT '{section}', CAST({name} AS VARCHAR), '{stat}', CAST({stat} AS DOUBLE), CAST(NULL AS VARCHAR) FROM part_{i}"
+             for i, (section, _, name, stats) in enumerate(sections) for stat in stats]
+    return ",\n" + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(rows)
+
+
+@register("catalog_profile", PREFIX + _profile_union_sql())
 def q_catalog_profile(spark, sf):
+    """Every chart table and statistic of the profile as (section, name, stat, value, text) rows."""
     s = scanned_catalog(spark, sf)
     c = clean_catalog(s)
-    p1 = P.profile_columns(s).select(F.lit("profile").alias("section"), F.col("column").alias("name"),
-                                     F.lit("nulls").alias("stat"), F.col("nulls").cast("double").alias("value"))
-    p3 = P.duplicate_rows(s, DUP_COLS).select(F.lit("duplicates").alias("section"), F.lit("rows").alias("name"),
-                                              F.lit("n_duplicates").alias("stat"),
-                                              F.col("n_duplicates").cast("double").alias("value"))
-    p11 = P.correlation_matrix(c, CORR_COLS).select(
-        F.lit("correlation").alias("section"), F.concat_ws("|", "x", "y").alias("name"),
-        F.lit("corr").alias("stat"), F.col("corr").alias("value"))
-    return p1.unionByName(p3).unionByName(p11)
+
+    def part(df, section, name, *stats):
+        e = F.array(*[F.struct(F.lit(st).alias("stat"), F.col(st).cast("double").alias("value")) for st in stats])
+        return (df.select(F.lit(section).alias("section"), F.col(name).cast("string").alias("name"), F.explode(e).alias("e"))
+                .select("section", "name", "e.stat", "e.value", F.lit(None).cast("string").alias("text")))
+
+    parts = [
+        P.describe_all(c, DESCRIBE_NUM + DESCRIBE_TEXT, digits=4).select(
+            F.lit("describe").alias("section"), F.col("column").alias("name"), "stat",
+            F.col("num_value").alias("value"), F.col("text_value").alias("text")),
+        P.head(c, "id", 5).select(F.lit("head").alias("section"), F.col("id").cast("string").alias("name"),
+                                  F.lit("funding").alias("stat"), F.col("funding").alias("value"),
+                                  F.col("company").alias("text")),
+        part(P.profile_columns(s), "profile", "column", "non_null", "nulls"),
+        part(P.duplicate_rows(s, DUP_COLS).withColumn("name", F.lit("rows")), "duplicates", "name", "n_duplicates"),
+        part(P.top_categories(s, "city"), "count city", "city", "n"),
+        part(P.count_top_categories(s, "industries_raw"), "count industries", "industries_raw", "n"),
+        part(P.value_counts(s, "funding_round"), "count funding_round", "funding_round", "n"),
+        part(P.mean_by_group_top(c, "city", "funding"), "mean by city", "city", "mean_value"),
+        part(P.histogram(c, "funding"), "histogram funding", "bin", "n"),
+        part(P.kde_curve(c, "funding"), "kde funding", "point", "density"),
+        part(P.box_stats(c, "funding", "funding_round"), "box funding", "funding_round", *BOX_STATS),
+        part(P.bar_of_top_rows(c, "funding", "city"), "bar of top rows", "city", "mean_value", "n", "std_value"),
+        part(P.correlation_matrix(c, CORR_COLS).withColumn("name", F.concat_ws("|", "x", "y")), "correlation", "name", "corr"),
+        part(P.binned_scatter(c, SCATTER_PAIRS, 10).withColumn("name", F.concat_ws("|", "x", "y", "bx", "by")),
+             "scatter", "name", "n"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @register("evaluate_stream", Q1_SQL)

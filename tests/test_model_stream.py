@@ -3,6 +3,9 @@ import os
 import tempfile
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import functions as F
 
 from conftest import SMOKE
@@ -85,8 +88,8 @@ def test_stream_equals_batch(spark):
 
 def test_parallel_member_fits_equal_sequential(spark):
     c = M.funded_only(training_catalog(spark, SMOKE))
-    x = M.assemble(c.select("id", "starting_year", "employees_count", F.log1p("funding").alias("label")),
-                   ["starting_year", "employees_count"]).persist()
+    x = VectorAssembler(inputCols=["starting_year", "employees_count"], outputCol="features", handleInvalid="keep").transform(
+        c.select("id", "starting_year", "employees_count", F.log1p("funding").alias("label"))).persist()
     seq = M.ForestEnsemble(3, 4, 4, parallelism=1).fit(x).predict_with_uncertainty(x)
     par = M.ForestEnsemble(3, 4, 4, parallelism=3).fit(x).predict_with_uncertainty(x)
     a = sorted((r.id, round(r.mean_log, 9), round(r.std_log, 9)) for r in seq.collect())
@@ -103,3 +106,37 @@ def test_model_refuses_another_encoder(spark):
 
     mine.name = "my-encoder-2"
     assert encoder_id(None).startswith("hashed-words") and encoder_id(mine) == "my-encoder-2"
+
+
+def _labelled(spark):
+    return M.funded_only(training_catalog(spark, SMOKE)).withColumn("label", F.log1p("funding"))
+
+
+def test_stages_fit_in_a_pipeline_with_a_base_estimator(spark):
+    rows = _labelled(spark)
+    base = DecisionTreeRegressor(maxDepth=3)
+    fitted = Pipeline(stages=[M.FundingFeatures(), M.ForestEnsemble(n_members=2, base=base)]).fit(rows)
+    got = fitted.transform(rows).select("mean_log", "std_log").collect()
+    assert len(got) == rows.count() and all(r.std_log == 0 for r in got)      # a tree without sampling: equal members
+    assert {type(m).__name__ for m in fitted.stages[1].members} == {"DecisionTreeRegressionModel"}
+
+
+def test_pipeline_without_uncertainty_has_no_bounds(spark):
+    rows, d = _labelled(spark), tempfile.mkdtemp(prefix="vl-plain-")
+    feats = M.FundingFeatures().fit(rows)
+    plain = LinearRegression(maxIter=5, regParam=0.1).fit(feats.transform(rows))
+    M.save_model(d, feats, plain, M._meta_frame(spark, QUICK, rows.count()))
+    ideas = binding(spark, SMOKE, "ideas")
+    got = M.predict_funding(ideas, d).collect()
+    assert len(got) == ideas.count()
+    for r in got:
+        assert r.predicted_amount is not None and r.lower is None and r.upper is None
+        assert r.confidence == 0.6 and r.error is None
+
+
+def test_broken_pipeline_falls_back_to_the_legacy_model_with_the_reason(spark):
+    d = tempfile.mkdtemp(prefix="vl-broken-")
+    M.train_legacy_model(training_catalog(spark, SMOKE), d, num_trees=3, max_depth=3)
+    spark.createDataFrame([("log1p", 5)], "target_transform string, n_members int").write.json(os.path.join(d, "pipeline", "meta"))
+    r = M.predict_funding(binding(spark, SMOKE, "ideas"), d).first()
+    assert r.predicted_amount is not None and r.lower is None and "pipeline unusable" in r.error

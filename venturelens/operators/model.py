@@ -11,13 +11,13 @@
 
 from __future__ import annotations
 
-import json
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,16 +84,16 @@ def split_train_validation(df: DataFrame, id_col: str = "id", percent: int = VAL
 # ---------------------------------------------------------------------------
 
 
-@dataclass
-class FundingFeaturesModel:
-    """M2: fitted feature builder (two count tables)."""
+class FundingFeaturesModel(Model):
+    """M2: fitted feature builder (two count tables), a ``pyspark.ml`` model."""
 
-    city_counts: DataFrame
-    industry_counts: DataFrame
-    dim: int = ENCODER_DIM
-    encoder: object = None
+    def __init__(self, city_counts: DataFrame, industry_counts: DataFrame, dim: int = ENCODER_DIM, encoder=None,
+                 out_col: str = "features"):
+        super().__init__()
+        self.city_counts, self.industry_counts = city_counts, industry_counts
+        self.dim, self.encoder, self.out_col = dim, encoder, out_col
 
-    def transform(self, df: DataFrame, id_col: str = "id", out_col: str = "features") -> DataFrame:
+    def _transform(self, df: DataFrame) -> DataFrame:
         x = with_embedding(df, "description", "embedding", self.dim, self.encoder)
         x = frequency_encode(x, self.city_counts, "city", "city_count")
         x = frequency_encode(x, self.industry_counts, "industries", "industry_count")
@@ -102,7 +102,7 @@ class FundingFeaturesModel:
                 for c in ("starting_year", "founders_count", "employees_count",
                           "city_count", "industry_count")]
         arr = F.concat(F.coalesce(F.col("embedding"), zeros).cast("array<double>"), F.array(*nums))
-        return x.withColumn(out_col, array_to_vector(arr))
+        return x.withColumn(self.out_col, array_to_vector(arr))
 
     def save(self, path: str) -> None:
         self.city_counts.write.mode("overwrite").parquet(os.path.join(path, "city_counts"))
@@ -114,14 +114,14 @@ class FundingFeaturesModel:
                    spark.read.parquet(os.path.join(path, "industry_counts")))
 
 
-@dataclass
-class FundingFeatures:
-    """M1: learn city and industry counts on the training rows."""
+class FundingFeatures(Estimator):
+    """M1: learn city and industry counts on the training rows, a ``pyspark.ml`` estimator."""
 
-    dim: int = ENCODER_DIM
-    encoder: object = None
+    def __init__(self, dim: int = ENCODER_DIM, encoder=None):
+        super().__init__()
+        self.dim, self.encoder = dim, encoder
 
-    def fit(self, train: DataFrame) -> FundingFeaturesModel:
+    def _fit(self, train: DataFrame) -> FundingFeaturesModel:
         return FundingFeaturesModel(frequency_table(train, "city"),
                                     frequency_table(train, "industries"), self.dim, self.encoder)
 
@@ -154,18 +154,21 @@ def member_stats(cols: list[str]) -> tuple[Column, Column]:
     return mean, F.sqrt(var)
 
 
-@dataclass
-class ForestEnsembleModel:
-    members: list[RandomForestRegressionModel] = field(default_factory=list)
+class ForestEnsembleModel(Model):
+    """M5, M6: the fitted members; ``transform`` adds ``mean_log`` and ``std_log``."""
+
+    def __init__(self, members: list, features: str = "features"):
+        super().__init__()
+        self.members, self.features = members, features
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return self.predict_with_uncertainty(df, self.features)
 
     def _member_columns(self, df: DataFrame, features: str) -> tuple[DataFrame, list[str]]:
         out, cols = df, []
         for i, m in enumerate(self.members):
             col = f"_member_{i}"
-            m = m.copy()
-            m.setFeaturesCol(features)
-            m.setPredictionCol(col)
-            out = m.transform(out)
+            out = m.transform(out, {m.featuresCol: features, m.predictionCol: col})
             cols.append(col)
         return out, cols
 
@@ -193,22 +196,31 @@ class ForestEnsembleModel:
 
     @classmethod
     def load(cls, path: str, n_members: int) -> ForestEnsembleModel:
-        return cls([RandomForestRegressionModel.load(os.path.join(path, f"member_{i}"))
-                    for i in range(n_members)])
+        return cls([load_fitted(os.path.join(path, f"member_{i}")) for i in range(n_members)])
 
 
-@dataclass
-class ForestEnsemble:
-    """M4: ``n_members`` forests, seeds ``seed_base + i``, all features per split."""
+def load_fitted(path: str) -> Model:
+    """A saved ``pyspark.ml`` model of whatever class its metadata names."""
+    return DefaultParamsReader.loadParamsInstance(path, SparkSession.active())
 
-    n_members: int = ENSEMBLE_MEMBERS
-    num_trees: int = TREES_PER_MEMBER
-    max_depth: int = 30
-    max_bins: int = 32
-    seed_base: int = MEMBER_SEED_BASE
-    parallelism: int = ENSEMBLE_MEMBERS
 
-    def fit(self, df: DataFrame, features: str = "features", label: str = "label") -> ForestEnsembleModel:
+class ForestEnsemble(Estimator):
+    """M4: ``n_members`` copies of ``base`` with seeds ``seed_base + i``.
+
+    ``base`` is any ``pyspark.ml`` regressor; by default a random forest with
+    all features per split.
+    """
+
+    def __init__(self, n_members: int = ENSEMBLE_MEMBERS, num_trees: int = TREES_PER_MEMBER, max_depth: int = 30,
+                 max_bins: int = 32, seed_base: int = MEMBER_SEED_BASE, parallelism: int = ENSEMBLE_MEMBERS,
+                 base: Estimator | None = None, features: str = "features", label: str = "label"):
+        super().__init__()
+        self.n_members, self.seed_base, self.parallelism = n_members, seed_base, parallelism
+        self.features, self.label = features, label
+        self.base = base or RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins,
+                                                  featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True)
+
+    def _fit(self, df: DataFrame) -> ForestEnsembleModel:
         """Fit the members, up to ``parallelism`` at a time.
 
         Each member is its own distributed job with its own seed, so fitting
@@ -220,20 +232,19 @@ class ForestEnsemble:
 
         from pyspark.util import inheritable_thread_target
 
-        def member(i: int) -> RandomForestRegressionModel:
-            rf = RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=self.num_trees,
-                                       maxDepth=self.max_depth, maxBins=self.max_bins,
-                                       featureSubsetStrategy="all", subsamplingRate=1.0,
-                                       bootstrap=True, seed=self.seed_base + i)
-            return rf.fit(df)
+        def member(i: int) -> Model:
+            over = {self.base.featuresCol: self.features, self.base.labelCol: self.label}
+            if self.base.hasParam("seed"):
+                over[self.base.seed] = self.seed_base + i
+            return self.base.fit(df, over)
 
         workers = max(1, min(self.parallelism, self.n_members))
         if workers == 1:
-            return ForestEnsembleModel([member(i) for i in range(self.n_members)])
+            return ForestEnsembleModel([member(i) for i in range(self.n_members)], self.features)
         with ThreadPoolExecutor(max_workers=workers) as pool:
             target = inheritable_thread_target(df.sparkSession)(member)
             members = list(pool.map(target, range(self.n_members)))
-        return ForestEnsembleModel(members)
+        return ForestEnsembleModel(members, self.features)
 
 
 # ---------------------------------------------------------------------------
@@ -301,13 +312,19 @@ def _meta_frame(spark: SparkSession, params: TrainParams, n_train: int, encoder=
     ).withColumn("trained_at", F.current_timestamp())
 
 
-def save_model(model_dir: str, features: FundingFeaturesModel, ensemble: ForestEnsembleModel,
-               meta: DataFrame) -> None:
-    """Pipeline parts and one-row metadata (JSON) under ``model_dir/pipeline``."""
+def save_model(model_dir: str, features: FundingFeaturesModel, model: Model, meta: DataFrame) -> None:
+    """Pipeline parts and one-row metadata (JSON) under ``model_dir/pipeline``.
+
+    ``model`` is an ensemble or any fitted ``pyspark.ml`` regressor, which has no uncertainty.
+    """
     base = os.path.join(model_dir, "pipeline")
     features.save(os.path.join(base, "features"))
-    ensemble.save(os.path.join(base, "members"))
-    meta.coalesce(1).write.mode("overwrite").json(os.path.join(base, "meta"))
+    uncertainty = isinstance(model, ForestEnsembleModel)
+    if uncertainty:
+        model.save(os.path.join(base, "members"))
+    else:
+        model.write().overwrite().save(os.path.join(base, "plain"))
+    meta.withColumn("uncertainty", F.lit(uncertainty)).coalesce(1).write.mode("overwrite").json(os.path.join(base, "meta"))
 
 
 @dataclass
@@ -316,7 +333,8 @@ class LoadedModel:
     meta: dict
     features: FundingFeaturesModel | None = None
     ensemble: ForestEnsembleModel | None = None
-    legacy: RandomForestRegressionModel | None = None
+    plain: Model | None = None     # a pipeline whose model has no uncertainty
+    legacy: Model | None = None
     error: str | None = None
 
 
@@ -330,23 +348,29 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def load_model(spark: SparkSession, model_dir: str) -> LoadedModel:
     """Pipeline + metadata, else the legacy model, else an error record."""
     base = os.path.join(model_dir, "pipeline")
-    reason = None
-    if _exists(spark, os.path.join(base, "meta")):
-        try:
-            meta = spark.read.json(os.path.join(base, "meta")).first().asDict()
-            return LoadedModel("pipeline", meta,
-                               FundingFeaturesModel.load(spark, os.path.join(base, "features")),
-                               ForestEnsembleModel.load(os.path.join(base, "members"), int(meta["n_members"])))
-        except Exception as exc:  # noqa: BLE001 - the reason is kept, not swallowed
-            reason = f"pipeline unusable: {exc}"
+    if not _exists(spark, os.path.join(base, "meta")):
+        return _load_legacy(spark, model_dir, None)
+    try:
+        meta = spark.read.json(os.path.join(base, "meta")).first().asDict()
+        loaded = LoadedModel("pipeline", meta, FundingFeaturesModel.load(spark, os.path.join(base, "features")))
+        if meta.get("uncertainty", True):
+            loaded.ensemble = ForestEnsembleModel.load(os.path.join(base, "members"), int(meta["n_members"]))
+        else:
+            loaded.plain = load_fitted(os.path.join(base, "plain"))
+        return loaded
+    except Exception as exc:  # noqa: BLE001 - the reason is kept, not swallowed
+        return _load_legacy(spark, model_dir, f"pipeline unusable: {exc}")
+
+
+def _load_legacy(spark: SparkSession, model_dir: str, reason: str | None) -> LoadedModel:
+    """The older model with the reason why the pipeline is not used, else an error record."""
     legacy = os.path.join(model_dir, "legacy")
-    if _exists(spark, os.path.join(legacy, "model")):
-        meta = {}
-        if _exists(spark, os.path.join(legacy, "meta")):
-            meta = spark.read.json(os.path.join(legacy, "meta")).first().asDict()
-        return LoadedModel("legacy", meta, legacy=RandomForestRegressionModel.load(
-            os.path.join(legacy, "model")), error=reason)
-    return LoadedModel("none", {}, error=reason or f"{NO_MODEL_ERROR} in {model_dir}")
+    if not _exists(spark, os.path.join(legacy, "model")):
+        return LoadedModel("none", {}, error=reason or f"{NO_MODEL_ERROR} in {model_dir}")
+    meta = {}
+    if _exists(spark, os.path.join(legacy, "meta")):
+        meta = spark.read.json(os.path.join(legacy, "meta")).first().asDict()
+    return LoadedModel("legacy", meta, legacy=load_fitted(os.path.join(legacy, "model")), error=reason)
 
 
 def train_funding_model(catalog: DataFrame, model_dir: str, params: TrainParams = TrainParams(),
@@ -391,6 +415,22 @@ def train_legacy_model(catalog: DataFrame, model_dir: str, num_trees: int = 20,
 PREDICTION_COLUMNS = ("predicted_amount", "confidence", "error", "lower", "upper")
 
 
+def _pipeline_predictions(inputs: DataFrame, loaded: LoadedModel, encoder) -> DataFrame:
+    transform = loaded.meta.get("target_transform")
+    feats = loaded.features
+    feats.encoder, feats.dim = encoder, int(loaded.meta.get("dim") or ENCODER_DIM)
+    x = feats.transform(inputs)
+    if loaded.plain is not None:                       # no spread, hence no bounds
+        m = loaded.plain
+        scored = m.transform(x, {m.featuresCol: feats.out_col, m.predictionCol: "_pred"})
+        amount, lower, upper = inverse_target("_pred", transform), F.lit(None).cast("double"), F.lit(None).cast("double")
+    else:
+        scored = loaded.ensemble.predict_with_uncertainty(x)
+        amount, lower, upper = prediction_interval("mean_log", "std_log", transform)
+    return scored.select("idea_id", amount.alias("predicted_amount"), F.lit(BASELINE_CONFIDENCE).alias("confidence"),
+                         F.lit(None).cast("string").alias("error"), lower.alias("lower"), upper.alias("upper"))
+
+
 def predict_funding(ideas: DataFrame, model_dir: str, industry_col: str | None = None,
                     encoder=None) -> DataFrame:
     """M8 (with the M9 fallback): amount, confidence, error, lower, upper per idea.
@@ -405,24 +445,18 @@ def predict_funding(ideas: DataFrame, model_dir: str, industry_col: str | None =
         loaded = LoadedModel("none", {}, error=f"model was trained with encoder {loaded.meta.get('embed_model')}, "
                                                f"not {encoder_id(encoder)}")
     if loaded.kind == "pipeline":
-        transform = loaded.meta.get("target_transform")
-        feats = loaded.features
-        feats.encoder, feats.dim = encoder, int(loaded.meta.get("dim") or ENCODER_DIM)
-        scored = loaded.ensemble.predict_with_uncertainty(feats.transform(inputs, "idea_id"))
-        amount, lower, upper = prediction_interval("mean_log", "std_log", transform)
-        return scored.select("idea_id", amount.alias("predicted_amount"),
-                             F.lit(BASELINE_CONFIDENCE).alias("confidence"),
-                             F.lit(None).cast("string").alias("error"),
-                             lower.alias("lower"), upper.alias("upper"))
+        try:
+            return _pipeline_predictions(inputs, loaded, encoder)
+        except Exception as exc:  # noqa: BLE001 - the reason is kept, not swallowed
+            loaded = _load_legacy(spark, model_dir, f"pipeline unusable: {exc}")
     if loaded.kind == "legacy":
         transform = loaded.meta.get("target_transform")
         x = with_embedding(inputs, "description", "embedding", encoder=encoder).withColumn(
             "features", array_to_vector(F.concat(
                 F.coalesce(F.col("embedding"), F.array_repeat(F.lit(0.0).cast("float"), ENCODER_DIM))
                 .cast("array<double>"), F.array(F.col("starting_year")))))
-        m = loaded.legacy.copy()
-        m.setPredictionCol("_pred")
-        scored = m.transform(x)
+        m = loaded.legacy
+        scored = m.transform(x, {m.predictionCol: "_pred"})
         return scored.select("idea_id", inverse_target("_pred", transform).alias("predicted_amount"),
                              F.lit(BASELINE_CONFIDENCE).alias("confidence"),
                              F.lit(loaded.error).cast("string").alias("error"),   # why the pipeline was not used
@@ -433,12 +467,3 @@ def predict_funding(ideas: DataFrame, model_dir: str, industry_col: str | None =
                          F.lit(loaded.error).cast("string").alias("error"),
                          F.lit(None).cast("double").alias("lower"),
                          F.lit(None).cast("double").alias("upper"))
-
-
-def assemble(df: DataFrame, cols: list[str], out_col: str = "features") -> DataFrame:
-    """V5 for purely numeric columns (VectorAssembler)."""
-    return VectorAssembler(inputCols=cols, outputCol=out_col, handleInvalid="keep").transform(df)
-
-
-def metadata_json(meta: dict) -> str:
-    return json.dumps(meta, default=str, sort_keys=True)

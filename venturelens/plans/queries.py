@@ -811,7 +811,7 @@ def q_build_model_inputs(spark, sf):
 @register("save_model", TRAIN_ROWS + f"""
 SELECT 'log1p' AS target_transform, {q(M.ENCODER_NAME)} AS embed_model, CAST({M.ENCODER_DIM} AS BIGINT) AS dim,
        CAST({QUERY_TRAIN.n_members} AS BIGINT) AS n_members, CAST({QUERY_TRAIN.num_trees} AS BIGINT) AS num_trees,
-       CAST({QUERY_TRAIN.max_depth} AS BIGINT) AS max_depth, CAST(count(*) AS BIGINT) AS n_train,
+       CAST({QUERY_TRAIN.max_depth} AS BIGINT) AS max_depth, CAST(count(*) AS BIGINT) AS n_train, true AS uncertainty,
        CAST(count(DISTINCT coalesce(city, {q(FEATURE_MISSING_TOKEN)})) AS BIGINT) AS n_cities,
        CAST(count(DISTINCT coalesce(industries, {q(FEATURE_MISSING_TOKEN)})) AS BIGINT) AS n_industries
 FROM train""")

@@ -40,6 +40,15 @@ def test_words_of_slices():
         assert flat.to_pylist() == sum(want, []) and np.diff(to).tolist() == [len(w) for w in want]
 
 
+def test_bounded_sample_of_huge_strata(spark, monkeypatch):
+    n, bound = 9_000_000, 4_500_000                  # a made-up count: hash times count passes 2^63
+    monkeypatch.setattr(textkit, "written", lambda rows, name: rows.withColumn("_n", F.lit(n).cast("long")))
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"))
+    got = {r.doc_id for r in textkit.bounded_sample(rows, "lang", bound).collect()}
+    hashes = dict(map(tuple, rows.select("doc_id", textkit._sample_hash("doc_id")).collect()))
+    assert got == {i for i, h in hashes.items() if h * n <= textkit._sample_slack(bound) << 40} and 100 < len(got) < 300
+
+
 # 1
 def brute_nearest(ids, x, k=5):
     x = x / np.linalg.norm(x, axis=1)[:, None]

@@ -54,7 +54,8 @@ def bounded_sample(rows: DataFrame, stratum: str | None, per_stratum: int, key:
     # written: Spark then knows the bytes, and does not shuffle the rows by stratum to join a few counts
     counts = written(rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")), "strata")
     near = (rows.join(counts, stratum).withColumn("_h", _sample_hash(key))
-            .where(F.col("_h") * F.col("_n") <= F.lit(float(_sample_slack(per_stratum))) * F.lit(float(1 << 40))))
+            # in double: the product of the two bigints passes 2^63 from 2^23 rows per stratum on
+            .where(F.col("_h").cast("double") * F.col("_n") <= F.lit(float(_sample_slack(per_stratum))) * F.lit(float(1 << 40))))
     w = Window.partitionBy(stratum).orderBy("_h", key)
     return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_stratum).drop("_n", "_h", "_r")
 

@@ -358,6 +358,19 @@ def test_secret_network_scores_all_held_out(docs):
     assert got == {1: [("model", 4, 4 + len(key)), ("hex", 9, 49)], 2: []}
 
 
+def test_secret_scores_do_not_depend_on_neighbours():
+    texts = ["key 9f3a7c1e5b2d", "", "a", "password = Xy12Xy12Xy12", None, "0123456789abcdef0123 x", "é 9f3a7c1e5b2d"]
+
+    def spans_of(texts):
+        raw, to = secret_scan._joined(pa.array(texts, pa.string()))
+        base = secret_scan.base_spans(raw)
+        a, b, _ = secret_scan.candidates(raw, base)
+        x, owner = secret_scan.windows(raw, to, np.concatenate([[s[3] for s in base], a]), np.concatenate([[s[1] for s in base], b]))
+        return sorted(r.tobytes() for r in x)
+
+    assert len(spans_of(texts)) == 4 and spans_of(texts) == sorted(sum((spans_of([t]) for t in texts), []))
+
+
 # 9
 def test_quality_held_out(docs, labels):
     model = pu_quality.fit(docs, labels.where((F.col("quality") == 1) & (textkit.remainder("doc_id", 5) != 0)))

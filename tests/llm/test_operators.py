@@ -136,6 +136,14 @@ def test_toxicity_gradient():
         assert abs((up - down) / (2 * step) - seen[name].reshape(-1)[0]) < 2e-3, name
 
 
+def test_toxicity_windows_hold_passages():
+    first, size, doc = toxicity._windows(np.array([0, 200, 205, 205, 238]))
+    for d, (a, b) in enumerate([(0, 200), (200, 205), (205, 205), (205, 238)]):
+        own = doc == d
+        for at in range(a, max(a + 1, b - 16)):
+            assert ((first[own] <= at) & (first[own] + size[own] >= min(at + 17, b))).any()
+
+
 def test_toxicity_edges(spark):
     out = toxicity.score(edge_docs(spark), toxicity.GruNet.new()).collect()
     assert len(out) == 13 and all(0 <= r.score <= 1 for r in out)

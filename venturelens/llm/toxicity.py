@@ -5,8 +5,9 @@ word enters as a word embedding (hashed) joined to the mean embedding of its
 characters (hashed character trigrams and its first six bytes), so unseen forms
 of a known stem are recognised by their spelling.
 
-*Network.*  Windows of ``WINDOW`` words, each ``STEP`` after the one before, so
-neighbours overlap and a phrase at an edge is whole in one of them.  A gated
+*Network.*  Windows of 32 words (``WINDOW``), each 16 (``STEP``) after the one
+before: every passage of up to 17 words is whole in one of them, a longer one
+may be seen only in parts.  A gated
 recurrent unit reads a window in each direction; attention pools the states;
 one output gives the margin.  A document's margin is the largest of all its
 windows, and Platt scaling of it is the score.
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from venturelens.llm.textkit import bounded_sample, compact, mix64, ranges, raw_bytes, slices, words
 
-WINDOW, STEP, HIDDEN, DIM, BUCKETS, ATTEND = 32, 24, 8, 8, 1 << 17, 8
+WINDOW, STEP, HIDDEN, DIM, BUCKETS, ATTEND = 32, 16, 8, 8, 1 << 17, 8
 LANES = 4096
 
 _FOLD = np.arange(256, dtype=np.uint8)

@@ -90,6 +90,18 @@ def test_nearest_edges_and_many_parts(spark, monkeypatch):
     assert all(got[got.query_id == q].vec_id.tolist() == want[q] for q in (300, 350, 400, 450))      # copies: ties by id
 
 
+def test_nearest_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(projected_ann, "ROWS", 40)
+    x = np.random.default_rng(1).normal(size=(300, 6))
+    ids = np.concatenate([np.arange(300), np.full(200, 7), [11]])
+    x = np.concatenate([x, np.tile(x[7], (200, 1)), x[:1]])              # id 7 repeated; id 11 with a second vector
+    index = projected_ann.Index(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>"))
+    assert index.rows.count() == 301 and index.rows.agg(F.sum("copies")).first()[0] == len(ids) == index.n
+    got = index.search(index.rows.where("vec_id % 50 = 0"), confidence=0.999).toPandas().sort_values("rank")
+    want = brute_nearest(ids, x)
+    assert sum(g.vec_id.tolist() == want[q] for q, g in got.groupby("query_id")) >= 0.8 * len(want)
+
+
 # 2
 def test_toxicity_held_out(docs, labels):
     text = {r.doc_id: r.text for r in docs.collect()}
@@ -270,6 +282,14 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in ppm.predict(docs, ppm.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_sample_of_repeated_ids(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(ppm, "fit_trees", seen.update)
+    rows = spark.createDataFrame([(1, "one", "en")] * 500 + [(i, f"text {i}", "en") for i in range(2, 9)], "doc_id long, text string, lang string")
+    ppm.fit(rows, per_lang=20)
+    assert sorted(seen["en"]) == sorted(["one"] + [f"text {i}" for i in range(2, 9)])
+
+
 # 7
 def test_rans_blocks():
     rng = np.random.default_rng(1)

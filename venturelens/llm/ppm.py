@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from venturelens.llm.textkit import bounded_sample, compact, raw_bytes, slices
 
@@ -150,8 +151,10 @@ def code_lengths(texts: pa.Array, trees: ContextTrees) -> np.ndarray:
 
 def fit(rows: DataFrame, per_lang: int = 300) -> ContextTrees | None:
     """Learns from (doc_id, text, lang) rows with a language; at most ``per_lang`` whole texts of each."""
-    ids = bounded_sample(rows.where("lang IS NOT NULL").select("doc_id", "lang"), "lang", per_lang).select("doc_id").distinct()
-    got = rows.where("lang IS NOT NULL").select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi").toArrow().to_pydict()
+    ids = bounded_sample(rows.where("doc_id IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang").distinct(), "lang", per_lang)
+    # one text of an id that stands in several rows
+    got = (rows.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"], "left_semi")
+           .groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toArrow().to_pydict())
     by_lang: dict[str, list[str]] = {}
     for _, lang, text in sorted(zip(got["doc_id"], got["lang"], got["text"]), key=lambda r: (r[0], r[1], r[2] or "")):
         by_lang.setdefault(lang, []).append(text or "")

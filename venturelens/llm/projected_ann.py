@@ -6,7 +6,8 @@ distance, is chi-square distributed with DIMS degrees of freedom.
 
 *Index.*  A kd-tree over the projections of a bounded sample (``SAMPLE`` rows)
 cuts space into cells; every row is indexed in its cell, and a cell with many
-rows (a much copied vector) is divided by hash into parts of bounded size.  The
+rows (a much copied vector) is divided by hash into parts of bounded size; rows
+of one id and unit vector are indexed once, with their number.  The
 index is a Parquet table in the shared folder; the driver keeps one box per
 cell (at most ``MOST_CELLS``).
 
@@ -110,7 +111,8 @@ class Index:
         self.dim, self.n = (dims["d"], dims["count"]) if dims else (1, 0)
         rows = rows.where(F.size("v") == self.dim)
         share = min(1.0, SAMPLE / max(1, self.n))
-        picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").toArrow().combine_chunks()
+        picked = (rows.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < int(share * (1 << 30)))
+                  .dropDuplicates(["vec_id", "v"]).orderBy("vec_id", "v").select("v").toArrow().combine_chunks())
         matrix = _matrix(self.dim)
         sample = _project(_units(pa.chunked_array(picked.column("v")).combine_chunks(), self.dim), matrix) if picked.num_rows else np.zeros((0, DIMS))
         tree = Cells(sample, -(-self.n // ROWS))
@@ -126,7 +128,18 @@ class Index:
                         [batch.column("vec_id"), pa.array(tree.of(p), pa.int64()), pa.array([r.tobytes() for r in x], pa.binary()),
                          *(pa.array(np.ascontiguousarray(p[:, i])) for i in range(DIMS))], names=["vec_id", "cell", "unit", *ps])
 
-        self.rows = written(rows.mapInArrow(place, "vec_id bigint, cell bigint, unit binary, " + ", ".join(f"{p} double" for p in ps)), "ann-index")
+        def placed(some: DataFrame) -> DataFrame:
+            return some.mapInArrow(place, "vec_id bigint, cell bigint, unit binary, " + ", ".join(f"{p} double" for p in ps))
+
+        # only rows of repeated ids are shuffled to be counted
+        again = written(rows.groupBy("vec_id").count().where("count > 1").select("vec_id"), "ann-repeated")
+        if again.isEmpty():
+            indexed = placed(rows).withColumn("copies", F.lit(1).cast("long"))
+        else:
+            indexed = (placed(rows.join(again, "vec_id", "left_anti")).withColumn("copies", F.lit(1).cast("long"))
+                       .unionByName(placed(rows.join(again, "vec_id", "left_semi")).groupBy("vec_id", "unit")
+                                    .agg(*(F.min(c).alias(c) for c in ("cell", *ps)), F.count(F.lit(1)).alias("copies"))))
+        self.rows = written(indexed, "ann-index")
         boxes = self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *(F.min(p).alias(f"lo{p}") for p in ps),
                                               *(F.max(p).alias(f"hi{p}") for p in ps)).orderBy("cell").toPandas()
         self.cell = boxes["cell"].to_numpy(np.int64)
@@ -137,7 +150,7 @@ class Index:
     def search(self, queries: DataFrame, k: int = 5, confidence: float = 0.97) -> DataFrame:
         """query_id, rank, vec_id and score: the k nearest found of every row of ``queries`` (a subset of self.rows)."""
         reach = chi_square_quantile(confidence)
-        q = (queries.dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "query_id")
+        q = (queries.drop("copies").dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "query_id")
              .withColumn("known", F.lit(None).cast("double")))
         home = self._search(q, k, reach)
         top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -189,6 +202,7 @@ class Index:
                 leaves = _leaves(p)
                 order = np.concatenate(leaves)
                 ids, x, p = ids[order], x[order], p[order]
+                copies = np.minimum(rows.column("copies").to_numpy()[order], k)
                 ends = np.cumsum([len(leaf) for leaf in leaves])
                 starts = np.concatenate([[0], ends[:-1]])
                 lo = np.minimum.reduceat(p, starts, axis=0)
@@ -211,7 +225,8 @@ class Index:
                         member = member[ids[member] != qid]
                         s = np.einsum("ij,j->i", x[member], v)
                         ok = s >= bound
-                        got_id, got = np.concatenate([got_id, ids[member][ok]]), np.concatenate([got, s[ok]])
+                        times = copies[member][ok]
+                        got_id, got = np.concatenate([got_id, np.repeat(ids[member][ok], times)]), np.concatenate([got, np.repeat(s[ok], times)])
                         best = np.lexsort((got_id, -got))[:k]
                         got_id, got = got_id[best], got[best]
                         if len(got) == k:
@@ -223,7 +238,7 @@ class Index:
             return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
         key = ["cell", "part", "block"]
-        return (have.select(*key, "vec_id", "unit", *ps).groupBy(*key)
+        return (have.select(*key, "vec_id", "unit", "copies", *ps).groupBy(*key)
                 .cogroup(ask.select(*key, "query_id", "unit", "known", *ps).groupBy(*key))
                 .applyInArrow(find, "query_id bigint, vec_id bigint, score double"))
 

@@ -166,9 +166,10 @@ def fit(docs: DataFrame, positives: DataFrame, per_class: int = 6000, prior: flo
         return np.asarray(got.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, N_FEATURES)
 
     ids = bounded_sample(positives.select("doc_id").where("doc_id IS NOT NULL").distinct(), None, per_class)
-    pos = rows(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
-    web = bounded_sample(docs.select("doc_id").where("doc_id IS NOT NULL"), None, per_class).distinct()
-    unl = rows(docs.select("doc_id", "text").join(web, "doc_id", "left_semi"))
+    # one text of an id that stands in several rows
+    pos = rows(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    web = bounded_sample(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), None, per_class)
+    unl = rows(docs.select("doc_id", "text").join(web, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
     if not len(pos) or not len(unl):
         return QualityModel(None, 0.5)
     prior = estimate_prior(pos, unl) if prior is None else prior

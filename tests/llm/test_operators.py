@@ -275,6 +275,16 @@ def test_ppm_probabilities():
     assert np.allclose(whole[2], ppm.code_lengths(pa.array(["abra zyx"]), trees)[0]) and not whole[:2].any()
 
 
+def test_ppm_room_grows_with_languages(monkeypatch, caplog):
+    monkeypatch.setattr(ppm, "NODES", 40, raising=False)
+    monkeypatch.setattr(ppm, "NODES_PER_LANG", 40, raising=False)
+    texts = {f"l{i}": ["".join(chr(97 + 5 * i + j) for j in (0, 1, 2, 3, 4, 2, 0)) * 3] for i in range(5)}
+    one = len(ppm.fit_trees({"l0": texts["l0"]}).child) - 2                 # without the root and the dead node
+    assert len(ppm.fit_trees(texts).child) - 2 == 5 * one and not caplog.records
+    ppm.fit_trees(texts, max_nodes=50)
+    assert "left out" in caplog.text
+
+
 def test_language_edges(spark):
     docs = edge_docs(spark)
     got = {r.doc_id: (r.lang_pred, r.score) for r in ppm.predict(docs, ppm.fit(docs)).where("doc_id IS NOT NULL").collect()}

@@ -11,8 +11,10 @@ under equal priors.
 
 Training rows are bounded: ``per_lang`` whole texts of each language (smallest
 key hashes).  The trees are merged into one with counts per language, built on
-the driver and broadcast; its size is bounded by the training rows and
-``max_nodes``.  Every text is scored whole, in place, without a shuffle.
+the driver and broadcast; its size is bounded by the training rows and by
+``NODES_PER_LANG`` contexts for each language (never fewer than ``NODES``), the
+most frequent of an order first; a warning tells how many did not find room.
+Every text is scored whole, in place, without a shuffle.
 
 Letter case is folded.  A null text or one without a letter is ``und`` with
 score 0, and so is every text when there is nothing to learn from.
@@ -20,6 +22,7 @@ score 0, and so is every text when there is nothing to learn from.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +36,8 @@ from pyspark.sql import functions as F
 from venturelens.llm.textkit import bounded_sample, compact, raw_bytes, slices
 
 ORDER = 3
+NODES, NODES_PER_LANG = 30_000, 7_500
+_LOG = logging.getLogger(__name__)
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -53,10 +58,11 @@ def _sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), within
 
 
-def fit_trees(by_lang: dict[str, list[str]], order: int = ORDER, max_nodes: int = 30_000) -> ContextTrees | None:
+def fit_trees(by_lang: dict[str, list[str]], order: int = ORDER, max_nodes: int | None = None) -> ContextTrees | None:
     langs = sorted(lang for lang, texts in by_lang.items() if any(texts))
     if not langs:
         return None
+    max_nodes = max(NODES, NODES_PER_LANG * len(langs)) if max_nodes is None else max_nodes
     data = {lang: _sequences(by_lang[lang]) for lang in langs}
     alphabet = np.unique(np.concatenate([np.unique(raw) for raw, _ in data.values()]))
     symbol = np.full(256, len(alphabet), np.uint8 if len(alphabet) < 256 else np.int16)
@@ -79,7 +85,9 @@ def fit_trees(by_lang: dict[str, list[str]], order: int = ORDER, max_nodes: int
         keep = n >= 2
         room = max_nodes - sum(len(lv[0]) for lv in levels)
         if keep.sum() > room:                              # the most frequent contexts of this order
+            asked = int(keep.sum())
             keep &= n > np.partition(n, len(n) - room)[len(n) - room] if room > 0 else False
+            _LOG.warning("%d of %d contexts of order %d left out: %d contexts for %d languages", asked - keep.sum(), asked, k, max_nodes, len(langs))
         levels.append((seen[keep], None))
     base = np.cumsum([0, *(len(lv[0]) for lv in levels)])
     nodes, dead = int(base[-1]), int(base[-1])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F  # noqa: F401
 
-from venturelens.llm import byte_bpe, mixing, parity_join, ppm, projected_ann, pu_quality, rans, secret_scan, stream_dedup, toxicity
+from venturelens.llm import byte_bpe, impact_search, mixing, parity_join, ppm, projected_ann, pu_quality, rans, secret_scan, stream_dedup, toxicity
 from venturelens.llm.textkit import held_out, remainder
 from venturelens.llm.registry import ORACLES, QUERIES, register, table, tokenizer_file, tokenizer_pattern  # noqa: F401
 
@@ -83,3 +83,8 @@ def op7_token_files(spark, sf_dir):
 def op1_nearest(spark, sf_dir):
     index = projected_ann.Index(table(spark, sf_dir, "embeddings"))
     return index.search(index.rows.where("vec_id % 50 = 0"))
+
+
+@register("op13_lexical", impact_search.ORACLE)
+def op13_lexical(spark, sf_dir):
+    return impact_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))

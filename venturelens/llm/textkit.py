@@ -70,12 +70,12 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
         at = to
 
 
-def words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+def words(texts: pa.Array, lower: bool = True, table: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
     """Runs of characters outside [\\x20\\x09-\\x0D] of every text, and where each text's begin.
 
-    Null counts as empty; ``lower`` folds A-Z only.
+    Null counts as empty; ``lower`` folds A-Z only; ``table`` replaces bytes first (others that part words by spaces).
     """
-    split = pc.ascii_split_whitespace(compact(texts, _AZ if lower else None))
+    split = pc.ascii_split_whitespace(compact(texts, table if table is not None else _AZ if lower else None))
     flat, ends = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
     full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     if not full.all():

@@ -44,13 +44,11 @@ def test_terms_are_the_matches_of_the_pattern():
 
 
 @pytest.mark.parametrize("postings,docs_per_shard,block", [(2_000_000, 100_000, 8 << 20), (40, 7, 60), (1, 1, 1)])
-def test_search_against_brute_force(spark, monkeypatch, postings, docs_per_shard, block):
-    monkeypatch.setattr(impact_search, "SHARD_POSTINGS", postings)
-    monkeypatch.setattr(impact_search, "SHARD_DOCS", docs_per_shard)
-    monkeypatch.setattr(impact_search, "BLOCK_BYTES", block)
+def test_search_against_brute_force(spark, postings, docs_per_shard, block):
     docs = edge_docs(spark, [(20 + i, f"alpha {'beta ' * (i % 4)} word{i % 5} tie", "en", "a") for i in range(40)])
     items = [(1, "alpha beta BETA word3"), (2, None), (3, ""), (4, "zzz never"), (5, "tie tie-tie straße"), (None, "one word1")]
-    got = impact_search.search(spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, score string"), docs)
+    got = impact_search.search(spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, score string"), docs,
+                               bounds=impact_search.Bounds(postings, docs_per_shard, block))
     want = brute(items, [(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(rows(got), key=str) == sorted(want, key=str) and dict(got.dtypes) == {
         "item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"}

@@ -7,7 +7,7 @@ impact over the item's terms, repeats included.
 1. One pass over all documents keeps, per document, its number of terms and the
    (term, tf) pairs of the items' vocabulary.  N, L and the df of those terms
    are aggregates of that narrow table.
-2. Its rows are split into shards of at most ``SHARD_POSTINGS`` pairs (whole
+2. Its rows are split into shards of at most ``Bounds.postings`` pairs (whole
    documents), so a frequent term is split with the documents that hold it.  A
    shard sorts each term's list by falling impact and runs every item on it:
    sorted accesses go down all lists of the item in blocks of growing depth; each
@@ -21,7 +21,7 @@ impact over the item's terms, repeats included.
 3. Per shard and item k rows remain; a window per item merges them (Spark
    limits each partition to k rows per item before the shuffle).
 
-Items are taken in blocks of at most ``BLOCK_BYTES`` of text on average, each
+Items are taken in blocks of at most ``Bounds.item_bytes`` of text on average, each
 block a search of its own: the vocabulary of one block is what the driver holds
 and broadcasts.
 
@@ -37,20 +37,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from venturelens.llm.textkit import ranges, slices, words
 from venturelens.session import written
 
-#: (term, tf) pairs of one shard, and documents in it.
-SHARD_POSTINGS, SHARD_DOCS = 2_000_000, 100_000
-#: Text of one block of items on average.
-BLOCK_BYTES = 8 << 20
+@dataclass(frozen=True)
+class Bounds:
+    """(term, tf) pairs and documents of one shard; text of one block of items on average."""
+
+    postings: int = 2_000_000
+    docs: int = 100_000
+    item_bytes: int = 8 << 20
+
+
 #: Depth of the first block of sorted accesses; it doubles.
 FIRST_DEPTH = 16
 
@@ -180,30 +187,30 @@ class Shard:
         return docs[full], scores[full]
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _shards(batches: Iterator[pa.RecordBatch], bounds: Bounds) -> Iterator[pa.Table]:
     held, size, docs = [], 0, 0
     for batch in batches:
         per = pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False)
         total = np.concatenate([[0], np.cumsum(per)])
         at = 0
         while at < batch.num_rows:
-            to = int(np.searchsorted(total, total[at] + SHARD_POSTINGS - size, side="right")) - 1
-            to = min(max(to, at), batch.num_rows, at + SHARD_DOCS - docs)
+            to = int(np.searchsorted(total, total[at] + bounds.postings - size, side="right")) - 1
+            to = min(max(to, at), batch.num_rows, at + bounds.docs - docs)
             if to > at:
                 held.append(batch.slice(at, to - at))
                 size, docs = size + int(total[to] - total[at]), docs + to - at
             elif not held:                     # one document beyond the bound is a shard of its own
                 held.append(batch.slice(at, 1))
-                to, size = at + 1, SHARD_POSTINGS
+                to, size = at + 1, bounds.postings
             at = to
-            if at < batch.num_rows or size >= SHARD_POSTINGS or docs >= SHARD_DOCS:
+            if at < batch.num_rows or size >= bounds.postings or docs >= bounds.docs:
                 yield pa.Table.from_batches(held)
                 held, size, docs = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _block(rows: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _block(rows: DataFrame, docs: DataFrame, k: int, bounds: Bounds) -> DataFrame:
     """Search of one block of items (item_id, text): item_id, doc_id, score, k rows at most per item and shard."""
     items = rows.collect()
     kinds = f"item_id {dict(rows.dtypes)['item_id']}, doc_id {dict(docs.dtypes)['doc_id']}, score bigint"
@@ -221,12 +228,12 @@ def _block(rows: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         queries.append((ids, w[ids] * times))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((queries, [r["item_id"] for r in items], len(vocabulary)))
-    names, out_types = ["item_id", "doc_id", "score"], None
+    names, id_type = ["item_id", "doc_id", "score"], to_arrow_type(rows.schema["item_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, item_ids, n_terms = shared.value
-        item_ids = pa.array(item_ids, out_types)
-        for part in _shards(batches):
+        item_ids = pa.array(item_ids, id_type)
+        for part in _shards(batches, bounds):
             part = part.combine_chunks()
             ids, lists, tfs = part.column("doc_id"), part.column("terms"), part.column("tfs")
             per = pc.list_value_length(lists).to_numpy()
@@ -241,21 +248,18 @@ def _block(rows: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [item_ids.take(pa.array(item)), ids.take(pa.array(doc)).combine_chunks(), pa.array(score)], names=names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    out_types = to_arrow_type(rows.schema["item_id"].dataType)
     return table.mapInArrow(run, kinds)
 
 
-def search(items: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+def search(items: DataFrame, docs: DataFrame, k: int = 10, bounds: Bounds = Bounds()) -> DataFrame:
     """item_id, rank, doc_id, score: the k best documents with a score above 0 of every item."""
     items = written(items.groupBy("item_id").agg(F.min("text").alias("text")).where("text is not null"), "items")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    blocks = max(1, math.ceil(size / bounds.item_bytes))
     found = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        rows = _block(part, docs, k)
+        rows = _block(part, docs, k, bounds)
         found = rows if found is None else found.unionByName(rows)
     w = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

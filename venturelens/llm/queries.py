@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F  # noqa: F401
 
-from venturelens.llm import byte_bpe, impact_search, mixing, parity_join, ppm, projected_ann, pu_quality, rans, secret_scan, stream_dedup, toxicity
+from venturelens.llm import byte_bpe, conversation, impact_search, mixing, parity_join, ppm, projected_ann, pu_quality, rans, secret_scan, stream_dedup, toxicity
 from venturelens.llm.textkit import held_out, remainder
 from venturelens.llm.registry import ORACLES, QUERIES, register, table, tokenizer_file, tokenizer_pattern  # noqa: F401
 
@@ -88,3 +88,8 @@ def op1_nearest(spark, sf_dir):
 @register("op13_lexical", impact_search.ORACLE)
 def op13_lexical(spark, sf_dir):
     return impact_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+@register("op12_conversations", conversation.ORACLE)
+def op12_conversations(spark, sf_dir):
+    return conversation.repair(conversation.damaged(table(spark, sf_dir, "conversations")))

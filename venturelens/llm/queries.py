@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F  # noqa: F401
 
-from venturelens.llm import byte_bpe, conversation, impact_search, mixing, parity_join, ppm, projected_ann, pu_quality, rans, secret_scan, stream_dedup, toxicity
+from venturelens.llm import byte_bpe, conversation, impact_search, mincut_html, mixing, parity_join, ppm, projected_ann, pu_quality, rans, secret_scan, stream_dedup, toxicity
 from venturelens.llm.textkit import held_out, remainder
 from venturelens.llm.registry import ORACLES, QUERIES, register, table, tokenizer_file, tokenizer_pattern  # noqa: F401
 
@@ -93,3 +93,9 @@ def op13_lexical(spark, sf_dir):
 @register("op12_conversations", conversation.ORACLE)
 def op12_conversations(spark, sf_dir):
     return conversation.repair(conversation.damaged(table(spark, sf_dir, "conversations")))
+
+
+@register("op11_main_text")
+def op11_main_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return mincut_html.extract(pages, mincut_html.fit(pages))

@@ -79,7 +79,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of frames made by ``written`` that no unfinished plan reads any more."""
+    for df in frames:
+        path = getattr(df, "_scratch", None)
+        if path:
+            jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(jvm_path, True)
 
 
 _SHIPPED: dict[str, str] = {}

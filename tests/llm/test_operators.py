@@ -446,12 +446,13 @@ def test_jaccard_keep_one_and_edges(spark):
     assert parity_join.join(docs.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("contract", [1 << 20, 20, 1])
+def test_components(spark, contract):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
     root = {x: x for e in edges for x in e}
     for _ in range(400):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
-    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), contract).collect()))
     assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}

@@ -21,12 +21,14 @@ keys for both.
 
 *Links.*  Equal sets are one class, represented by its smallest doc_id.  In a
 first round every member of a key's bucket meets the bucket's smallest member
-(as many candidates as members).  The verified links make components.  In the
-second round, a bucket whose members still lie in several components has its
+(as many candidates as members).  The verified links make components.  Then
+a bucket whose members still lie in several components has its
 members of different components compared by sketch, in blocks of bounded
-size, and what passes is verified.  Members of one component need no further
-comparison, so a large group of near copies costs no pairs, and no link between
-two components is lost.  Verification intersects the whole sets.
+size: first a least spanning forest of the pairs that pass is verified, which joins
+nearly all components that are to be joined; then every pair that still passes.
+Members of one component need no further
+comparison, so a large group of near copies costs few pairs, and no link between
+two components is lost.  Of buckets with the same members one is compared.  Verification intersects the whole sets.
 
 Rules: A-Z are lower-cased, words are runs of [^\\x20\\x09-\\x0D]; a text with
 fewer words than a shingle has its whole sequence as its only shingle; a text
@@ -37,22 +39,25 @@ and have a null component.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 import xxhash
 
-from venturelens.llm.components import components
+from venturelens.llm.components import components, split_join
 from venturelens.llm.textkit import mix64, ranges, slices, words
-from venturelens.session import written
+from venturelens.session import discard, written
 
 #: 64-bit words of the sketch that rejects candidates, and the most members of a bucket in one block.
 FOLD_WORDS, BLOCK = 8, 1024
+#: Keys that a task combines at a time.
+COMBINE = 2_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,7 +79,9 @@ class Similarity:
     def parts(self, band: int) -> tuple[int, int]:
         """Parts of a band and how many of them are spare."""
         least = self.most_apart(2 * _TOPS[band]) + 1
-        spare = 0 if least == 1 else -(-least // 4)
+        low = _TOPS[band - 1] + 1 if band else 1
+        # half as many again as parts that stay empty, on average, in the band's smallest sets, and one
+        spare = 0 if least == 1 else 1 + math.ceil(1.5 * least * math.exp(-low / least))
         return least + spare, spare
 
 
@@ -126,8 +133,16 @@ def _part_keys(h: np.ndarray, sim: Similarity) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _usable(batch: pa.RecordBatch, size: np.ndarray) -> np.ndarray:
+    return batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False) & (size > 0)
+
+
+def _set_id(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
 def sketches(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """doc_id, n_shingles, set_id, f0 .. f7 (the parity sketch) and keys (uint64s as bytes)."""
+    """doc_id, n_shingles, set_id, code (half of set_id) and f0 .. f7 (the parity sketch)."""
     folds = [f"f{i}" for i in range(FOLD_WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,48 +154,97 @@ def sketches(docs: DataFrame, sim: Similarity) -> DataFrame:
                                     + ((h >> np.uint64(7)) & np.uint64(64 * FOLD_WORDS - 1)).astype(np.int64),
                                     minlength=len(size) * 64 * FOLD_WORDS) & 1
                 fold = np.packbits(flips.astype(np.uint8)).view(np.int64).reshape(len(size), FOLD_WORDS)
-                ids = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False) & (size > 0)
-                sets = [h[a:b] for a, b in zip(to[:-1], to[1:])]
+                ids = [_set_id(h[a:b]) if ok else None for a, b, ok in zip(to[:-1], to[1:], _usable(part, size))]
+                codes = [None if i is None else int.from_bytes(i[:8], "little", signed=True) for i in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size, pa.int64()),
-                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if ok else None for s, ok in zip(sets, ids)], pa.binary()),
-                     *(pa.array(np.ascontiguousarray(fold[:, i])) for i in range(FOLD_WORDS)),
-                     pa.array([_part_keys(s, sim).tobytes() if ok else b"" for s, ok in zip(sets, ids)], pa.binary())],
-                    names=["doc_id", "n_shingles", "set_id", *folds, "keys"])
+                    [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.array(codes, pa.int64()),
+                     *(pa.array(np.ascontiguousarray(fold[:, i])) for i in range(FOLD_WORDS))],
+                    names=["doc_id", "n_shingles", "set_id", "code", *folds])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, set_id binary, " + ", ".join(f"{f} bigint" for f in folds) + ", keys binary")
+        run, "doc_id bigint, n_shingles bigint, set_id binary, code bigint, " + ", ".join(f"{f} bigint" for f in folds))
+
+
+def combine(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, node) in order, and the smallest node of each one's key."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new_key = np.ones(len(keys), bool)
+    new_key[1:] = keys[1:] != keys[:-1]
+    new = new_key.copy()
+    new[1:] |= nodes[1:] != nodes[:-1]
+    hubs = nodes[new_key][np.cumsum(new_key) - 1]
+    return keys[new], nodes[new], hubs[new]
 
 
-def _keyed(reps: DataFrame) -> DataFrame:
-    """(key, node) of every key of every representative."""
+def _keyed(docs: DataFrame, sim: Similarity) -> DataFrame:
+    """(key, node, hub) of every key of every set; hub is the smallest node that the same task has seen for the key.
+
+    Nodes are codes of sets, so copies give equal rows, and a task passes on one row per
+    key and node of COMBINE keys, of which only the hub's goes on to meet those of other tasks.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, held = [], [], 0
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in combine(np.concatenate(keys), np.concatenate(nodes))],
+                                              names=["key", "node", "hub"])
+
         for batch in batches:
-            for part in slices(batch, "keys", 4 << 20):
-                raw = part.column("keys").to_pylist()
-                keys = np.frombuffer(b"".join(raw), np.int64)
-                nodes = np.repeat(part.column("doc_id").to_numpy(), [len(r) // 8 for r in raw])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes)], names=["key", "node"])
+            for part in slices(batch, "text"):
+                h, to = shingle_sets(part.column("text"), sim.n)
+                for a, b, ok in zip(to[:-1], to[1:], _usable(part, np.diff(to))):
+                    if ok:
+                        keys.append(_part_keys(h[a:b], sim).view(np.int64))
+                        nodes.append(np.full(len(keys[-1]), int.from_bytes(_set_id(h[a:b])[:8], "little", signed=True), np.int64))
+                        held += len(keys[-1])
+                if held >= COMBINE:
+                    yield rows()
+                    keys, nodes, held = [], [], 0
+        if held:
+            yield rows()
 
-    return reps.select("doc_id", "keys").mapInArrow(run, "key bigint, node bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "key bigint, node bigint, hub bigint")
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow a link."""
-    folds = [c for c in nodes.columns if c.startswith("f")]
-    side = {s: nodes.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"{s}_n"),
-                            *(F.col(c).alias(f"{s}_{c}") for c in folds)) for s in "ab"}
+def _met(keyed: DataFrame) -> DataFrame:
+    """(key, node, hub) of every node that shares a key with a smaller one: the key's smallest, or its task's smallest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key = last_hub = None
+        for batch in batches:
+            key, node, hub = (batch.column(c).to_numpy() for c in ("key", "node", "hub"))
+            own = node == hub
+            k, n, first = combine(key[own], node[own])
+            if len(k):
+                if k[0] == last_key:
+                    first[k == last_key] = last_hub
+                last_key, last_hub = k[-1], first[-1]
+            far = n != first
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([key[~own], k[far]])), pa.array(np.concatenate([node[~own], n[far]])),
+                 pa.array(np.concatenate([hub[~own], first[far]]))], names=["key", "node", "hub"])
+
+    # a task's smallest go by key; those that have met them already go anywhere
+    return (keyed.repartition(F.when(F.col("node") == F.col("hub"), F.col("key")).otherwise(F.col("node")))
+            .sortWithinPartitions("key", "node").mapInArrow(run, "key bigint, node bigint, hub bigint"))
+
+
+def _alike(pairs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
+    """The pairs (a, b) of representatives whose sizes and sketches allow a link, of pairs (a, b) of codes."""
+    folds = [c for c in classes.columns if c.startswith("f")]
+    side = {s: classes.select(F.col("code").alias(s), F.col("rep").alias(f"{s}_rep"), F.col("n_shingles").alias(f"{s}_n"),
+                              *(F.col(c).alias(f"{s}_{c}") for c in folds)) for s in "ab"}
     apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in folds[1:]),
                 F.bit_count(F.col(f"a_{folds[0]}").bitwiseXOR(F.col(f"b_{folds[0]}"))))
     total = F.col("a_n") + F.col("b_n")
-    return (pairs.join(side["a"], "a").join(side["b"], "b")
+    return (split_join(pairs.join(side["a"], "a"), side["b"], "b", "a")
             .where((100 * F.least("a_n", "b_n") >= sim.percent * F.greatest("a_n", "b_n"))
-                   & ((100 + sim.percent) * apart <= (100 - sim.percent) * total))
-            .select("a", "b").distinct())
+                   & ((100 + sim.percent) * apart <= (100 - sim.percent) * total) & (F.col("a_rep") != F.col("b_rep")))
+            .select(F.greatest("a_rep", "b_rep").alias("a"), F.least("a_rep", "b_rep").alias("b")).distinct())
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs (a, b) that are linked, by the whole sets."""
+    """The pairs (a, b) that are linked, by the whole sets; written."""
     wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "join-wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,11 +270,31 @@ def _verified(pairs: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     side = {s: whole.select(F.col("node").alias(s), F.col("hashes").alias(f"{s}_set")) for s in "ab"}
-    return pairs.join(side["a"], "a").join(side["b"], "b").mapInArrow(meet, "a bigint, b bigint")
+    linked = written(split_join(pairs.join(side["a"], "a"), side["b"], "b", "a").mapInArrow(meet, "a bigint, b bigint"), "join-links")
+    discard(wanted, whole)
+    return linked
+
+
+def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the pairs that make a least spanning forest of the graph of all pairs."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
 
+    keep = []
+    for i in np.lexsort((b, a, weight)).tolist():
+        x, y = find(int(a[i])), find(int(b[i]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep.append(i)
+    return np.array(keep, np.int64)
 
-def _across(members: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs of different components that share a block and may be linked.
+
+def _across(members: DataFrame, sim: Similarity, forest: bool) -> DataFrame:
+    """Pairs of different components that share a block and may be linked; with ``forest`` a least spanning forest of them per block.
 
     ``members``: block columns (key, i, j), chunk (its own), node, component, size, f0 ...
     """
@@ -221,17 +305,26 @@ def _across(members: DataFrame, sim: Similarity) -> DataFrame:
         n, comp, node, chunk = (group[c][order] for c in ("n", "component", "node", "chunk"))
         fold = np.stack([group[c][order] for c in folds], 1).view(np.uint64)
         one_chunk = group["i"][0] == group["j"][0]
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found_a, found_b, found_x, found_y, found_d = ([np.zeros(0, np.int64)] for _ in range(5))
         far = np.searchsorted(n, n * 100 // sim.percent, side="right")
         for x in range(len(n)):
             y = np.arange(x + 1, far[x])
             y = y[(comp[y] != comp[x]) & (one_chunk | (chunk[y] != chunk[x]))]
             if len(y):
                 apart = np.bitwise_count(fold[y] ^ fold[x]).sum(1, dtype=np.int64)
-                y = y[(100 + sim.percent) * apart <= (100 - sim.percent) * (n[y] + n[x])]
+                near = (100 + sim.percent) * apart <= (100 - sim.percent) * (n[y] + n[x])
+                y = y[near]
                 found_a.append(np.maximum(node[y], node[x]))
                 found_b.append(np.minimum(node[y], node[x]))
-        return np.concatenate(found_a), np.concatenate(found_b)
+                if forest:
+                    found_x.append(np.full(len(y), comp[x]))
+                    found_y.append(comp[y])
+                    found_d.append(apart[near] * 1000 // (n[y] + n[x]))
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        if forest and len(a):
+            keep = spanning(np.concatenate(found_x), np.concatenate(found_y), np.concatenate(found_d))
+            a, b = a[keep], b[keep]
+        return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -260,37 +353,54 @@ def _across(members: DataFrame, sim: Similarity) -> DataFrame:
             .mapInArrow(run, "a bigint, b bigint").distinct())
 
 
+def _blocks(members: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members (key, node) of the buckets that hold several components, in blocks of at most 2 * BLOCK."""
+    placed = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # a bucket of two has been compared; one component needs no more links; of buckets with the same members one is enough
+    open_keys = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"),
+                                           F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+                 .where("lo <> hi AND m > 2").groupBy("m", "x", "y").agg(F.min("key").alias("key"))
+                 .select("key", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("chunks")))
+    return (placed.join(open_keys, "key")
+            .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .join(classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"),
+                                 *(c for c in classes.columns if c.startswith("f"))), "node")
+            .withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other", "chunks"))
+
+
 def join(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     every = written(sketches(docs, sim), "join-sketches")
-    classes = written(every.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "join-classes")
-    nodes = every.drop("keys")
-    reps = every.join(classes.select("set_id", F.col("rep").alias("doc_id")), ["set_id", "doc_id"], "left_semi")
-    up_to = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # rows of buckets with two members or more, but for each bucket's smallest member
-    met = written(_keyed(reps).withColumn("hub", F.first("node").over(up_to)).where("node <> hub"), "join-buckets")
-    first = written(_alike(met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), nodes, sim), "join-pairs")
-    links = written(_verified(first, docs, sim), "join-links")
+    same = [c for c in every.columns if c == "n_shingles" or c.startswith("f")]
+    classes = written(every.where("set_id IS NOT NULL").groupBy("set_id", "code").agg(
+        F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in same)), "join-classes")
+    met = written(_met(_keyed(docs, sim)), "join-buckets")
+    # different sets of one code (a chance of 2**-64 for two sets) meet as well
+    twins = classes.groupBy("code").count().where("count > 1").select(F.col("code").alias("a"), F.col("code").alias("b"))
+    meetings = met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct().unionByName(twins)
+    first = written(_alike(meetings, classes, sim), "join-pairs")
+    links = _verified(first, docs, sim)
     comp = written(components(links), "join-components")
 
     members = met.select("key", "node").union(met.select("key", F.col("hub").alias("node"))).distinct()
-    placed = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # a bucket of two has been compared; one component needs no more links
-    open_keys = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
-                 .where("lo <> hi AND m > 2").select("key", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("chunks")))
-    blocks = (placed.join(open_keys, "key")
-              .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-              .join(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"),
-                                 *(c for c in nodes.columns if c.startswith("f"))), "node")
-              .withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other", "chunks"))
-    second = written(_across(blocks, sim), "join-pairs")
-    more = written(_verified(second, docs, sim), "join-links")
-    if not more.isEmpty():
-        comp = written(components(links.union(more)), "join-components")
+    members = written(members.join(classes.select(F.col("code").alias("node"), "rep"), "node")
+                      .select("key", F.col("rep").alias("node")), "join-members")
+    discard(met, first)
+    for forest in (True, False):
+        second = written(_across(_blocks(members, comp, classes), sim, forest), "join-pairs")
+        if second.isEmpty():
+            discard(second)
+            break
+        more = _verified(second, docs, sim)
+        before = comp, second, links, more
+        links = written(links.unionByName(more), "join-links")
+        comp = written(components(links), "join-components")
+        discard(*before)
+    discard(members, links)
     group = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_id", F.coalesce("component", "rep").alias("component_id"))
-    return (nodes.select("doc_id", "n_shingles", "set_id").join(group, "set_id", "left")
+    return (every.select("doc_id", "n_shingles", "set_id").join(group, "set_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import re
@@ -324,7 +325,7 @@ def test_word_coder_is_the_library():
     for _ in range(1500):
         t = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
         flat, _ = textkit.words(pa.array([t]), lower=False)
-        assert [int(i) for w in coder.ids(flat.to_pylist()) for i in w] == coder.tokenizer.encode(t, add_special_tokens=False).ids
+        assert [int(i) for n in coder.numbers(rans.word_list(flat)) for i in coder.flat[coder.start[n]:coder.start[n] + coder.size[n]]] == coder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_token_files(spark, docs, monkeypatch):
@@ -456,3 +457,27 @@ def test_components(spark, contract):
             root[a] = root[b] = min(root[a], root[b])
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), contract).collect()))
     assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+# 3: white space without end
+def test_byte_bpe_of_very_long_white_space():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokenizer_file("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    codec = byte_bpe.Codec(ranks, tokenizer_pattern())
+    plain = tiktoken.Encoding("plain", pat_str=tokenizer_pattern(), mergeable_ranks=ranks, special_tokens={})
+    n = byte_bpe.LONG_RUN
+    runs = [" " * n, "\n" * (n + 1), " \n\t\u3000\xa0\x85" * n, "\t" * (n - 1) + " ", " " * (n - 1), "\x1c" * n, " " * n + "\x1f" + " " * n]
+    for run in runs:
+        for text in (run, "a" + run, run + "b", f"a{run}b{run}1{run}!", f"x{run}'s", f"a {run}"):
+            assert codec.encode(text) == plain.encode_ordinary(text)
+    for run in (" " * 3_000_000, "\n \t" * 1_000_000):
+        for text in (run, f"a{run}b"):
+            assert codec.decode(codec.encode(text)) == text.encode()
+
+
+def test_rans_refuses_more_ids_than_slots(spark, monkeypatch):
+    monkeypatch.setattr(rans, "PROB_BITS", 2)
+    tokens = spark.createDataFrame([(np.arange(5, dtype="<u2").tobytes(),)], "ids binary")
+    with pytest.raises(ValueError):
+        rans.frequencies(tokens, np.dtype("<u2"))

@@ -6,11 +6,15 @@ first cut at safe boundaries, places where the split pattern must end one match
 and begin another whatever stands around them: between a character that is no
 white space and a single space or line feed that is followed by a character
 that is no white space.  No match of the pattern spans such a place, so the
-pieces' ids, joined, are those of the whole text.  Decoding joins the raw bytes
+pieces' ids, joined, are those of the whole text.  A run of LONG_RUN white-space
+characters or more, for which the library's pattern matcher runs out of stack, is cut out as
+the match that the pattern makes of it: all but its last character, or all of it at the end of the text; the
+match is encoded as one piece.  Decoding joins the raw bytes
 of the ids; a character whose bytes lie in several ids comes back whole.
 
 A null text is encoded as an empty one; an empty text has no ids and decodes to
-no bytes; repeated rows are encoded alike; extra columns are ignored.
+no bytes; repeated rows are encoded alike; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +33,10 @@ from venturelens.llm.textkit import slices
 #: Characters from which a text is cut, and the least length of a piece.
 LONG_TEXT, PIECE = 1 << 16, 1 << 14
 _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: White-space characters in a row that are encoded without the pattern.
+LONG_RUN = 10_000
+# White space as the library's pattern takes it: the Unicode property, without the separators U+001C .. U+001F.
+_RUN = re.compile(r"[^\S\x1C-\x1F]{%d,}" % LONG_RUN)
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -60,6 +68,18 @@ class Codec:
         self._bytes = {i: b for b, i in ranks.items()}
 
     def encode(self, text: str) -> list[int]:
+        if len(text) < LONG_RUN:
+            return self._enc.encode_ordinary(text)
+        ids, at = [], 0
+        for run in _RUN.finditer(text):
+            # the run's last character goes with what follows
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += self._pieces(text[at:run.start()])
+            ids += self._enc._encode_single_piece(text[run.start():end].encode())
+            at = end
+        return ids + self._pieces(text[at:])
+
+    def _pieces(self, text: str) -> list[int]:
         if len(text) < LONG_TEXT:
             return self._enc.encode_ordinary(text)
         return [i for piece in safe_pieces(text) for i in self._enc.encode_ordinary(piece)]

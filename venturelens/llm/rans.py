@@ -30,9 +30,11 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,10 +48,21 @@ _HEAD = struct.Struct("<4sQIII")      # magic, ids, blocks, crc32 of the payload
 _TAIL = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])[!-&(-/:-@\[-`{-~]+\Z")
 
 
+def word_list(words: pa.Array) -> list[str]:
+    """The words as Python strings; none holds a space, so one joined string is split, which is much cheaper."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())), " ")[0].as_py().split(" ")
+
+
 class WordCoder:
-    """Ids of distinct words, kept from slice to slice of a Python worker."""
+    """Ids of distinct words, kept from slice to slice of a Python worker.
+
+    A word is a number; its ids are ``flat[start[number]:start[number] + size[number]]``.
+    """
 
-    MOST = 600_000
+    #: Words, or parts of words, beyond which all are forgotten.
+    MOST = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,7 +71,27 @@ class WordCoder:
         self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.parts: dict[str, int] = {"": 0}
+        self.flat, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.start = np.zeros(1 << 14, np.int64)
+        self.n_ids, self.n = 0, 1                        # number 0: nothing
+
+    def _store(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of new entries with these ids, one after the other."""
+        while self.n_ids + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(size) > len(self.size):
+            self.size, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.start))
+        at, numbers = self.n_ids, np.arange(self.n, self.n + len(size))
+        self.flat[at:at + len(flat)] = flat
+        self.size[numbers] = size
+        self.start[numbers] = at + np.cumsum(size) - size
+        self.n_ids, self.n = at + len(flat), self.n + len(size)
+        return numbers
 
     def _learn(self, stems: list[str]) -> None:
         plain = [s for s in stems if s.isascii()]
@@ -68,30 +101,39 @@ class WordCoder:
             size = np.fromiter(map(len, plain), np.int64, len(plain))
             starts = np.cumsum(size + 1) - size - 1
             first = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
-            cut = np.searchsorted(first, starts)
-            ids = np.array(got.ids, np.uint32)
-            self.known.update(zip(plain, np.split(ids, cut[1:])))
+            cut = np.append(np.searchsorted(first, starts), len(first))
+            self.parts.update(zip(plain, self._store(np.array(got.ids, np.uint32), np.diff(cut)).tolist()))
         other = [s for s in stems if not s.isascii()]
         if other:
-            self.known.update(zip(other, (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False))))
-
-    def ids(self, vocab: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        known, missing, parts = self.known, {}, []
-        for w in vocab:
-            m = _TAIL.search(w)
-            stem, tail = (w[:m.start()], m[0]) if m else (w, None)
-            if stem.isascii():
-                stem = stem.lower()
-            parts.append((stem, tail))
-            if stem not in known:
-                missing[stem] = None
-            if tail and tail not in known:
-                missing[tail] = None
-        if missing:
-            self._learn(list(missing))
-        return [known[s] if t is None else np.concatenate([known[s], known[t]]) for s, t in parts]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(size.sum()))
+            self.parts.update(zip(other, self._store(flat, size).tolist()))
+
+    def numbers(self, vocab: list[str]) -> np.ndarray:
+        """The number of every word; valid until the next call."""
+        if max(len(self.words), len(self.parts)) > self.MOST:
+            self._forget()
+        out = np.fromiter(map(self.words.get, vocab, repeat(-1)), np.int64, len(vocab))
+        unknown = np.flatnonzero(out < 0)
+        if len(unknown):
+            new, stems, tails = [vocab[i] for i in unknown.tolist()], [], []
+            for w in new:
+                m = None if w[-1].isalnum() else _TAIL.search(w)
+                stem, tail = (w[:m.start()], m[0]) if m else (w, "")
+                stems.append(stem.lower() if stem.isascii() else stem)
+                tails.append(tail)
+            self._learn([p for p in dict.fromkeys(chain(stems, tails)) if p not in self.parts])
+            stem, tail = (np.fromiter(map(self.parts.__getitem__, p), np.int64, len(p)) for p in (stems, tails))
+            whole = stem.copy()
+            ended = np.flatnonzero(tail)
+            if len(ended):
+                both = np.stack([stem[ended], tail[ended]], 1).ravel()
+                size = self.size[both]
+                whole[ended] = self._store(self.flat[ranges(self.start[both], size)], size.reshape(-1, 2).sum(1))
+            self.words.update(zip(new, whole.tolist()))
+            out[unknown] = whole
+        return out
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -114,12 +156,12 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
             for part in slices(batch, "text"):
                 flat, to = words(part.column("text"), lower=False)
                 coded = flat.dictionary_encode()
-                each = [*coder.ids(coded.dictionary.to_pylist()), np.array([end_id], np.uint32)]
-                size = np.fromiter(map(len, each), np.int64, len(each))
-                start = np.cumsum(size) - size
-                # the words of every document, then the end id
-                order = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), to[1:], len(each) - 1)
-                ids = np.concatenate(each)[ranges(start[order], size[order])].astype(kind)
+                number = coder.numbers(word_list(coded.dictionary))
+                start, size = np.append(coder.start[number], coder.n_ids), np.append(coder.size[number], 1)
+                # the words of every document, then the end id, which stands after all ids of the words
+                order = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), to[1:], len(number))
+                flat_ids = np.append(coder.flat[:coder.n_ids], np.uint32(end_id))
+                ids = flat_ids[ranges(start[order], size[order])].astype(kind)
                 ends = np.concatenate([[0], np.cumsum(size[order])])[to + np.arange(len(to))]
                 raw = ids.tobytes()
                 yield pa.RecordBatch.from_arrays(
@@ -152,6 +194,8 @@ def frequencies(tokens: DataFrame, kind: np.dtype) -> np.ndarray:
     count = np.zeros(int(rows.column("id").to_numpy().max()) + 1, np.float64)
     count[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
     slots = 1 << PROB_BITS
+    if rows.num_rows > slots:
+        raise ValueError(f"{rows.num_rows} distinct ids do not fit a table of {slots} slots")
     freq = np.where(count > 0, np.maximum(1, np.floor(count * (slots / count.sum()))), 0).astype(np.int64)
     while (over := int(freq.sum()) - slots) != 0:
         if over < 0:

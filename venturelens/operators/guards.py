@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from venturelens.schema import MIN_FUNDED_ROWS, YearBounds
+from venturelens.schema import CORRUPT_RECORD, MIN_FUNDED_ROWS, YearBounds
 
 
 class NotEnoughRows(ValueError):
@@ -45,12 +45,14 @@ def rejection_reason(bounds: YearBounds | None = None) -> Column:
 
 
 def validate_requests(requests: DataFrame, bounds: YearBounds | None = None) -> DataFrame:
-    """Every request with ``is_valid`` and ``reason`` columns."""
+    """Every request with ``is_valid`` and ``reason`` columns; a malformed line is rejected first."""
     r = rejection_reason(bounds)
+    if CORRUPT_RECORD in requests.columns:
+        r = F.when(F.col(CORRUPT_RECORD).isNotNull(), F.lit("malformed record")).otherwise(r)
     return requests.withColumn("reason", r).withColumn("is_valid", F.col("reason").isNull())
 
 
 def split_requests(requests: DataFrame, bounds: YearBounds | None = None):
     """(valid, rejected) frames."""
     v = validate_requests(requests, bounds)
-    return (v.where("is_valid").drop("is_valid", "reason"), v.where("NOT is_valid").drop("is_valid"))
+    return (v.where("is_valid").drop("is_valid", "reason", CORRUPT_RECORD), v.where("NOT is_valid").drop("is_valid"))

@@ -11,8 +11,10 @@
 
 from __future__ import annotations
 
+import math
 import os
 from dataclasses import dataclass
+from statistics import NormalDist
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
@@ -28,7 +30,7 @@ from venturelens.operators.quantiles import exact_quantiles
 from venturelens.operators.vectors import with_embedding
 from venturelens.schema import (
     BASELINE_CONFIDENCE, ENCODER_DIM, ENSEMBLE_MEMBERS, ERROR_CONFIDENCE, FEATURE_MISSING_TOKEN,
-    FEATURE_ORDER, MEMBER_SEED_BASE, MIN_FUNDED_ROWS, NO_MODEL_ERROR, SPLIT_SEED,
+    FEATURE_ORDER, INTERVAL_LEVEL, MEMBER_SEED_BASE, MIN_FUNDED_ROWS, NO_MODEL_ERROR, SPLIT_SEED,
     TARGET_TRANSFORM, TREES_PER_MEMBER, VALIDATION_PERCENT, Z_95,
 )
 
@@ -280,6 +282,34 @@ def prediction_interval(mean: Column | str, std: Column | str, transform: str |
             inverse_target(m + z * s, transform))
 
 
+def interval_scores(df: DataFrame, y: str, mean: str, std: str) -> DataFrame:
+    """``df`` with ``_score``: how many standard deviations the truth lies from the mean (a zero one counts as 1e-9)."""
+    return df.withColumn("_score", F.abs(F.col(y) - F.col(mean)) / F.greatest(F.col(std), F.lit(1e-9)))
+
+
+def conformal_share(n: int, level: float) -> float:
+    """Share of the sorted scores of n calibration rows below the conformal bound: ceil((n + 1) level) / n, at most 1."""
+    return min(1.0, math.ceil((n + 1) * level) / n)
+
+
+def calibration_table(df: DataFrame, y: str = "y", mean: str = "mean_pred", std: str = "std_pred",
+                      levels: tuple[float, ...] = (0.5, 0.8, 0.9, 0.95, 0.99)) -> DataFrame:
+    """A10 by nominal level: coverage of mean +/- z std, and the z that covers the level on exchangeable rows.
+
+    level, z (normal), n, coverage, z_calibrated (conformal: an exact quantile of the scores).  No rows: an empty table.
+    """
+    scored = interval_scores(df.where(F.col(y).isNotNull() & F.col(mean).isNotNull() & F.col(std).isNotNull()), y, mean, std)
+    z = [NormalDist().inv_cdf((1 + level) / 2) for level in levels]
+    r = scored.agg(F.count(F.lit(1)).alias("n"), *(F.avg((F.col("_score") <= F.lit(b)).cast("double")).alias(f"c{i}")
+                                                   for i, b in enumerate(z))).first()
+    fields = "level double, z double, n bigint, coverage double, z_calibrated double"
+    if not r["n"]:
+        return df.sparkSession.createDataFrame([], fields)
+    q = exact_quantiles(scored.select("_score"), "_score", [conformal_share(r["n"], level) for level in levels]).first()
+    return df.sparkSession.createDataFrame(
+        [(level, z[i], r["n"], r[f"c{i}"], q[f"q_{i}"]) for i, level in enumerate(levels)], fields)
+
+
 # ---------------------------------------------------------------------------
 # M7 training, S6/S7 persistence, M8/M9 prediction
 # ---------------------------------------------------------------------------
@@ -387,15 +417,21 @@ def train_funding_model(catalog: DataFrame, model_dir: str, params: TrainParams
     feats = FundingFeatures(encoder=encoder).fit(train)
     train_x = feats.transform(train).select("id", "features", "label").persist()
     ens = ForestEnsemble(params.n_members, params.num_trees, params.max_depth).fit(train_x)
-    valid_p = ens.predict_with_uncertainty(feats.transform(valid).select("id", "features", "label"))
+    valid_p = ens.predict_with_uncertainty(feats.transform(valid).select("id", "features", "label")).select(
+        "label", "mean_log", "std_log").persist()
     metrics = valid_p.agg(
         F.count(F.lit(1)).cast("bigint").alias("n_validation"),
         F.sqrt(F.avg(F.pow(F.col("label") - F.col("mean_log"), 2))).alias("rmse_log"))
     n_train = train_x.count()
-    save_model(model_dir, feats, ens, _meta_frame(spark, params, n_train, encoder, feats.dim))
+    level = calibration_table(valid_p, "label", "mean_log", "std_log", (INTERVAL_LEVEL,)).first()
+    meta = _meta_frame(spark, params, n_train, encoder, feats.dim).withColumn(
+        "z_calibrated", F.lit(level["z_calibrated"] if level else None).cast("double"))
+    save_model(model_dir, feats, ens, meta)
+    result = metrics.select(F.lit(n_train).cast("bigint").alias("n_train"), "n_validation",
+                            F.round("rmse_log", 6).alias("rmse_log")).first()
     train_x.unpersist()
-    return metrics.select(F.lit(n_train).cast("bigint").alias("n_train"), "n_validation",
-                          F.round("rmse_log", 6).alias("rmse_log"))
+    valid_p.unpersist()
+    return spark.createDataFrame([tuple(result)], "n_train bigint, n_validation bigint, rmse_log double")
 
 
 def train_legacy_model(catalog: DataFrame, model_dir: str, num_trees: int = 20, max_depth: int = 8,
@@ -415,7 +451,7 @@ def train_legacy_model(catalog: DataFrame, model_dir: str, num_trees: int = 20,
 PREDICTION_COLUMNS = ("predicted_amount", "confidence", "error", "lower", "upper")
 
 
-def _pipeline_predictions(inputs: DataFrame, loaded: LoadedModel, encoder) -> DataFrame:
+def _pipeline_predictions(inputs: DataFrame, loaded: LoadedModel, encoder, calibrated: bool = False) -> DataFrame:
     transform = loaded.meta.get("target_transform")
     feats = loaded.features
     feats.encoder, feats.dim = encoder, int(loaded.meta.get("dim") or ENCODER_DIM)
@@ -426,17 +462,19 @@ def _pipeline_predictions(inputs: DataFrame, loaded: LoadedModel, encoder) -> Da
         amount, lower, upper = inverse_target("_pred", transform), F.lit(None).cast("double"), F.lit(None).cast("double")
     else:
         scored = loaded.ensemble.predict_with_uncertainty(x)
-        amount, lower, upper = prediction_interval("mean_log", "std_log", transform)
+        z = loaded.meta.get("z_calibrated") if calibrated else None
+        amount, lower, upper = prediction_interval("mean_log", "std_log", transform, Z_95 if z is None else float(z))
     return scored.select("idea_id", amount.alias("predicted_amount"), F.lit(BASELINE_CONFIDENCE).alias("confidence"),
                          F.lit(None).cast("string").alias("error"), lower.alias("lower"), upper.alias("upper"))
 
 
 def predict_funding(ideas: DataFrame, model_dir: str, industry_col: str | None = None,
-                    encoder=None) -> DataFrame:
+                    encoder=None, calibrated: bool = False) -> DataFrame:
     """M8 (with the M9 fallback): amount, confidence, error, lower, upper per idea.
 
     ``ideas``: (idea_id, user_idea, user_city, founding_year[, industry]).
-    The model is loaded once per job; a failure reason is kept in ``error``.
+    The model is loaded once per job; a failure reason is kept in ``error``.  With ``calibrated`` the interval
+    is the one that covered 95 % of the validation rows (conformal, kept in the metadata).
     """
     spark = ideas.sparkSession
     loaded = load_model(spark, model_dir)
@@ -446,7 +484,7 @@ def predict_funding(ideas: DataFrame, model_dir: str, industry_col: str | None =
                                                f"not {encoder_id(encoder)}")
     if loaded.kind == "pipeline":
         try:
-            return _pipeline_predictions(inputs, loaded, encoder)
+            return _pipeline_predictions(inputs, loaded, encoder, calibrated)
         except Exception as exc:  # noqa: BLE001 - the reason is kept, not swallowed
             loaded = _load_legacy(spark, model_dir, f"pipeline unusable: {exc}")
     if loaded.kind == "legacy":

@@ -50,24 +50,61 @@ def default_verdict_json(idea: Column, match: Column, threshold: float) -> Colum
                               reasoning.alias("reasoning")))
 
 
+def isolated(scorer: Callable[[pd.Series], list], prompts: pd.Series, retries: int) -> list[tuple[str | None, str | None]]:
+    """(answer, reason) per prompt.  A batch that fails is halved until the failing prompt stands alone.
+
+    A lone prompt is asked ``retries`` times more; then it has no answer, and the last failure is its reason.
+    A batch fails if the scorer raises or does not return one text or None per prompt.
+    """
+    def ask(part: pd.Series) -> list[tuple[str | None, str | None]]:
+        answers = list(scorer(part))
+        if len(answers) != len(part):
+            raise ValueError(f"{len(answers)} answers for {len(part)} prompts")
+        if bad := [a for a in answers if not (a is None or isinstance(a, str))]:
+            raise TypeError(f"answer of type {type(bad[0]).__name__}")
+        return [(a, None) for a in answers]
+
+    out: list[tuple[str | None, str | None]] = []
+    waiting = [prompts] if len(prompts) else []
+    while waiting:
+        part = waiting.pop()
+        for attempt in range(1 if len(part) > 1 else 1 + retries):
+            try:
+                out += ask(part)
+                break
+            except Exception as exc:  # noqa: BLE001 - the reason is kept per row
+                reason = f"{type(exc).__name__}: {exc}"
+        else:
+            if len(part) == 1:
+                out.append((None, reason))
+            else:
+                half = len(part) // 2
+                waiting += [part.iloc[half:], part.iloc[:half]]
+    return out
+
+
 def score_pairs(pairs: DataFrame, scorer: Callable[[pd.Series], list] | None = None,
                 threshold: float = DEFAULT_COPY_THRESHOLD, idea_col: str = "user_idea",
-                match_col: str = "description", company_col: str = "company") -> DataFrame:
+                match_col: str = "description", company_col: str = "company", retries: int = 1) -> DataFrame:
     """L2: add ``raw`` verdict text per pair, then parse it (L3) and default it (L4).
 
-    ``scorer(prompts) -> list[str | None]`` is called once per Arrow batch.
+    ``scorer(prompts) -> list[str | None]`` is called once per Arrow batch; where that fails, the failing
+    prompts are found by halving, retried ``retries`` times and defaulted, with the reason in ``scorer_error``.
     """
     if scorer is None:
-        raw = pairs.withColumn("raw", default_verdict_json(F.col(idea_col), F.col(match_col), threshold))
+        raw = (pairs.withColumn("raw", default_verdict_json(F.col(idea_col), F.col(match_col), threshold))
+               .withColumn("scorer_error", F.lit(None).cast("string")))
     else:
         prompted = build_prompts(pairs, idea_col, match_col, company_col)
-        schema = T.StructType(prompted.schema.fields + [T.StructField("raw", T.StringType())])
+        schema = T.StructType(prompted.schema.fields + [T.StructField("raw", T.StringType()),
+                                                           T.StructField("scorer_error", T.StringType())])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                out = list(scorer(b["prompt"]))
+                out = isolated(scorer, b["prompt"], retries)
                 b = b.copy()
-                b["raw"] = pd.Series(out, index=b.index, dtype=object)
+                b["raw"] = pd.Series([a for a, _ in out], index=b.index, dtype=object)
+                b["scorer_error"] = pd.Series([r for _, r in out], index=b.index, dtype=object)
                 yield b
 
         raw = prompted.mapInPandas(run, schema).drop("prompt")

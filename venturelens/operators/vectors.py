@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from venturelens.functions.text import hash_bucket, raw_tokens, token_hash
-from venturelens.session import written
+from venturelens.session import discard, written
 from venturelens.schema import DEFAULT_K, ENCODER_DIM, TOKEN_SPLIT_PATTERN
 
 # ---------------------------------------------------------------------------
@@ -291,7 +291,9 @@ def top_k_similar(ideas: DataFrame, catalog: DataFrame, k: int = DEFAULT_K,
     q = written(q, "ideas")
     size = q.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("embedding")).alias("floats")).first()
     if (size["floats"] or 0) * 8 + size["n"] * 8 <= broadcast_budget_bytes:
-        return _final_topk(_broadcast_scan(spark, q.toPandas(), cat, k, exclude_self), k)
+        local = q.toPandas()
+        discard(q)
+        return _final_topk(_broadcast_scan(spark, local, cat, k, exclude_self), k)
     cands = _block_grid(q, cat, k, exclude_self, idea_block_rows, catalog_block_rows,
                         min_catalog_blocks)
     return _final_topk(cands, k)

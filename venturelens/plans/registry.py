@@ -29,4 +29,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from venturelens.plans import queries, search_queries  # noqa: F401
+    from venturelens.plans import quality_queries, queries, search_queries  # noqa: F401

@@ -38,6 +38,8 @@ COPY_LABEL = "High 'Copycat' Risk"
 UNIQUE_LABEL = "Looks Unique!"
 # Funding prediction.
 Z_95 = 1.96
+#: Nominal level of the prediction interval.
+INTERVAL_LEVEL = 0.95
 BASELINE_CONFIDENCE = 0.6
 ERROR_CONFIDENCE = 0.0
 TARGET_TRANSFORM = "log1p"
@@ -91,6 +93,9 @@ CATALOG_HEADERS = {
 # Headers that a catalog file may lack; ``id`` may be absent as well.
 OPTIONAL_HEADERS = ("Starting Year", "Founders", "Founders Count", "No. of Employees")
 
+#: Column that holds the text of a malformed request line.
+CORRUPT_RECORD = "_corrupt_record"
+
 REQUEST_SCHEMA = T.StructType([
     T.StructField("idea_id", T.LongType()),
     T.StructField("user_idea", T.StringType()),

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from venturelens.functions import cleaning as C
 from venturelens.schema import (
-    CATALOG_HEADERS, OPTIONAL_HEADERS, RAW_CATALOG_SCHEMA, REQUEST_SCHEMA, SERVING_DEFAULTS, CatalogDefaults,
+    CATALOG_HEADERS, CORRUPT_RECORD, OPTIONAL_HEADERS, RAW_CATALOG_SCHEMA, REQUEST_SCHEMA, SERVING_DEFAULTS, CatalogDefaults,
 )
 
 
@@ -149,6 +149,16 @@ def scan_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REQUEST_SCHEMA).json(path)
 
 
+def checked_schema() -> T.StructType:
+    """The request schema and a column for the text of lines that are no such record."""
+    return T.StructType([*REQUEST_SCHEMA.fields, T.StructField(CORRUPT_RECORD, T.StringType())])
+
+
+def scan_checked_requests(spark: SparkSession, path: str) -> DataFrame:
+    """S4 with malformed lines kept: their text is in ``_corrupt_record``, and C15 rejects them with a reason."""
+    return spark.read.schema(checked_schema()).option("columnNameOfCorruptRecord", CORRUPT_RECORD).json(path)
+
+
 def write_results(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Write one nested record per request (idempotent overwrite)."""
     df.write.mode("overwrite").format(fmt).save(path)

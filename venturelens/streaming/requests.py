@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from venturelens.operators.guards import split_requests
 from venturelens.plans.evaluate import catalog_vectors, evaluate_ideas
-from venturelens.schema import DEFAULT_K, REQUEST_SCHEMA, YearBounds
+from venturelens.schema import CORRUPT_RECORD, DEFAULT_K, YearBounds
+from venturelens.sources.catalog import checked_schema
 
 
 def materialize_vectors(catalog: DataFrame, path: str, encoder=None) -> DataFrame:
@@ -28,14 +29,26 @@ def materialize_vectors(catalog: DataFrame, path: str, encoder=None) -> DataFram
     return catalog.sparkSession.read.parquet(path)
 
 
+def request_key() -> Column:
+    """What makes two requests the same one."""
+    content = F.sha2(F.to_json(F.struct("user_idea", "user_city", "founding_year", CORRUPT_RECORD)), 256)
+    return F.coalesce(F.concat(F.lit("id "), F.col("idea_id").cast("string")), F.concat(F.lit("text "), content))
+
+
 def evaluate_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                     catalog: DataFrame, k: int = DEFAULT_K, bounds: YearBounds | None = None,
                     available_now: bool = True, processing_time: str | None = None,
                     cat_vectors: DataFrame | None = None, encoder=None) -> StreamingQuery:
-    """Start the stream; results go to ``out_dir/evaluated``, rejects to ``out_dir/rejected``."""
+    """Start the stream; results go to ``out_dir/evaluated``, rejects to ``out_dir/rejected``.
+
+    A request is known by its ``idea_id`` (without one, by its content; a malformed line by its text):
+    one that has been taken up before, in any file or before a restart, is not evaluated again.
+    The state is one key per request and does not expire; it lives with the checkpoint.
+    """
     if cat_vectors is None:
         cat_vectors = materialize_vectors(catalog, os.path.join(out_dir, "_catalog_vectors"), encoder)
-    requests = spark.readStream.schema(REQUEST_SCHEMA).json(in_dir)
+    requests = (spark.readStream.schema(checked_schema()).option("columnNameOfCorruptRecord", CORRUPT_RECORD).json(in_dir)
+                .withColumn("_key", request_key()).dropDuplicates(["_key"]).drop("_key"))
 
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
         _, rejected = split_requests(batch, bounds)

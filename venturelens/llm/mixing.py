@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from venturelens.llm.textkit import free_name
 from venturelens.session import written
 
 LEVEL_BITS, LEVELS = 10, 6
@@ -124,11 +125,12 @@ def mix(docs: DataFrame, max_repeat: float = 3.0) -> DataFrame:
 
 def mixed(docs: DataFrame, max_repeat: float = 3.0) -> DataFrame:
     """The rows of the mix: ``docs`` filtered, and repeated as often as the mix holds them."""
-    take = plan(docs, max_repeat).select(F.struct("s", "whole", "threshold").alias("_mix_plan"))
-    joined = docs.join(take, docs["source"].eqNullSafe(take["_mix_plan.s"]))
+    p, copy = free_name("_mix_plan", docs.columns), free_name("_mix_copy", docs.columns)
+    take = plan(docs, max_repeat).select(F.struct("s", "whole", "threshold").alias(p))
+    joined = docs.join(take, docs["source"].eqNullSafe(take[p]["s"]))
     h = doc_hash(docs["doc_id"])
-    copies = F.least(F.col("_mix_plan.whole") + F.when(h < F.col("_mix_plan.threshold"), 1).otherwise(0), F.lit(int(max_repeat)).cast("long"))
-    return (joined.withColumn("_mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies))))
+    copies = F.least(take[p]["whole"] + F.when(h < take[p]["threshold"], 1).otherwise(0), F.lit(int(max_repeat)).cast("long"))
+    return (joined.withColumn(copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies))))
             .select(*(docs[c] for c in docs.columns)))
 
 

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from venturelens.llm.textkit import bounded_sample, compact, raw_bytes, slices
+from venturelens.session import written
 
 ORDER = 3
 NODES, NODES_PER_LANG = 30_000, 7_500
@@ -159,7 +160,9 @@ def code_lengths(texts: pa.Array, trees: ContextTrees) -> np.ndarray:
 
 def fit(rows: DataFrame, per_lang: int = 300) -> ContextTrees | None:
     """Learns from (doc_id, text, lang) rows with a language; at most ``per_lang`` whole texts of each."""
-    ids = bounded_sample(rows.where("doc_id IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang").distinct(), "lang", per_lang)
+    # written: Spark then knows how few they are, and joins them to the texts without a shuffle
+    ids = written(bounded_sample(rows.where("doc_id IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang").distinct(), "lang", per_lang)
+                  .select("doc_id", "lang"), "sample")
     # one text of an id that stands in several rows
     got = (rows.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"], "left_semi")
            .groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toArrow().to_pydict())

@@ -30,6 +30,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from venturelens.llm.textkit import free_name
 from venturelens.session import scratch_path, written
 
 #: Tasks over which the rows of one digest are spread while their bytes are compared.
@@ -55,8 +56,8 @@ def sha256(text: Column) -> Column:
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` with the locator of each row; frames that are no file scan are written first."""
     def add(df):
-        return df.select("doc_id", "text", F.col("_metadata.file_path").alias("file"),
-                         F.col("_metadata.row_index").alias("row"))
+        place = df.metadataColumn("_metadata")         # the scan's own, also where a column has its name
+        return df.select("doc_id", "text", place["file_path"].alias("file"), place["row_index"].alias("row"))
     try:
         return add(docs)
     except AnalysisException:
@@ -112,11 +113,12 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
     # tasks, each of which folds its copies before (digest, bytes) are gathered.
     seen = (state.where("group_size > 1").select("digest")
             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    hits = (docs.withColumn("bytes", normalised().cast("binary"))
+    # of the texts only the normalised bytes are shuffled
+    hits = (docs.select("doc_id", "file", "row", normalised().cast("binary").alias("bytes"),
+                        F.char_length(F.coalesce("text", F.lit(""))).alias("n_points"))
             .withColumn("digest", digest(F.col("bytes").cast("string")))
             .withColumn("salt", F.pmod(F.xxhash64("file", "row"), F.lit(SALTS)).cast("int"))
-            .join(seen, ["digest", "salt"], "left_semi")
-            .withColumn("n_points", F.char_length(F.coalesce("text", F.lit("")))))
+            .join(seen, ["digest", "salt"], "left_semi"))
     classes = hits.groupBy("digest", "bytes").agg(F.max(_best()).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     proven = written(classes.groupBy("digest").agg(
         F.count(F.lit(1)).alias("classes"), F.max("keep").alias("keep"), F.sum("group_size").alias("group_size")),
@@ -138,14 +140,19 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that are dropped as copies; all columns stay."""
     names = docs.columns
-    place = {"_dedup_file": F.col("_metadata.file_path"), "_dedup_row": F.col("_metadata.row_index")}
+    file, row = free_name("_dedup_file", names), free_name("_dedup_row", names)
+
+    def placed(df: DataFrame) -> DataFrame:
+        place = df.metadataColumn("_metadata")
+        return df.select("*", place["file_path"].alias(file), place["row_index"].alias(row))
+
     try:
-        placed = docs.select("*", *(c.alias(n) for n, c in place.items()))
+        rows = placed(docs)
     except AnalysisException:
         docs = written(docs, "dedup-input")
-        placed = docs.select("*", *(c.alias(n) for n, c in place.items()))
-    gone = dedup(docs).where(~F.col("kept")).select(F.col("file").alias("_dedup_file"), F.col("row").alias("_dedup_row"))
-    return placed.join(gone, list(place), "left_anti").select(*names)
+        rows = placed(docs)
+    gone = dedup(docs).where(~F.col("kept")).select(F.col("file").alias(file), F.col("row").alias(row))
+    return rows.join(gone, [file, row], "left_anti").select(*names)
 
 
 ORACLE = """

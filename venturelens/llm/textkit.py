@@ -60,6 +60,14 @@ def bounded_sample(rows: DataFrame, stratum: str | None, per_stratum: int, key:
     return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_stratum).drop("_n", "_h", "_r")
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores as no column has it (column names do not differ by case alone)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows holding at most ``max_bytes`` of ``column`` (one row at least)."""
     size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))])

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from venturelens.llm.textkit import bounded_sample, compact, mix64, ranges, raw_bytes, slices, words
+from venturelens.session import written
 
 WINDOW, STEP, HIDDEN, DIM, BUCKETS, ATTEND = 32, 16, 8, 8, 1 << 17, 8
 LANES = 4096
@@ -335,12 +336,14 @@ def train(texts: pa.Array, y: np.ndarray, frequency: tuple[float, float] = (0.5,
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> GruNet | None:
     """Learns from (doc_id, label) rows and the texts of ``docs``; at most ``per_label`` documents of each label."""
-    labels = labels.where("label IS NOT NULL").select("doc_id", F.col("label").cast("int")).dropDuplicates(["doc_id"])
+    # one label and one text of an id that stands in several rows: the greatest label, the least text
+    labels = (labels.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label")))
     counts = {r.label: r["count"] for r in labels.groupBy("label").count().collect()}
     if set(counts) != {0, 1}:
         return None
-    ids = bounded_sample(labels, "label", per_label)
-    got = (docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"])
+    # written: Spark then knows how few they are, and joins them to the texts without a shuffle
+    ids = written(bounded_sample(labels, "label", per_label).select("doc_id", "label"), "sample")
+    got = (docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
            .orderBy("doc_id").select("text", "label").toArrow().combine_chunks())
     y = got.column("label").to_numpy().astype(float)
     if not {0.0, 1.0} <= set(y):

@@ -481,3 +481,14 @@ def test_rans_refuses_more_ids_than_slots(spark, monkeypatch):
     tokens = spark.createDataFrame([(np.arange(5, dtype="<u2").tobytes(),)], "ids binary")
     with pytest.raises(ValueError):
         rans.frequencies(tokens, np.dtype("<u2"))
+
+
+def test_wide_sketches_bound_the_symmetric_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        base = rng.integers(0, 1 << 63, rng.integers(0, 900), dtype=np.int64).astype(np.uint64)
+        x = base[rng.random(len(base)) < rng.choice([0.5, 0.9, 1.0])]
+        y = np.concatenate([base[rng.random(len(base)) < 0.9], rng.integers(0, 1 << 63, rng.integers(0, 300), dtype=np.int64).astype(np.uint64)])
+        apart = len(set(x.tolist()) ^ set(y.tolist()))
+        d = parity_join.wide_distance(parity_join.wide_sketch(x), parity_join.wide_sketch(y))
+        assert d <= apart and d >= 0.5 * min(apart, max(len(x), len(y)))

@@ -21,7 +21,8 @@ keys for both.
 
 *Links.*  Equal sets are one class, represented by its smallest doc_id.  In a
 first round every member of a key's bucket meets the bucket's smallest member
-(as many candidates as members).  The verified links make components.  Then
+by sketch, and each set's nearest of those is verified
+(at most as many candidates as sets).  The verified links make components.  Then
 a bucket whose members still lie in several components has its
 members of different components compared by sketch, in blocks of bounded
 size: first a least spanning forest of the pairs that pass is verified, which joins
@@ -230,33 +231,66 @@ def _met(keyed: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs (a, b) of representatives whose sizes and sketches allow a link, of pairs (a, b) of codes."""
+    """Of pairs (a, b) of codes, each representative's nearest partner by sketch whose size and sketch allow a link: (a, b)."""
     folds = [c for c in classes.columns if c.startswith("f")]
     side = {s: classes.select(F.col("code").alias(s), F.col("rep").alias(f"{s}_rep"), F.col("n_shingles").alias(f"{s}_n"),
                               *(F.col(c).alias(f"{s}_{c}") for c in folds)) for s in "ab"}
     apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in folds[1:]),
                 F.bit_count(F.col(f"a_{folds[0]}").bitwiseXOR(F.col(f"b_{folds[0]}"))))
     total = F.col("a_n") + F.col("b_n")
-    return (split_join(pairs.join(side["a"], "a"), side["b"], "b", "a")
+    near = (split_join(pairs.join(side["a"], "a"), side["b"], "b", "a")
             .where((100 * F.least("a_n", "b_n") >= sim.percent * F.greatest("a_n", "b_n"))
-                   & ((100 + sim.percent) * apart <= (100 - sim.percent) * total) & (F.col("a_rep") != F.col("b_rep")))
-            .select(F.greatest("a_rep", "b_rep").alias("a"), F.least("a_rep", "b_rep").alias("b")).distinct())
+                   & ((100 + sim.percent) * apart <= (100 - sim.percent) * total) & (F.col("a_rep") != F.col("b_rep"))))
+    return (near.groupBy(F.col("a_rep").alias("a")).agg(F.min(F.struct((apart / total).alias("d"), F.col("b_rep").alias("b"))).alias("r"))
+            .select("a", F.col("r.b").alias("b")))
+
+
+def wide_sketch(hashes: np.ndarray) -> bytes:
+    """Parity sketch of at least four bits per shingle, its length a power of two."""
+    bits = max(512, 1 << (4 * len(hashes) - 1).bit_length()) if len(hashes) else 512
+    odd = np.bincount(((hashes >> np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def wide_distance(x: bytes, y: bytes) -> int:
+    """Hamming distance of two sketches, the longer folded to the length of the shorter; at most the symmetric difference."""
+    x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs (a, b) that are linked, by the whole sets; written."""
+    """The pairs (a, b) that are linked; written.
+
+    A parity sketch that grows with the set (a sixteenth of its bytes) rejects pairs first; the whole sets decide on the rest.
+    """
     wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "join-wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 h, to = shingle_sets(part.column("text"), sim.n)
+                sets = [h[x:y] for x, y in zip(to[:-1], to[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([h[x:y].tobytes() for x, y in zip(to[:-1], to[1:])], pa.large_binary())],
-                    names=["node", "hashes"])
+                    [part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.large_binary()),
+                     pa.array([wide_sketch(s) for s in sets], pa.binary())], names=["node", "hashes", "wide"])
 
     whole = written(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
-                    .mapInArrow(sets, "node bigint, hashes binary"), "join-sets")
+                    .mapInArrow(sets, "node bigint, hashes binary, wide binary"), "join-sets")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y, p, q in zip(*(batch.column(c).to_pylist() for c in ("a_wide", "b_wide", "a_size", "b_size"))):
+                good.append((100 + sim.percent) * wide_distance(x, y) <= (100 - sim.percent) * (p + q))
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    wide = {s: whole.select(F.col("node").alias(s), F.col("wide").alias(f"{s}_wide"), (F.octet_length("hashes") / 8).cast("long").alias(f"{s}_size"))
+            for s in "ab"}
+    pairs = written(split_join(pairs.join(wide["a"], "a"), wide["b"].join(pairs.select("b").distinct(), "b", "left_semi"), "b", "a")
+                    .mapInArrow(near, "a bigint, b bigint").distinct(), "join-near")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,8 +304,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     side = {s: whole.select(F.col("node").alias(s), F.col("hashes").alias(f"{s}_set")) for s in "ab"}
-    linked = written(split_join(pairs.join(side["a"], "a"), side["b"], "b", "a").mapInArrow(meet, "a bigint, b bigint"), "join-links")
-    discard(wanted, whole)
+    partners = side["b"].join(pairs.select("b").distinct(), "b", "left_semi")
+    linked = written(split_join(pairs.join(side["a"], "a"), partners, "b", "a").mapInArrow(meet, "a bigint, b bigint"), "join-links")
+    discard(wanted, whole, pairs)
     return linked
 
 

@@ -21,8 +21,8 @@ keys for both.
 
 *Links.*  Equal sets are one class, represented by its smallest doc_id.  In a
 first round every member of a key's bucket meets the bucket's smallest member
-by sketch, and each set's nearest of those is verified
-(at most as many candidates as sets).  The verified links make components.  Then
+(as many candidates as members; with ``sparing`` each set's nearest alone).
+The verified links make components.  Then
 a bucket whose members still lie in several components has its
 members of different components compared by sketch, in blocks of bounded
 size: first a least spanning forest of the pairs that pass is verified, which joins
@@ -230,8 +230,11 @@ def _met(keyed: DataFrame) -> DataFrame:
             .sortWithinPartitions("key", "node").mapInArrow(run, "key bigint, node bigint, hub bigint"))
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
-    """Of pairs (a, b) of codes, each representative's nearest partner by sketch whose size and sketch allow a link: (a, b)."""
+def _alike(pairs: DataFrame, classes: DataFrame, sim: Similarity, sparing: bool) -> DataFrame:
+    """The pairs (a, b) of representatives whose sizes and sketches allow a link, of pairs (a, b) of codes.
+
+    With ``sparing`` each representative's nearest partner by sketch alone.
+    """
     folds = [c for c in classes.columns if c.startswith("f")]
     side = {s: classes.select(F.col("code").alias(s), F.col("rep").alias(f"{s}_rep"), F.col("n_shingles").alias(f"{s}_n"),
                               *(F.col(c).alias(f"{s}_{c}") for c in folds)) for s in "ab"}
@@ -241,6 +244,8 @@ def _alike(pairs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
     near = (split_join(pairs.join(side["a"], "a"), side["b"], "b", "a")
             .where((100 * F.least("a_n", "b_n") >= sim.percent * F.greatest("a_n", "b_n"))
                    & ((100 + sim.percent) * apart <= (100 - sim.percent) * total) & (F.col("a_rep") != F.col("b_rep"))))
+    if not sparing:
+        return near.select(F.greatest("a_rep", "b_rep").alias("a"), F.least("a_rep", "b_rep").alias("b")).distinct()
     return (near.groupBy(F.col("a_rep").alias("a")).agg(F.min(F.struct((apart / total).alias("d"), F.col("b_rep").alias("b"))).alias("r"))
             .select("a", F.col("r.b").alias("b")))
 
@@ -260,10 +265,10 @@ def wide_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sim: Similarity, sparing: bool) -> DataFrame:
     """The pairs (a, b) that are linked; written.
 
-    A parity sketch that grows with the set (a sixteenth of its bytes) rejects pairs first; the whole sets decide on the rest.
+    With ``sparing`` a parity sketch that grows with the set (a sixteenth of its bytes) rejects pairs first.  The whole sets decide.
     """
     wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "join-wanted")
 
@@ -289,8 +294,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
 
     wide = {s: whole.select(F.col("node").alias(s), F.col("wide").alias(f"{s}_wide"), (F.octet_length("hashes") / 8).cast("long").alias(f"{s}_size"))
             for s in "ab"}
-    pairs = written(split_join(pairs.join(wide["a"], "a"), wide["b"].join(pairs.select("b").distinct(), "b", "left_semi"), "b", "a")
-                    .mapInArrow(near, "a bigint, b bigint").distinct(), "join-near")
+    if sparing:
+        pairs = written(split_join(pairs.join(wide["a"], "a"), wide["b"].join(pairs.select("b").distinct(), "b", "left_semi"), "b", "a")
+                        .mapInArrow(near, "a bigint, b bigint").distinct(), "join-near")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,9 +310,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     side = {s: whole.select(F.col("node").alias(s), F.col("hashes").alias(f"{s}_set")) for s in "ab"}
-    partners = side["b"].join(pairs.select("b").distinct(), "b", "left_semi")
+    partners = side["b"].join(pairs.select("b").distinct(), "b", "left_semi") if sparing else side["b"]
     linked = written(split_join(pairs.join(side["a"], "a"), partners, "b", "a").mapInArrow(meet, "a bigint, b bigint"), "join-links")
-    discard(wanted, whole, pairs)
+    discard(wanted, whole, *([pairs] if sparing else []))
     return linked
 
 
@@ -404,8 +410,12 @@ def _blocks(members: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFram
             .withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other", "chunks"))
 
 
-def join(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
+def join(docs: DataFrame, sim: Similarity = Similarity(), sparing: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row.
+
+    ``sparing`` shuffles fewer whole sets at the cost of more, smaller jobs; the result is the same.  It pays at low
+    similarities, where the fixed sketch lets pairs of long texts pass.
+    """
     every = written(sketches(docs, sim), "join-sketches")
     same = [c for c in every.columns if c == "n_shingles" or c.startswith("f")]
     classes = written(every.where("set_id IS NOT NULL").groupBy("set_id", "code").agg(
@@ -414,8 +424,8 @@ def join(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     # different sets of one code (a chance of 2**-64 for two sets) meet as well
     twins = classes.groupBy("code").count().where("count > 1").select(F.col("code").alias("a"), F.col("code").alias("b"))
     meetings = met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct().unionByName(twins)
-    first = written(_alike(meetings, classes, sim), "join-pairs")
-    links = _verified(first, docs, sim)
+    first = written(_alike(meetings, classes, sim, sparing), "join-pairs")
+    links = _verified(first, docs, sim, sparing)
     comp = written(components(links), "join-components")
 
     members = met.select("key", "node").union(met.select("key", F.col("hub").alias("node"))).distinct()
@@ -427,7 +437,7 @@ def join(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
         if second.isEmpty():
             discard(second)
             break
-        more = _verified(second, docs, sim)
+        more = _verified(second, docs, sim, sparing)
         before = comp, second, links, more
         links = written(links.unionByName(more), "join-links")
         comp = written(components(links), "join-components")
@@ -441,7 +451,7 @@ def join(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
 
 def keep_one(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     """``docs`` with the document of smallest doc_id of every component; rows without doc_id stay."""
-    gone = join(docs, sim).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = join(docs, sim, sparing=True).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -1 +1,3 @@
 """venturelens: idea and catalog analytics on Spark."""
+
+__version__ = "0.3.0"

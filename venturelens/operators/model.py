@@ -16,16 +16,20 @@ import os
 from dataclasses import dataclass
 from statistics import NormalDist
 
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasOutputCol, HasParallelism
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from venturelens import __version__
 from venturelens.functions.cleaning import inverse_target
 from venturelens.operators.guards import funded_only, min_rows_guard
 from venturelens.operators.joins import computed_once
+from venturelens.operators.ml_io import StoredStage
 from venturelens.operators.quantiles import exact_quantiles
 from venturelens.operators.vectors import with_embedding
 from venturelens.schema import (
@@ -86,46 +90,82 @@ def split_train_validation(df: DataFrame, id_col: str = "id", percent: int = VAL
 # ---------------------------------------------------------------------------
 
 
-class FundingFeaturesModel(Model):
+def encoder_id(encoder) -> str:
+    """Identity of a text encoder: its ``name``, else its place in the code; the built-in one by default."""
+    if encoder is None:
+        return ENCODER_NAME
+    return getattr(encoder, "name", None) or f"{encoder.__module__}.{encoder.__qualname__}"
+
+
+class _EncoderParams(HasOutputCol):
+    """Params of both feature stages.  The encoder itself is code: its name is stored, and it is handed over again."""
+
+    dim = Param(Params._dummy(), "dim", "length of the text vector", TypeConverters.toInt)
+    encoderName = Param(Params._dummy(), "encoderName", "identity of the text encoder", TypeConverters.toString)
+
+    def __init__(self):
+        super().__init__()
+        self.encoder = None
+        self._setDefault(dim=ENCODER_DIM, encoderName=ENCODER_NAME, outputCol="features")
+
+    def getDim(self) -> int:
+        return self.getOrDefault(self.dim)
+
+    def getEncoderName(self) -> str:
+        return self.getOrDefault(self.encoderName)
+
+
+class FundingFeaturesModel(_EncoderParams, Model, StoredStage):
     """M2: fitted feature builder (two count tables), a ``pyspark.ml`` model."""
 
-    def __init__(self, city_counts: DataFrame, industry_counts: DataFrame, dim: int = ENCODER_DIM, encoder=None,
-                 out_col: str = "features"):
+    def __init__(self, city_counts: DataFrame | None = None, industry_counts: DataFrame | None = None):
         super().__init__()
         self.city_counts, self.industry_counts = city_counts, industry_counts
-        self.dim, self.encoder, self.out_col = dim, encoder, out_col
+
+    def with_encoder(self, encoder) -> FundingFeaturesModel:
+        """This model with the encoder it was fitted with, which a stored one lacks; refuses another."""
+        if encoder_id(encoder) != self.getEncoderName():
+            raise ValueError(f"model was trained with encoder {self.getEncoderName()}, not {encoder_id(encoder)}")
+        out = self.copy()
+        out.encoder = encoder
+        return out
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        x = with_embedding(df, "description", "embedding", self.dim, self.encoder)
+        if encoder_id(self.encoder) != self.getEncoderName():
+            raise ValueError(f"hand over the encoder {self.getEncoderName()} by with_encoder()")
+        dim = self.getDim()
+        x = with_embedding(df, "description", "embedding", dim, self.encoder)
         x = frequency_encode(x, self.city_counts, "city", "city_count")
         x = frequency_encode(x, self.industry_counts, "industries", "industry_count")
-        zeros = F.array_repeat(F.lit(0.0).cast("float"), self.dim)
+        zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
         nums = [F.coalesce(F.col(c).cast("double"), F.lit(0.0))
                 for c in ("starting_year", "founders_count", "employees_count",
                           "city_count", "industry_count")]
         arr = F.concat(F.coalesce(F.col("embedding"), zeros).cast("array<double>"), F.array(*nums))
-        return x.withColumn(self.out_col, array_to_vector(arr))
+        return x.withColumn(self.getOutputCol(), array_to_vector(arr))
 
-    def save(self, path: str) -> None:
-        self.city_counts.write.mode("overwrite").parquet(os.path.join(path, "city_counts"))
-        self.industry_counts.write.mode("overwrite").parquet(os.path.join(path, "industry_counts"))
+    def _write_data(self, path: str) -> None:
+        self.city_counts.write.parquet(os.path.join(path, "city_counts"))
+        self.industry_counts.write.parquet(os.path.join(path, "industry_counts"))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> FundingFeaturesModel:
+    def _read_data(cls, spark: SparkSession, path: str, extra: dict) -> FundingFeaturesModel:
         return cls(spark.read.parquet(os.path.join(path, "city_counts")),
                    spark.read.parquet(os.path.join(path, "industry_counts")))
 
 
-class FundingFeatures(Estimator):
+class FundingFeatures(_EncoderParams, Estimator, StoredStage):
     """M1: learn city and industry counts on the training rows, a ``pyspark.ml`` estimator."""
 
     def __init__(self, dim: int = ENCODER_DIM, encoder=None):
         super().__init__()
-        self.dim, self.encoder = dim, encoder
+        self.encoder = encoder
+        self._set(dim=dim, encoderName=encoder_id(encoder))
 
     def _fit(self, train: DataFrame) -> FundingFeaturesModel:
-        return FundingFeaturesModel(frequency_table(train, "city"),
-                                    frequency_table(train, "industries"), self.dim, self.encoder)
+        model = FundingFeaturesModel(frequency_table(train, "city"), frequency_table(train, "industries"))
+        model.encoder = self.encoder
+        return self._copyValues(model)
 
 
 def build_model_inputs(ideas: DataFrame, industry_col: str | None = None) -> DataFrame:
@@ -156,15 +196,15 @@ def member_stats(cols: list[str]) -> tuple[Column, Column]:
     return mean, F.sqrt(var)
 
 
-class ForestEnsembleModel(Model):
+class ForestEnsembleModel(HasFeaturesCol, Model, StoredStage):
     """M5, M6: the fitted members; ``transform`` adds ``mean_log`` and ``std_log``."""
 
-    def __init__(self, members: list, features: str = "features"):
+    def __init__(self, members: list | None = None):
         super().__init__()
-        self.members, self.features = members, features
+        self.members = members or []
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return self.predict_with_uncertainty(df, self.features)
+        return self.predict_with_uncertainty(df, self.getFeaturesCol())
 
     def _member_columns(self, df: DataFrame, features: str) -> tuple[DataFrame, list[str]]:
         out, cols = df, []
@@ -192,35 +232,50 @@ class ForestEnsembleModel(Model):
         return out.select(F.col(id_col).alias("id"), F.explode(entries).alias("e")) \
             .select("id", "e.member", "e.pred")
 
-    def save(self, path: str) -> None:
+    def _extra(self) -> dict:
+        return {"members": len(self.members)}
+
+    def _write_data(self, path: str) -> None:
         for i, m in enumerate(self.members):
-            m.write().overwrite().save(os.path.join(path, f"member_{i}"))
+            m.write().save(os.path.join(path, f"member_{i}"))
 
     @classmethod
-    def load(cls, path: str, n_members: int) -> ForestEnsembleModel:
-        return cls([load_fitted(os.path.join(path, f"member_{i}")) for i in range(n_members)])
+    def _read_data(cls, spark: SparkSession, path: str, extra: dict) -> ForestEnsembleModel:
+        return cls([load_fitted(os.path.join(path, f"member_{i}")) for i in range(extra["members"])])
 
 
-def load_fitted(path: str) -> Model:
-    """A saved ``pyspark.ml`` model of whatever class its metadata names."""
+def load_fitted(path: str) -> Params:
+    """A stored ``pyspark.ml`` stage of whatever class its metadata names."""
     return DefaultParamsReader.loadParamsInstance(path, SparkSession.active())
 
 
-class ForestEnsemble(Estimator):
-    """M4: ``n_members`` copies of ``base`` with seeds ``seed_base + i``.
+class ForestEnsemble(HasFeaturesCol, HasLabelCol, HasParallelism, Estimator, StoredStage):
+    """M4: ``numMembers`` copies of ``base`` with seeds ``seedBase + i``.
 
     ``base`` is any ``pyspark.ml`` regressor; by default a random forest with
-    all features per split.
+    all features per split, made from the params when it is fitted.
     """
 
+    numMembers = Param(Params._dummy(), "numMembers", "members of the ensemble", TypeConverters.toInt)
+    numTrees = Param(Params._dummy(), "numTrees", "trees of the default base", TypeConverters.toInt)
+    maxDepth = Param(Params._dummy(), "maxDepth", "depth of the default base's trees", TypeConverters.toInt)
+    maxBins = Param(Params._dummy(), "maxBins", "bins of the default base", TypeConverters.toInt)
+    seedBase = Param(Params._dummy(), "seedBase", "seed of the first member", TypeConverters.toInt)
+
     def __init__(self, n_members: int = ENSEMBLE_MEMBERS, num_trees: int = TREES_PER_MEMBER, max_depth: int = 30,
                  max_bins: int = 32, seed_base: int = MEMBER_SEED_BASE, parallelism: int = ENSEMBLE_MEMBERS,
                  base: Estimator | None = None, features: str = "features", label: str = "label"):
         super().__init__()
-        self.n_members, self.seed_base, self.parallelism = n_members, seed_base, parallelism
-        self.features, self.label = features, label
-        self.base = base or RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins,
-                                                  featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True)
+        self.base = base
+        self._set(numMembers=n_members, numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins, seedBase=seed_base,
+                  parallelism=parallelism, featuresCol=features, labelCol=label)
+
+    def _member_estimator(self) -> Estimator:
+        if self.base is not None:
+            return self.base
+        return RandomForestRegressor(
+            numTrees=self.getOrDefault(self.numTrees), maxDepth=self.getOrDefault(self.maxDepth),
+            maxBins=self.getOrDefault(self.maxBins), featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True)
 
     def _fit(self, df: DataFrame) -> ForestEnsembleModel:
         """Fit the members, up to ``parallelism`` at a time.
@@ -234,19 +289,32 @@ class ForestEnsemble(Estimator):
 
         from pyspark.util import inheritable_thread_target
 
+        base, n = self._member_estimator(), self.getOrDefault(self.numMembers)
+
         def member(i: int) -> Model:
-            over = {self.base.featuresCol: self.features, self.base.labelCol: self.label}
-            if self.base.hasParam("seed"):
-                over[self.base.seed] = self.seed_base + i
-            return self.base.fit(df, over)
+            over = {base.featuresCol: self.getFeaturesCol(), base.labelCol: self.getLabelCol()}
+            if base.hasParam("seed"):
+                over[base.seed] = self.getOrDefault(self.seedBase) + i
+            return base.fit(df, over)
 
-        workers = max(1, min(self.parallelism, self.n_members))
+        workers = max(1, min(self.getParallelism(), n))
         if workers == 1:
-            return ForestEnsembleModel([member(i) for i in range(self.n_members)], self.features)
-        with ThreadPoolExecutor(max_workers=workers) as pool:
-            target = inheritable_thread_target(df.sparkSession)(member)
-            members = list(pool.map(target, range(self.n_members)))
-        return ForestEnsembleModel(members, self.features)
+            members = [member(i) for i in range(n)]
+        else:
+            with ThreadPoolExecutor(max_workers=workers) as pool:
+                members = list(pool.map(inheritable_thread_target(df.sparkSession)(member), range(n)))
+        return self._copyValues(ForestEnsembleModel(members))
+
+    def _extra(self) -> dict:
+        return {"base": self.base is not None}
+
+    def _write_data(self, path: str) -> None:
+        if self.base is not None:
+            self.base.write().save(os.path.join(path, "base"))
+
+    @classmethod
+    def _read_data(cls, spark: SparkSession, path: str, extra: dict) -> ForestEnsemble:
+        return cls(base=load_fitted(os.path.join(path, "base")) if extra["base"] else None)
 
 
 # ---------------------------------------------------------------------------
@@ -325,36 +393,30 @@ class TrainParams:
     seed: int = SPLIT_SEED
 
 
-def encoder_id(encoder) -> str:
-    """Identity of a text encoder: its ``name``, else its place in the code; the built-in one by default."""
-    if encoder is None:
-        return ENCODER_NAME
-    return getattr(encoder, "name", None) or f"{encoder.__module__}.{encoder.__qualname__}"
+def data_digest(df: DataFrame) -> Column:
+    """Aggregate that names the rows of ``df`` whatever their order: the sum of their 64-bit hashes, as text."""
+    return F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string")
 
 
 def _meta_frame(spark: SparkSession, params: TrainParams, n_train: int, encoder=None,
-                dim: int = ENCODER_DIM) -> DataFrame:
+                dim: int = ENCODER_DIM, digest: str | None = None) -> DataFrame:
     return spark.createDataFrame(
         [(TARGET_TRANSFORM, encoder_id(encoder), dim, list(FEATURE_ORDER), params.n_members, params.num_trees,
-          params.max_depth, n_train)],
+          params.max_depth, n_train, digest, __version__)],
         "target_transform string, embed_model string, dim int, feature_order array<string>, "
-        "n_members int, num_trees int, max_depth int, n_train bigint",
+        "n_members int, num_trees int, max_depth int, n_train bigint, data_digest string, code_version string",
     ).withColumn("trained_at", F.current_timestamp())
 
 
 def save_model(model_dir: str, features: FundingFeaturesModel, model: Model, meta: DataFrame) -> None:
-    """Pipeline parts and one-row metadata (JSON) under ``model_dir/pipeline``.
+    """A ``PipelineModel`` under ``model_dir/pipeline/model`` and one-row metadata (JSON) beside it.
 
     ``model`` is an ensemble or any fitted ``pyspark.ml`` regressor, which has no uncertainty.
     """
     base = os.path.join(model_dir, "pipeline")
-    features.save(os.path.join(base, "features"))
-    uncertainty = isinstance(model, ForestEnsembleModel)
-    if uncertainty:
-        model.save(os.path.join(base, "members"))
-    else:
-        model.write().overwrite().save(os.path.join(base, "plain"))
-    meta.withColumn("uncertainty", F.lit(uncertainty)).coalesce(1).write.mode("overwrite").json(os.path.join(base, "meta"))
+    PipelineModel([features, model]).write().overwrite().save(os.path.join(base, "model"))
+    meta.withColumn("uncertainty", F.lit(isinstance(model, ForestEnsembleModel))) \
+        .coalesce(1).write.mode("overwrite").json(os.path.join(base, "meta"))
 
 
 @dataclass
@@ -382,12 +444,10 @@ def load_model(spark: SparkSession, model_dir: str) -> LoadedModel:
         return _load_legacy(spark, model_dir, None)
     try:
         meta = spark.read.json(os.path.join(base, "meta")).first().asDict()
-        loaded = LoadedModel("pipeline", meta, FundingFeaturesModel.load(spark, os.path.join(base, "features")))
-        if meta.get("uncertainty", True):
-            loaded.ensemble = ForestEnsembleModel.load(os.path.join(base, "members"), int(meta["n_members"]))
-        else:
-            loaded.plain = load_fitted(os.path.join(base, "plain"))
-        return loaded
+        features, model = PipelineModel.load(os.path.join(base, "model")).stages
+        if isinstance(model, ForestEnsembleModel):
+            return LoadedModel("pipeline", meta, features, ensemble=model)
+        return LoadedModel("pipeline", meta, features, plain=model)
     except Exception as exc:  # noqa: BLE001 - the reason is kept, not swallowed
         return _load_legacy(spark, model_dir, f"pipeline unusable: {exc}")
 
@@ -422,9 +482,10 @@ def train_funding_model(catalog: DataFrame, model_dir: str, params: TrainParams
     metrics = valid_p.agg(
         F.count(F.lit(1)).cast("bigint").alias("n_validation"),
         F.sqrt(F.avg(F.pow(F.col("label") - F.col("mean_log"), 2))).alias("rmse_log"))
-    n_train = train_x.count()
+    named = train.agg(F.count(F.lit(1)).alias("n"), data_digest(train).alias("digest")).first()
+    n_train = named["n"]
     level = calibration_table(valid_p, "label", "mean_log", "std_log", (INTERVAL_LEVEL,)).first()
-    meta = _meta_frame(spark, params, n_train, encoder, feats.dim).withColumn(
+    meta = _meta_frame(spark, params, n_train, encoder, feats.getDim(), named["digest"]).withColumn(
         "z_calibrated", F.lit(level["z_calibrated"] if level else None).cast("double"))
     save_model(model_dir, feats, ens, meta)
     result = metrics.select(F.lit(n_train).cast("bigint").alias("n_train"), "n_validation",
@@ -453,12 +514,11 @@ PREDICTION_COLUMNS = ("predicted_amount", "confidence", "error", "lower", "upper
 
 def _pipeline_predictions(inputs: DataFrame, loaded: LoadedModel, encoder, calibrated: bool = False) -> DataFrame:
     transform = loaded.meta.get("target_transform")
-    feats = loaded.features
-    feats.encoder, feats.dim = encoder, int(loaded.meta.get("dim") or ENCODER_DIM)
+    feats = loaded.features.with_encoder(encoder)
     x = feats.transform(inputs)
     if loaded.plain is not None:                       # no spread, hence no bounds
         m = loaded.plain
-        scored = m.transform(x, {m.featuresCol: feats.out_col, m.predictionCol: "_pred"})
+        scored = m.transform(x, {m.featuresCol: feats.getOutputCol(), m.predictionCol: "_pred"})
         amount, lower, upper = inverse_target("_pred", transform), F.lit(None).cast("double"), F.lit(None).cast("double")
     else:
         scored = loaded.ensemble.predict_with_uncertainty(x)

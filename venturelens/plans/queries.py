@@ -819,7 +819,8 @@ def q_save_model(spark, sf):
     """Saved metadata, with the sizes of the saved count tables."""
     d = trained_model_dir(spark, sf)
     feats = M.load_model(spark, d).features
-    meta = spark.read.json(os.path.join(d, "pipeline", "meta")).drop("trained_at", "feature_order", "z_calibrated")
+    meta = spark.read.json(os.path.join(d, "pipeline", "meta")).drop(
+        "trained_at", "feature_order", "z_calibrated", "data_digest", "code_version")
     n = F.count(F.lit(1))
     return meta.select("*", feats.city_counts.agg(n).scalar().alias("n_cities"),
                        feats.industry_counts.agg(n).scalar().alias("n_industries"))

@@ -8,12 +8,14 @@ driver.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from venturelens.operators.fingerprints import Hashed, fingerprint, fingerprinted, group_counts
 from venturelens.operators.joins import computed_once
 from venturelens.operators.quantiles import exact_quantiles
 from venturelens.session import ensure_checkpoint_dir
@@ -68,71 +70,96 @@ def _numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def describe_all(df: DataFrame, cols: list[str] | None = None, digits: int = 6) -> DataFrame:
+def numeric_summary(df: DataFrame, cols: list[str]) -> dict[str, dict]:
+    """n, mean, std, lo, hi, q1, median, q3 of each numeric column, in one aggregate and one exact quantile job.
+
+    One record per column reaches the driver; the charts that need ranges or quartiles take it from here.
+    """
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"n_{i}"), F.avg(x).alias(f"mean_{i}"), F.stddev_samp(x).alias(f"std_{i}"),
+                 F.min(x).alias(f"lo_{i}"), F.max(x).alias(f"hi_{i}")]
+    row = df.agg(*aggs).first()
+    # all columns stacked (column, value): one quantile job for every column
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("e")).select("e.*")
+    quartiles = {r["column"]: r for r in exact_quantiles(stacked, "v", [0.25, 0.5, 0.75], ["column"]).collect()}
+    out = {}
+    for i, c in enumerate(cols):
+        out[c] = {k: row[f"{k}_{i}"] for k in ("n", "mean", "std", "lo", "hi")}
+        out[c] |= {k: quartiles[c][f"q_{j}"] if c in quartiles else None for j, k in enumerate(("q1", "median", "q3"))}
+    return out
+
+
+#: Names of the statistics of P2 and their places in ``numeric_summary``.
+_DESCRIBED = (("count", "n"), ("mean", "mean"), ("std", "std"), ("min", "lo"), ("25%", "q1"), ("50%", "median"),
+              ("75%", "q3"), ("max", "hi"))
+_DESCRIBE_SCHEMA = "column string, stat string, num_value double, text_value string"
+
+
+def describe_texts(df: DataFrame, cols: list[str], hashed: Hashed = fingerprint) -> DataFrame:
+    """count, unique, top, freq of text columns as (column, stat, num_value, text_value); null values do not count.
+
+    Values are counted by fingerprint; the texts of the most frequent ones alone are fetched.
+    """
+    spark = df.sparkSession
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in cols]))
+        .alias("e")).select("e.*").where(F.col("text").isNotNull())
+    rows = fingerprinted(stacked, ["column"], ["text"], hashed)
+    groups = group_counts(rows, ["column"], ["text"])
+    stats = {r["column"]: r for r in groups.groupBy("column").agg(
+        F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), F.max("n").alias("freq")).collect()}
+    # the most frequent values, ties to the smaller one; where all occur once, simply the smallest
+    once = [c for c, r in stats.items() if r["freq"] == 1]
+    tops = []
+    if once:
+        tops.append(stacked.where(F.col("column").isin(once)).select("column", "text"))
+    if len(once) < len(stats):
+        most = F.coalesce(*[F.when(F.col("column") == c, F.lit(r["freq"])) for c, r in stats.items()])
+        tied = groups.where((F.col("n") == most) & (F.col("n") > 1))
+        tops.append(rows.join(tied.where("value IS NULL"), ["column", "_a", "_b"], "left_semi").select("column", "text"))
+        tops.append(tied.where("value IS NOT NULL").select("column", "value.text"))
+    top = {}
+    if tops:
+        every = functools.reduce(DataFrame.unionByName, tops)
+        top = {r["column"]: r["top"] for r in every.groupBy("column").agg(F.min("text").alias("top")).collect()}
+    out = []
+    for c, r in stats.items():
+        out += [(c, "count", float(r["count"]), None), (c, "unique", float(r["unique"]), None),
+                (c, "top", None, top[c]), (c, "freq", float(r["freq"]), None)]
+    return spark.createDataFrame(out, _DESCRIBE_SCHEMA)
+
+
+def describe_all(df: DataFrame, cols: list[str] | None = None, digits: int = 6,
+                 summary: dict[str, dict] | None = None) -> DataFrame:
     """Numeric count/mean/std/min/quartiles/max; text count/unique/top/freq.
 
     Long form (column, stat, num_value, text_value).  Quartiles are exact
     (linear interpolation, skew-safe ``exact_quantiles``), ``top`` breaks ties
-    by the smaller value.
+    by the smaller value.  A column without values has no quartiles, a text column without values no row.
+    ``summary`` is a ``numeric_summary`` that is already at hand.
     """
     cols = cols or df.columns
     nums = [c for c in cols if c in _numeric(df)]
     texts = [c for c in cols if c not in nums]
     parts = []
     if nums:
-        aggs = []
-        for i, c in enumerate(nums):
-            x = F.col(c).cast("double")
-            aggs += [F.count(x).alias(f"count_{i}"), F.avg(x).alias(f"mean_{i}"),
-                     F.stddev_samp(x).alias(f"std_{i}"), F.min(x).alias(f"min_{i}"),
-                     F.max(x).alias(f"max_{i}")]
-        row = df.agg(*aggs)
-        entries = []
-        for i, c in enumerate(nums):
-            stats = [("count", F.col(f"count_{i}").cast("double")), ("mean", F.col(f"mean_{i}")),
-                     ("std", F.col(f"std_{i}")), ("min", F.col(f"min_{i}")), ("max", F.col(f"max_{i}"))]
-            entries += [F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"),
-                                 F.round(v, digits).alias("num_value"),
-                                 F.lit(None).cast("string").alias("text_value")) for s, v in stats]
-        parts.append(row.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
-        # all numeric columns stacked (column, value): one quantile job for every column
-        stacked = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in nums]))
-            .alias("e")).select("e.*")
-        qs = exact_quantiles(stacked, "v", [0.25, 0.5, 0.75], ["column"])
-        qe = [F.struct(F.col("column"), F.lit(name).alias("stat"),
-                       F.round(F.col(f"q_{j}"), digits).alias("num_value"),
-                       F.lit(None).cast("string").alias("text_value"))
-              for j, name in enumerate(("25%", "50%", "75%"))]
-        parts.append(qs.select(F.explode(F.array(*qe)).alias("e")).select("e.*"))
+        summary = summary or numeric_summary(df, nums)
+        rows = [(c, stat, None if summary[c][k] is None else float(summary[c][k]), None)
+                for c in nums for stat, k in _DESCRIBED if summary[c]["n"] or "%" not in stat]
+        parts.append(df.sparkSession.createDataFrame(rows, _DESCRIBE_SCHEMA)
+                     .withColumn("num_value", F.round("num_value", digits)))
     if texts:
-        # all text columns stacked (column, value): one shuffle for every column
-        stacked = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in texts]))
-            .alias("e")).select("e.*").where(F.col("value").isNotNull())
-        counts = stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        # top: the most frequent value, ties to the smaller value
-        s = counts.groupBy("column").agg(
-            F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
-            F.min_by(F.col("value"), F.struct(-F.col("n"), F.col("value"))).alias("top"),
-            F.max("n").alias("freq"))
-        entries = [F.struct(F.col("column"), F.lit(st).alias("stat"), v.alias("num_value"),
-                            t.alias("text_value"))
-                   for st, v, t in [("count", F.col("count").cast("double"), F.lit(None).cast("string")),
-                                    ("unique", F.col("unique").cast("double"), F.lit(None).cast("string")),
-                                    ("top", F.lit(None).cast("double"), F.col("top").cast("string")),
-                                    ("freq", F.col("freq").cast("double"), F.lit(None).cast("string"))]]
-        parts.append(s.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        parts.append(describe_texts(df, texts))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
-def duplicate_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Rows equal to an earlier row (null equals null), as one count."""
+def duplicate_rows(df: DataFrame, cols: list[str] | None = None, hashed: Hashed = fingerprint) -> DataFrame:
+    """Rows equal to an earlier row (null equals null), as one count; rows are counted by fingerprint."""
     cols = cols or df.columns
-    return (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    return (group_counts(fingerprinted(df, [], cols, hashed), [], cols)
             .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("n_duplicates")))
 
 
@@ -170,9 +197,12 @@ def auto_bins(n: int, lo: float, hi: float, iqr: float) -> int:
     return sturges
 
 
-def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
-    """P5: equal-width bins over [min, max], empty ones too; the last bin is closed."""
-    s = _stats_row(df, col)
+def histogram(df: DataFrame, col: str, bins: int | None = None, summary: dict | None = None) -> DataFrame:
+    """P5: equal-width bins over [min, max], empty ones too; the last bin is closed.
+
+    ``summary`` is the column's record of ``numeric_summary`` where it is already at hand.
+    """
+    s = summary | {"iqr": summary["q3"] - summary["q1"] if summary["n"] else None} if summary else _stats_row(df, col)
     if s["n"] == 0:
         return df.sparkSession.createDataFrame([], "bin bigint, lo double, hi double, n bigint")
     nb = bins or auto_bins(s["n"], s["lo"], s["hi"], s["iqr"])
@@ -187,7 +217,7 @@ def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
                          F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def kde_curve(df: DataFrame, col: str, points: int = 200, cut: float = 3.0) -> DataFrame:
+def kde_curve(df: DataFrame, col: str, points: int = 200, cut: float = 3.0, summary: dict | None = None) -> DataFrame:
     """Gaussian KDE (Scott bandwidth) on an even grid of ``points``.
 
     Each value contributes to every grid point: the rows are fanned out over
@@ -196,7 +226,7 @@ def kde_curve(df: DataFrame, col: str, points: int = 200, cut: float = 3.0) -> D
     partition reach the shuffle.  This keeps the aggregate inside whole-stage
     codegen (200 separate ``sum`` columns did not) and was ~10x faster.
     """
-    s = _stats_row(df, col, with_iqr=False)
+    s = summary or _stats_row(df, col, with_iqr=False)
     n, std = s["n"], s["std"]
     if not n or not std or std <= 0:
         return df.sparkSession.createDataFrame([], "point int, x double, density double")
@@ -281,14 +311,18 @@ def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def binned_scatter(df: DataFrame, pairs: list[tuple[str, str]], bins: int = 10) -> DataFrame:
+def binned_scatter(df: DataFrame, pairs: list[tuple[str, str]], bins: int = 10,
+                   summary: dict[str, dict] | None = None) -> DataFrame:
     """2-D bin counts per column pair (rows where both values are present), in one pass.
 
     A column paired with itself gives its histogram, the diagonal of a pair plot.
     """
     cols = sorted({c for p in pairs for c in p})
-    r = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo_{c}") for c in cols],
-               *[F.max(F.col(c).cast("double")).alias(f"hi_{c}") for c in cols]).first()
+    if summary:
+        r = {f"{k}_{c}": summary[c][k] for c in cols for k in ("lo", "hi")}
+    else:
+        r = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo_{c}") for c in cols],
+                   *[F.max(F.col(c).cast("double")).alias(f"hi_{c}") for c in cols]).first()
 
     def idx(c):
         lo, hi = r[f"lo_{c}"], r[f"hi_{c}"]

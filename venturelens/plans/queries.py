@@ -29,7 +29,7 @@ from venturelens.schema import (
     CATALOG_HEADERS, COPY_LABEL, DEFAULT_K, FEATURE_MISSING_TOKEN, MISSING_REASONING, NO_ANALYSIS_REASONING,
     TRAINING_DEFAULTS, UNIQUE_LABEL, VALIDATION_PERCENT, YearBounds,
 )
-from venturelens.session import shared_path
+from venturelens.session import shared_path, written
 from venturelens.sources.bindings import (
     CATALOG_SQL, IDEAS_SQL, MEMBER_PREDICTIONS_SQL, VERDICTS_SQL, binding, table,
 )
@@ -567,7 +567,8 @@ def _describe_sql() -> str:
 
 @register("describe_all", PREFIX + "\n" + _describe_sql())
 def q_describe_all(spark, sf):
-    return P.describe_all(cleaned_catalog(spark, sf), DESCRIBE_NUM + DESCRIBE_TEXT, digits=4)
+    cols = DESCRIBE_NUM + DESCRIBE_TEXT
+    return P.describe_all(written(cleaned_catalog(spark, sf).select(*cols), "described"), cols, digits=4)   # joined once
 
 
 DUP_COLS = list(O.RAW_COLS)
@@ -577,7 +578,7 @@ DUP_COLS = list(O.RAW_COLS)
 SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicates FROM (
   SELECT count(*) AS n FROM scanned GROUP BY {', '.join(DUP_COLS)}) t""")
 def q_duplicate_rows(spark, sf):
-    return P.duplicate_rows(scanned_catalog(spark, sf), DUP_COLS)
+    return P.duplicate_rows(written(scanned_catalog(spark, sf).select(*DUP_COLS), "scanned"), DUP_COLS)   # joined once
 
 
 @register("head", PREFIX + "\nSELECT id, company, funding, city FROM clean ORDER BY id LIMIT 5")
@@ -977,8 +978,11 @@ def _profile_union_sql() -> str:
 @register("catalog_profile", PREFIX + _profile_union_sql())
 def q_catalog_profile(spark, sf):
     """Every chart table and statistic of the profile as (section, name, stat, value, text) rows."""
-    s = scanned_catalog(spark, sf)
+    # the joined and scanned rows are stored once; every table below reads them
+    s = written(scanned_catalog(spark, sf), "profiled")
     c = clean_catalog(s)
+    nums = sorted({x for pair in SCATTER_PAIRS for x in pair} | set(DESCRIBE_NUM) | {"funding"})
+    known = P.numeric_summary(c, nums)
 
     def part(df, section, name, *stats):
         e = F.array(*[F.struct(F.lit(st).alias("stat"), F.col(st).cast("double").alias("value")) for st in stats])
@@ -986,7 +990,7 @@ def q_catalog_profile(spark, sf):
                 .select("section", "name", "e.stat", "e.value", F.lit(None).cast("string").alias("text")))
 
     parts = [
-        P.describe_all(c, DESCRIBE_NUM + DESCRIBE_TEXT, digits=4).select(
+        P.describe_all(c, DESCRIBE_NUM + DESCRIBE_TEXT, digits=4, summary=known).select(
             F.lit("describe").alias("section"), F.col("column").alias("name"), "stat",
             F.col("num_value").alias("value"), F.col("text_value").alias("text")),
         P.head(c, "id", 5).select(F.lit("head").alias("section"), F.col("id").cast("string").alias("name"),
@@ -998,12 +1002,12 @@ def q_catalog_profile(spark, sf):
         part(P.count_top_categories(s, "industries_raw"), "count industries", "industries_raw", "n"),
         part(P.value_counts(s, "funding_round"), "count funding_round", "funding_round", "n"),
         part(P.mean_by_group_top(c, "city", "funding"), "mean by city", "city", "mean_value"),
-        part(P.histogram(c, "funding"), "histogram funding", "bin", "n"),
-        part(P.kde_curve(c, "funding"), "kde funding", "point", "density"),
+        part(P.histogram(c, "funding", summary=known["funding"]), "histogram funding", "bin", "n"),
+        part(P.kde_curve(c, "funding", summary=known["funding"]), "kde funding", "point", "density"),
         part(P.box_stats(c, "funding", "funding_round"), "box funding", "funding_round", *BOX_STATS),
         part(P.bar_of_top_rows(c, "funding", "city"), "bar of top rows", "city", "mean_value", "n", "std_value"),
         part(P.correlation_matrix(c, CORR_COLS).withColumn("name", F.concat_ws("|", "x", "y")), "correlation", "name", "corr"),
-        part(P.binned_scatter(c, SCATTER_PAIRS, 10).withColumn("name", F.concat_ws("|", "x", "y", "bx", "by")),
+        part(P.binned_scatter(c, SCATTER_PAIRS, 10, known).withColumn("name", F.concat_ws("|", "x", "y", "bx", "by")),
              "scatter", "name", "n"),
     ]
     out = parts[0]

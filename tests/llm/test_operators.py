@@ -492,3 +492,43 @@ def test_wide_sketches_bound_the_symmetric_difference():
         apart = len(set(x.tolist()) ^ set(y.tolist()))
         d = parity_join.wide_distance(parity_join.wide_sketch(x), parity_join.wide_sketch(y))
         assert d <= apart and d >= 0.5 * min(apart, max(len(x), len(y)))
+
+
+@pytest.mark.parametrize("bound", [7, 1 << 19])
+def test_block_pairs_against_every_pair(monkeypatch, bound):
+    """Blocks compared together give what each pair of each block gives alone, whatever the bound; forests are least ones."""
+    monkeypatch.setattr(parity_join, "PAIRS", bound)
+    rng = np.random.default_rng(bound)
+    sim = parity_join.Similarity(5, 80)
+    rows = {c: [] for c in ("key", "i", "j", "chunk", "node", "component", "n", "f0", "f1")}
+    for key in range(12):
+        i, j = (0, 0) if key % 3 else (0, 1)
+        for node in range(rng.integers(1, 14)):
+            for c, v in zip(rows, (key, i, j, rng.integers(0, 2) if j else 0, 100 * key + node, rng.integers(0, 5), rng.integers(20, 40),
+                                   rng.integers(0, 8), -rng.integers(1, 4))):
+                rows[c].append(int(v))
+    rows = {c: np.array(v, np.int64) for c, v in rows.items()}
+    near = {}
+    for x in range(len(rows["key"])):
+        for y in range(x):
+            p, q = ({c: int(v[z]) for c, v in rows.items()} for z in (x, y))
+            apart = sum(((p[f] ^ q[f]) & (2 ** 64 - 1)).bit_count() for f in ("f0", "f1"))
+            if (p["key"] == q["key"] and p["component"] != q["component"] and (p["i"] == p["j"] or p["chunk"] != q["chunk"])
+                    and 100 * min(p["n"], q["n"]) >= 80 * max(p["n"], q["n"]) and 180 * apart <= 20 * (p["n"] + q["n"])):
+                near[p["node"], q["node"]] = (p["key"], p["component"], q["component"], apart * 1000 // (p["n"] + q["n"]))
+    got = [pair for a, b in parity_join.block_pairs(rows, ["f0", "f1"], sim, False) for pair in zip(a.tolist(), b.tolist())]
+    assert len(near) > 30 and sorted(got) == sorted(near)
+    kept = [near[pair] for a, b in parity_join.block_pairs(rows, ["f0", "f1"], sim, True) for pair in zip(a.tolist(), b.tolist())]
+    root, least = {}, []
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for key, u, v, weight in sorted(near.values(), key=lambda r: r[3]):
+        u, v = find((key, u)), find((key, v))
+        if u != v:
+            root[u] = v
+            least.append(weight)
+    assert len(kept) == len(least) and sum(r[3] for r in kept) == sum(least)

@@ -52,13 +52,14 @@ from pyspark.sql import functions as F
 import xxhash
 
 from venturelens.llm.components import components, split_join
+from venturelens.llm.components import forest as smallest
 from venturelens.llm.textkit import mix64, ranges, slices, words
 from venturelens.session import discard, written
 
 #: 64-bit words of the sketch that rejects candidates, and the most members of a bucket in one block.
 FOLD_WORDS, BLOCK = 8, 1024
-#: Keys that a task combines at a time.
-COMBINE = 2_000_000
+#: Keys that a task combines, and pairs of a block that it compares, at a time.
+COMBINE, PAIRS = 2_000_000, 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -317,21 +318,75 @@ def _verified(pairs: DataFrame, docs: DataFrame, sim: Similarity, sparing: bool)
 
 
 def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Places of the pairs that make a least spanning forest of the graph of all pairs."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.get(x, x) != x:
-            root[x] = x = root.get(root[x], root[x])
-        return x
-
-    keep = []
-    for i in np.lexsort((b, a, weight)).tolist():
-        x, y = find(int(a[i])), find(int(b[i]))
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep.append(i)
-    return np.array(keep, np.int64)
+    """Places of the pairs that make a least spanning forest of the graph of all pairs, by ascending (weight, a, b)."""
+    order = np.lexsort((b, a, weight))
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[:len(a)][order], ends[len(a):][order]
+    root, live, keep = np.arange(len(nodes)), np.arange(len(order)), [np.zeros(0, np.int64)]
+    while True:
+        u, v = root[x[live]], root[y[live]]
+        live, u, v = (c[u != v] for c in (live, u, v))
+        if not len(live):
+            return order[np.sort(np.concatenate(keep))]
+        # each tree takes its first pair to another one
+        first = np.full(len(nodes), len(order))
+        np.minimum.at(first, u, live)
+        np.minimum.at(first, v, live)
+        keep.append(np.unique(first[first < len(order)]))
+        inner, low = smallest(root[x[keep[-1]]], root[y[keep[-1]]])
+        lower = np.arange(len(nodes))
+        lower[inner] = low
+        root = lower[root]
+
+
+def _close(rows: dict[str, np.ndarray], folds: list[str], x: np.ndarray, y: np.ndarray, sim: Similarity) -> tuple[np.ndarray, ...]:
+    """Of the places x, y of two members each: those whose sketches allow a link, and how far apart these are."""
+    n, comp, chunk = rows["n"], rows["component"], rows["chunk"]
+    ok = (comp[x] != comp[y]) & ((rows["i"][x] == rows["j"][x]) | (chunk[x] != chunk[y]))
+    x, y = x[ok], y[ok]
+    apart = np.zeros(len(x), np.int64)
+    for c in folds:
+        apart += np.bitwise_count((rows[c][x] ^ rows[c][y]).view(np.uint64))
+    ok = (100 + sim.percent) * apart <= (100 - sim.percent) * (n[x] + n[y])
+    return x[ok], y[ok], apart[ok]
+
+
+def block_pairs(rows: dict[str, np.ndarray], folds: list[str], sim: Similarity, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(larger, smaller) nodes of the pairs within each block of ``rows`` (whole blocks, one after the other), about PAIRS looked at at a time."""
+    change = np.zeros(len(rows["key"]), np.int64)
+    for c in ("key", "i", "j"):
+        change[1:] |= rows[c][1:] != rows[c][:-1]
+    block = np.cumsum(change)
+    order = np.lexsort((rows["n"], block))
+    rows, n, block = {c: v[order] for c, v in rows.items()}, rows["n"][order], block
+    sizes, rank = np.unique(n, return_inverse=True)
+    # partners are later members of the block that are not too large
+    limit = np.searchsorted(sizes, n * 100 // sim.percent, side="right")
+    far = np.searchsorted(block * (len(sizes) + 1) + rank, block * (len(sizes) + 1) + limit)
+    at = np.arange(len(n))
+    todo = np.maximum(far - at - 1, 0)
+    done = np.concatenate([[0], np.cumsum(todo)])
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(n)]])
+    run = 0
+    while run < len(starts) - 1:
+        # as many whole blocks as hold PAIRS, one at least
+        to = max(run + 1, int(np.searchsorted(done[starts], done[starts[run]] + PAIRS, side="right")) - 1)
+        found = []
+        p, last = starts[run], starts[to]
+        while p < last:
+            q = max(p + 1, min(last, int(np.searchsorted(done, done[p] + PAIRS, side="right")) - 1))
+            found.append(_close(rows, folds, np.repeat(at[p:q], todo[p:q]), ranges(at[p:q] + 1, todo[p:q]), sim))
+            p = q
+        x, y, apart = (np.concatenate(c) for c in zip(*found))
+        if forest and len(x):
+            # components of different blocks are different nodes of the forest
+            comps, comp = np.unique(rows["component"], return_inverse=True)
+            tree = block * len(comps) + comp
+            keep = spanning(tree[x], tree[y], apart * 1000 // (n[x] + n[y]))
+            x, y = x[keep], y[keep]
+        node = rows["node"]
+        yield np.maximum(node[x], node[y]), np.minimum(node[x], node[y])
+        run = to
 
 
 def _across(members: DataFrame, sim: Similarity, forest: bool) -> DataFrame:
@@ -341,55 +396,34 @@ def _across(members: DataFrame, sim: Similarity, forest: bool) -> DataFrame:
     """
     folds = [c for c in members.columns if c.startswith("f")]
 
-    def pairs_of(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(group["n"], kind="stable")
-        n, comp, node, chunk = (group[c][order] for c in ("n", "component", "node", "chunk"))
-        fold = np.stack([group[c][order] for c in folds], 1).view(np.uint64)
-        one_chunk = group["i"][0] == group["j"][0]
-        found_a, found_b, found_x, found_y, found_d = ([np.zeros(0, np.int64)] for _ in range(5))
-        far = np.searchsorted(n, n * 100 // sim.percent, side="right")
-        for x in range(len(n)):
-            y = np.arange(x + 1, far[x])
-            y = y[(comp[y] != comp[x]) & (one_chunk | (chunk[y] != chunk[x]))]
-            if len(y):
-                apart = np.bitwise_count(fold[y] ^ fold[x]).sum(1, dtype=np.int64)
-                near = (100 + sim.percent) * apart <= (100 - sim.percent) * (n[y] + n[x])
-                y = y[near]
-                found_a.append(np.maximum(node[y], node[x]))
-                found_b.append(np.minimum(node[y], node[x]))
-                if forest:
-                    found_x.append(np.full(len(y), comp[x]))
-                    found_y.append(comp[y])
-                    found_d.append(apart[near] * 1000 // (n[y] + n[x]))
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        if forest and len(a):
-            keep = spanning(np.concatenate(found_x), np.concatenate(found_y), np.concatenate(found_d))
-            a, b = a[keep], b[keep]
-        return a, b
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: list[dict[str, np.ndarray]] = []
 
-        def split(data):
-            change = np.zeros(len(data["key"]), bool)
-            for c in ("key", "i", "j"):
-                change[1:] |= data[c][1:] != data[c][:-1]
-            edges = [0, *np.flatnonzero(change), len(change)]
-            return [{c: v[x:y] for c, v in data.items()} for x, y in zip(edges, edges[1:]) if y > x]
+        def found(parts):
+            rows = {c: np.concatenate([p[c] for p in parts]) for c in members_columns}
+            if len(rows["key"]):
+                for a, b in block_pairs(rows, folds, sim, forest):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            data = {c: batch.column(c).to_numpy() for c in batch.schema.names}
-            if held:
-                data = {c: np.concatenate([held[c], v]) for c, v in data.items()}
-            *done, held = split(data) or [{}]
-            for g in done:
-                a, b = pairs_of(g)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            data = {c: batch.column(c).to_numpy() for c in members_columns}
+            if not batch.num_rows:
+                continue
+            other = np.zeros(batch.num_rows, bool)
+            for c in ("key", "i", "j"):
+                other |= data[c] != data[c][-1]
+            last = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+            same = held and not last and all(held[-1][c][-1] == data[c][-1] for c in ("key", "i", "j"))
+            if same:        # the block goes on
+                held.append(data)
+                continue
+            yield from found([*held, {c: v[:last] for c, v in data.items()}])
+            held = [{c: v[last:] for c, v in data.items()}]
         if held:
-            a, b = pairs_of(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield from found(held)
 
+    members_columns = list(members.columns)
     return (members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
             .mapInArrow(run, "a bigint, b bigint").distinct())
 

@@ -1,7 +1,8 @@
 """Input bindings over the driver tables.
 
 Each binding is one SQL statement that runs unchanged in Spark SQL and DuckDB,
-so the Spark side and the oracle side read exactly the same input.  The
+so the Spark side and the oracle side read exactly the same input.  Spark runs two
+of them with the joins in another order or dealt over more tasks (``_PLANS``), for the same rows.  The
 modulo expressions below plant dirty values (nulls, currency text, sentinel
 strings) into the clean driver columns; no binding drops or caps rows.
 """
@@ -88,6 +89,34 @@ BINDINGS = {
 }
 
 
+#: The same rows as CATALOG_SQL, joined narrow tables first: the texts go through one exchange instead of three.
+_CATALOG_NARROW_FIRST = CATALOG_SQL.split("FROM documents d")[0] + """FROM orders o
+JOIN part p ON p.p_partkey = o.o_orderkey
+JOIN customer cu ON cu.c_custkey = o.o_custkey
+JOIN nation n ON n.n_nationkey = cu.c_nationkey
+JOIN documents d ON d.doc_id = o.o_orderkey
+"""
+
+#: Rows of lineitem and orders that one task joins and groups.
+TASK_ROWS = 500_000
+
+
+def _members_by_order(spark: SparkSession, sf_dir: str) -> str:
+    """MEMBER_PREDICTIONS_SQL with both tables dealt by order over as many tasks as their rows need.
+
+    The join, this grouping and any grouping by id after it run in those tasks, so a task's memory does not
+    grow with the tables.  The counts come from the files' footers.
+    """
+    rows = sum(table(spark, sf_dir, name).count() for name in ("lineitem", "orders"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return MEMBER_PREDICTIONS_SQL.replace("FROM lineitem l JOIN orders o", f"""
+FROM (SELECT /*+ REPARTITION({tasks}, l_orderkey) */ l_orderkey, l_linenumber, l_extendedprice FROM lineitem) l
+JOIN (SELECT /*+ REPARTITION({tasks}, o_orderkey) */ o_orderkey, o_totalprice FROM orders) o""")
+
+
+#: How Spark runs a binding, where another order of the same joins moves fewer bytes.
+_PLANS = {"catalog": lambda spark, sf_dir: _CATALOG_NARROW_FIRST, "member_predictions": _members_by_order}
+
 _SCANS: dict[tuple[int, str], DataFrame] = {}
 _VIEWS: dict[tuple[int, str], str] = {}
 
@@ -124,7 +153,7 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
 def binding(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One binding as a DataFrame, analysed against the tables of ``sf_dir``."""
     register_tables(spark, sf_dir)
-    return spark.sql(BINDINGS[name])
+    return spark.sql(_PLANS[name](spark, sf_dir) if name in _PLANS else BINDINGS[name])
 
 
 def with_bindings(sql: str, *names: str) -> str:

@@ -4,8 +4,11 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
+from venturelens.operators.fingerprints import fingerprint, fingerprinted, group_counts
+from venturelens.operators.profile import describe_texts
 from venturelens.sources import bindings
 
 
@@ -48,3 +51,37 @@ def test_member_predictions_take_more_tasks_for_more_rows(spark, star, monkeypat
     assert got.rdd.getNumPartitions() == -(-(36 + 9) // 3)      # lineitem and orders
     plan = got.groupBy("id").agg(F.avg("pred"))._jdf.queryExecution().executedPlan().toString()
     assert set(re.findall(r"Exchange hashpartitioning\([^,]*, (\d+)\), (\w+)", plan)) == {("15", "REPARTITION_BY_NUM")}
+
+
+def test_catalog_texts_go_through_one_exchange(spark, star):
+    """Texts are joined last, with rows that hold no text."""
+    plan = bindings.binding(spark, star, "catalog")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    scans = [line for line in plan.splitlines() if "Relation" in line]
+    assert len(joins) == 4 and "doc_id" in joins[0] and not any("doc_id" in j for j in joins[1:]) and "text" in scans[-1]
+
+
+def test_equal_texts_are_counted_without_a_join(spark, monkeypatch):
+    df = spark.createDataFrame([("long " * 50 + str(i % 4), i % 2) for i in range(40)], "s string, n int")
+
+    def no_join(*args, **kw):
+        raise AssertionError("texts joined")
+
+    rows = fingerprinted(df, [], ["s", "n"], fingerprint)
+    monkeypatch.setattr(DataFrame, "join", no_join)
+    got = group_counts(rows, [], ["s", "n"])
+    assert [r.n for r in got.collect()] == [10] * 4 and got.where("value IS NOT NULL").isEmpty()
+
+
+def test_few_of_many_tied_texts_are_fetched(spark, monkeypatch):
+    texts = [f"{i:03d} {'x' * 40}" for i in range(300)] + ["é"]
+    df = spark.createDataFrame([(t,) for t in texts * 2], "s string")
+    fetched, join = [], DataFrame.join
+
+    def spied(self, other, *args, **kw):
+        fetched.append(other.count())
+        return join(self, other, *args, **kw)
+
+    monkeypatch.setattr(DataFrame, "join", spied)
+    got = {r.stat: r.num_value if r.text_value is None else r.text_value for r in describe_texts(df, ["s"]).collect()}
+    assert got == {"count": 602.0, "unique": 301.0, "freq": 2.0, "top": texts[0]} and fetched == [1]

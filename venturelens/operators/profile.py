@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from venturelens.operators.fingerprints import Hashed, fingerprint, fingerprinted, group_counts
+from venturelens.operators.fingerprints import Hashed, fingerprint, fingerprinted, group_counts, group_starts
 from venturelens.operators.joins import computed_once
 from venturelens.operators.quantiles import exact_quantiles
-from venturelens.session import ensure_checkpoint_dir
+from venturelens.session import ensure_checkpoint_dir, written
 
 # ---------------------------------------------------------------------------
 # A4-A6 categories
@@ -101,14 +101,14 @@ _DESCRIBE_SCHEMA = "column string, stat string, num_value double, text_value str
 def describe_texts(df: DataFrame, cols: list[str], hashed: Hashed = fingerprint) -> DataFrame:
     """count, unique, top, freq of text columns as (column, stat, num_value, text_value); null values do not count.
 
-    Values are counted by fingerprint; the texts of the most frequent ones alone are fetched.
+    Values are counted by fingerprint; of the most frequent ones those of the smallest first bytes alone are fetched.
     """
     spark = df.sparkSession
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in cols]))
         .alias("e")).select("e.*").where(F.col("text").isNotNull())
     rows = fingerprinted(stacked, ["column"], ["text"], hashed)
-    groups = group_counts(rows, ["column"], ["text"])
+    groups = group_starts(rows, ["column"], ["text"])
     stats = {r["column"]: r for r in groups.groupBy("column").agg(
         F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), F.max("n").alias("freq")).collect()}
     # the most frequent values, ties to the smaller one; where all occur once, simply the smallest
@@ -119,12 +119,17 @@ def describe_texts(df: DataFrame, cols: list[str], hashed: Hashed = fingerprint)
     if len(once) < len(stats):
         most = F.coalesce(*[F.when(F.col("column") == c, F.lit(r["freq"])) for c, r in stats.items()])
         tied = groups.where((F.col("n") == most) & (F.col("n") > 1))
+        # however many are tied, the smallest has the smallest first bytes: few values are fetched
+        least = {r["column"]: r["first"] for r in tied.groupBy("column").agg(F.min("first").alias("first")).collect()}
+        tied = written(tied.where(F.coalesce(*[F.when(F.col("column") == c, F.col("first") == p) for c, p in least.items()])), "tied")
         tops.append(rows.join(tied.where("value IS NULL"), ["column", "_a", "_b"], "left_semi").select("column", "text"))
         tops.append(tied.where("value IS NOT NULL").select("column", "value.text"))
     top = {}
     if tops:
         every = functools.reduce(DataFrame.unionByName, tops)
-        top = {r["column"]: r["top"] for r in every.groupBy("column").agg(F.min("text").alias("top")).collect()}
+        # without a grouping key, which would sort the texts
+        top = every.agg(*[F.min(F.when(F.col("column") == c, F.col("text"))).alias(f"top_{i}") for i, c in enumerate(stats)]).first()
+        top = {c: top[f"top_{i}"] for i, c in enumerate(stats)}
     out = []
     for c, r in stats.items():
         out += [(c, "count", float(r["count"]), None), (c, "unique", float(r["unique"]), None),

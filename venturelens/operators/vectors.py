@@ -39,6 +39,9 @@ from venturelens.schema import DEFAULT_K, ENCODER_DIM, TOKEN_SPLIT_PATTERN
 # V1 embed_text
 # ---------------------------------------------------------------------------
 
+#: Text and rows that a task tokenises at a time, and words whose bucket it remembers.
+RUN_BYTES, RUN_ROWS, CACHED_WORDS = 4 << 20, 4096, 400_000
+
 
 def embed_text(df: DataFrame, text_col: str, id_col: str, out_col: str = "embedding",
                dim: int = ENCODER_DIM,
@@ -88,30 +91,31 @@ def _hashed_words_batches(dim: int):
     double, then rounded to float.
 
     Tokenising, distinct-word lookup and counting run in Arrow / NumPy kernels
-    over the whole batch; Python only hashes each distinct word once per task
-    (a per-task cache), so the cost does not grow with words per document.
+    over runs of rows of bounded bytes (``_text_runs``); Python only hashes each
+    distinct word once while a cache of CACHED_WORDS holds it.  So a task's memory
+    depends neither on its rows nor on how many distinct words they have.
     """
     import hashlib
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def _encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict[str, int] = {}
-        for texts in batches:
+
+        def vectors(texts: pa.Array) -> np.ndarray:
             n = len(texts)
-            words = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")),
-                                           TOKEN_SPLIT_PATTERN)
+            words = pc.split_pattern_regex(pc.ascii_lower(texts), TOKEN_SPLIT_PATTERN)
             per_row = pc.list_value_length(words).to_numpy(zero_copy_only=False)
             coded = pc.dictionary_encode(pc.list_flatten(words))
             if isinstance(coded, pa.ChunkedArray):
                 coded = coded.combine_chunks()
             vocab = coded.dictionary.to_pylist()
-            if len(cache) > 2_000_000:
-                cache.clear()
             bucket = np.empty(len(vocab), dtype=np.int64)
             for j, w in enumerate(vocab):
                 b = cache.get(w)
                 if b is None:
                     b = int(hashlib.md5(w.encode("ascii")).hexdigest()[:8], 16) % dim if w else -1
+                    if len(cache) >= CACHED_WORDS:
+                        cache.clear()
                     cache[w] = b
                 bucket[j] = b
             tok_bucket = bucket[coded.indices.to_numpy(zero_copy_only=False)]
@@ -120,14 +124,31 @@ def _hashed_words_batches(dim: int):
             counts = np.bincount(tok_row[keep] * dim + tok_bucket[keep],
                                  minlength=n * dim).reshape(n, dim).astype(np.float64)
             norm = np.sqrt(np.einsum("ij,ij->i", counts, counts))
-            vec = np.divide(counts, norm[:, None], out=np.zeros_like(counts),
-                            where=norm[:, None] > 0).astype(np.float32)
+            return np.divide(counts, norm[:, None], out=np.zeros_like(counts),
+                             where=norm[:, None] > 0).astype(np.float32)
+
+        for texts in batches:
+            n = len(texts)
+            vec = np.empty((n, dim), np.float32)
+            for at, to in _text_runs(texts):
+                vec[at:to] = vectors(pc.fill_null(texts.slice(at, to - at), ""))
             offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
             yield pa.ListArray.from_arrays(offsets, pa.array(vec.ravel()))
 
     return _encode
 
 
+def _text_runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First and last place (exclusive) of runs of rows with at most RUN_BYTES of text and RUN_ROWS rows; one row at least."""
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    at = 0
+    while at < len(texts):
+        to = min(at + RUN_ROWS, int(np.searchsorted(size, size[at] + RUN_BYTES, side="right")) - 1)
+        to = max(at + 1, to)
+        yield at, to
+        at = to
+
+
 def with_embedding(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = ENCODER_DIM,
                    encoder: Callable[[pd.Series], list] | None = None) -> DataFrame:
     """Add the vector of ``text_col`` as a column, row by row (map only)."""
@@ -170,6 +191,11 @@ def l2_distance(a: Column | str, b: Column | str) -> Column:
 
 _CAND_SCHEMA = "idea_id long, id long, dist2 double"
 
+#: Distances that a task holds at a time.
+PRODUCT = 1 << 20
+#: Bounds of the block grid: cells a core before blocks grow, and the rows up to which they do.
+CELLS_PER_CORE, MOST_IDEA_ROWS, MOST_CATALOG_ROWS = 16, 4096, 32768
+
 
 def _as_matrix(col: pd.Series) -> np.ndarray:
     if len(col) == 0:
@@ -225,6 +251,7 @@ def _block_topk(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
     n = len(c_ids)
     kk = min(k, n)
     m = min(n, k + pad)
+    chunk = max(1, min(chunk, PRODUCT // n))
     for s in range(0, len(q_ids), chunk):
         qb, qid = q[s:s + chunk], q_ids[s:s + chunk]
         rows = np.arange(len(qid))[:, None]
@@ -323,15 +350,30 @@ def _broadcast_scan(spark, local: pd.DataFrame, cat: DataFrame, k: int,
     return cat.mapInArrow(scan, _CAND_SCHEMA)
 
 
+def grid_shape(n_q: int, n_c: int, idea_block_rows: int, catalog_block_rows: int, cores: int) -> tuple[int, int]:
+    """Blocks of ideas and of catalog rows, about as many rows each as asked for.
+
+    A grid of very many cells costs more in copies of the rows and in cells than in comparisons.  Beyond CELLS_PER_CORE
+    cells a core, blocks are doubled, the smaller side first, up to the rows of the default blocks
+    (MOST_IDEA_ROWS, MOST_CATALOG_ROWS), which bound a task's memory.
+    """
+    while (math.ceil(n_q / idea_block_rows) * math.ceil(n_c / catalog_block_rows) > CELLS_PER_CORE * cores
+           and (idea_block_rows < MOST_IDEA_ROWS or catalog_block_rows < MOST_CATALOG_ROWS)):
+        if idea_block_rows < MOST_IDEA_ROWS and (idea_block_rows <= catalog_block_rows or catalog_block_rows >= MOST_CATALOG_ROWS):
+            idea_block_rows = min(2 * idea_block_rows, MOST_IDEA_ROWS)
+        else:
+            catalog_block_rows = min(2 * catalog_block_rows, MOST_CATALOG_ROWS)
+    return max(1, math.ceil(n_q / idea_block_rows)), max(1, math.ceil(n_c / catalog_block_rows), cores)
+
+
 def _block_grid(q: DataFrame, cat: DataFrame, k: int, exclude_self: bool,
                 idea_block_rows: int, catalog_block_rows: int,
                 min_catalog_blocks: int | None) -> DataFrame:
     spark = q.sparkSession
     n_q = q.count()
     n_c = cat.count()
-    ib = max(1, math.ceil(n_q / idea_block_rows))
-    cb = max(1, math.ceil(n_c / catalog_block_rows),
-             min_catalog_blocks or spark.sparkContext.defaultParallelism)
+    ib, cb = grid_shape(n_q, n_c, idea_block_rows, catalog_block_rows,
+                        min_catalog_blocks or spark.sparkContext.defaultParallelism)
     qg = (q.withColumn("ib", F.pmod(F.xxhash64("idea_id"), F.lit(ib)).cast("int"))
           .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
     cg = (cat.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(cb)).cast("int"))

@@ -3,10 +3,12 @@ import datetime
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
+from venturelens.operators import model, vectors
 from venturelens.operators.fingerprints import fingerprint, fingerprinted, group_counts
 from venturelens.operators.profile import describe_texts
 from venturelens.sources import bindings
@@ -85,3 +87,60 @@ def test_few_of_many_tied_texts_are_fetched(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "join", spied)
     got = {r.stat: r.num_value if r.text_value is None else r.text_value for r in describe_texts(df, ["s"]).collect()}
     assert got == {"count": 602.0, "unique": 301.0, "freq": 2.0, "top": texts[0]} and fetched == [1]
+
+
+def test_training_tasks_follow_cores_not_partitions(spark, tmp_path, monkeypatch):
+    """Every task of a forest shuffles the statistics of all nodes, however few rows it has."""
+    seen, cores = [], spark.sparkContext.defaultParallelism
+    fit = model.ForestEnsemble.fit
+
+    def spied(self, df, *args):
+        seen.append(df.rdd.getNumPartitions())
+        return fit(self, df, *args)
+
+    monkeypatch.setattr(model.ForestEnsemble, "fit", spied)
+    catalog = spark.createDataFrame(
+        [(i, f"word{i % 7} other", 2000.0 + i % 9, 1.0, float(i % 5), "city", "a,b", 10.0 + i) for i in range(400)],
+        "id long, description string, starting_year double, founders_count double, employees_count double, city string, "
+        "industries string, funding double").repartition(40)
+    params = model.TrainParams(n_members=2, num_trees=2, max_depth=2)
+    got = model.train_funding_model(catalog, str(tmp_path / "m"), params).first()
+    assert got.n_train + got.n_validation == 400 and seen and max(seen) <= cores
+    assert model.training_tasks(10, 4) == 4 and model.training_tasks(9 * model.TRAIN_TASK_ROWS, 4) == 9
+
+
+def test_text_runs_are_bounded_and_whole(spark, monkeypatch):
+    texts = ["x" * n for n in (5, 0, 900, 3, 3, 3, 2000, 1)] + [None, "word Word"] + ["y"] * 40
+    monkeypatch.setattr(vectors, "RUN_BYTES", 1000)
+    monkeypatch.setattr(vectors, "RUN_ROWS", 16)
+    runs = list(vectors._text_runs(pa.array(texts)))
+    assert [at for at, _ in runs] == [0, *(to for _, to in runs[:-1])] and runs[-1][1] == len(texts)
+    assert all(to - at <= 16 and (to - at == 1 or sum(len(t or "") for t in texts[at:to]) <= 1000) for at, to in runs)
+    assert list(vectors._text_runs(pa.array([], pa.string()))) == []
+
+
+def test_long_texts_give_the_vectors_of_the_sql_form(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 5000}" for j in range(9000 * (i % 3)))) for i in range(90)] + [(90, None)]      # several runs
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    a = {r.id: r.embedding for r in vectors.embed_text(df, "text", "id").collect()}
+    b = {r.id: r.embedding for r in vectors.embed_text(df, "text", "id", method="sql").collect()}
+    assert a == b and len(a) == 91
+
+
+def test_grid_blocks_grow_with_the_tables_up_to_a_bound():
+    assert vectors.grid_shape(1000, 1000, 128, 256, 8) == (8, 8)            # as asked
+    assert vectors.grid_shape(0, 0, 128, 256, 8) == (1, 8)
+    for n in (10_000, 60_000, 1_000_000):
+        ib, cb = vectors.grid_shape(n, n, 128, 256, 12)
+        full = -(-n // vectors.MOST_IDEA_ROWS) * -(-n // vectors.MOST_CATALOG_ROWS)
+        assert n / ib <= vectors.MOST_IDEA_ROWS and n / cb <= vectors.MOST_CATALOG_ROWS
+        assert ib * cb <= max(vectors.CELLS_PER_CORE * 12, full, 12 * ib)
+
+
+def test_grid_of_grown_blocks_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELLS_PER_CORE", 1)
+    rows = [(i, [float((i * j) % 13) for j in range(1, 6)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    ideas = df.withColumnRenamed("id", "idea_id")
+    grid = vectors.top_k_similar(ideas, df, 4, True, broadcast_budget_bytes=0, idea_block_rows=8, catalog_block_rows=8)
+    assert rows_of(grid) == rows_of(vectors.top_k_similar(ideas, df, 4, True))

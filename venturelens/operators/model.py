@@ -32,6 +32,7 @@ from venturelens.operators.joins import computed_once
 from venturelens.operators.ml_io import StoredStage
 from venturelens.operators.quantiles import exact_quantiles
 from venturelens.operators.vectors import with_embedding
+from venturelens.session import discard, written
 from venturelens.schema import (
     BASELINE_CONFIDENCE, ENCODER_DIM, ENSEMBLE_MEMBERS, ERROR_CONFIDENCE, FEATURE_MISSING_TOKEN,
     FEATURE_ORDER, INTERVAL_LEVEL, MEMBER_SEED_BASE, MIN_FUNDED_ROWS, NO_MODEL_ERROR, SPLIT_SEED,
@@ -393,6 +394,19 @@ class TrainParams:
     seed: int = SPLIT_SEED
 
 
+#: Training rows of one task beyond which there are more tasks than cores.
+TRAIN_TASK_ROWS = 1_000_000
+
+
+def training_tasks(rows: int, cores: int) -> int:
+    """Most tasks of the training rows.
+
+    At each level of its trees a forest shuffles, from every task, the statistics of every open node (features x
+    bins), whatever the task's rows.  So the bytes follow the number of tasks, not that of rows.
+    """
+    return max(1, cores, math.ceil(rows / TRAIN_TASK_ROWS))
+
+
 def data_digest(df: DataFrame) -> Column:
     """Aggregate that names the rows of ``df`` whatever their order: the sum of their 64-bit hashes, as text."""
     return F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string")
@@ -471,19 +485,21 @@ def train_funding_model(catalog: DataFrame, model_dir: str, params: TrainParams
     """
     spark = catalog.sparkSession
     funded = min_rows_guard(funded_only(catalog), params.min_rows)
-    data = funded.select("id", "description", "starting_year", "founders_count", "employees_count",
-                         "city", "industries", F.log1p("funding").alias("label"))
+    # stored: the training reads it six times
+    data = written(funded.select("id", "description", "starting_year", "founders_count", "employees_count",
+                                 "city", "industries", F.log1p("funding").alias("label")), "training")
     train, valid = split_train_validation(data, "id", params.validation_percent, params.seed)
     feats = FundingFeatures(encoder=encoder).fit(train)
-    train_x = feats.transform(train).select("id", "features", "label").persist()
+    named = train.agg(F.count(F.lit(1)).alias("n"), data_digest(train).alias("digest")).first()
+    n_train = named["n"]
+    train_x = feats.transform(train).select("id", "features", "label").coalesce(
+        training_tasks(n_train, spark.sparkContext.defaultParallelism)).persist()
     ens = ForestEnsemble(params.n_members, params.num_trees, params.max_depth).fit(train_x)
     valid_p = ens.predict_with_uncertainty(feats.transform(valid).select("id", "features", "label")).select(
         "label", "mean_log", "std_log").persist()
     metrics = valid_p.agg(
         F.count(F.lit(1)).cast("bigint").alias("n_validation"),
         F.sqrt(F.avg(F.pow(F.col("label") - F.col("mean_log"), 2))).alias("rmse_log"))
-    named = train.agg(F.count(F.lit(1)).alias("n"), data_digest(train).alias("digest")).first()
-    n_train = named["n"]
     level = calibration_table(valid_p, "label", "mean_log", "std_log", (INTERVAL_LEVEL,)).first()
     meta = _meta_frame(spark, params, n_train, encoder, feats.getDim(), named["digest"]).withColumn(
         "z_calibrated", F.lit(level["z_calibrated"] if level else None).cast("double"))
@@ -492,6 +508,7 @@ def train_funding_model(catalog: DataFrame, model_dir: str, params: TrainParams
                             F.round("rmse_log", 6).alias("rmse_log")).first()
     train_x.unpersist()
     valid_p.unpersist()
+    discard(data)
     return spark.createDataFrame([tuple(result)], "n_train bigint, n_validation bigint, rmse_log double")
 
 
@@ -502,6 +519,9 @@ def train_legacy_model(catalog: DataFrame, model_dir: str, num_trees: int = 20,
         F.log1p("funding").alias("label"),
         array_to_vector(F.concat(F.col("embedding").cast("array<double>"),
                                  F.array(F.col("starting_year").cast("double")))).alias("features"))
+    # stored: the rows are encoded once, and the forest's tasks are as many as the session's cores need
+    x = written(x, "legacy-training")
+    x = x.coalesce(training_tasks(x.count(), x.sparkSession.sparkContext.defaultParallelism))
     rf = RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth, seed=seed,
                                featureSubsetStrategy="all")
     rf.fit(x).write().overwrite().save(os.path.join(model_dir, "legacy", "model"))

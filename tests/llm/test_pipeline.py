@@ -2,6 +2,8 @@ import base64
 import re
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from common import jaccard_components
 from pyspark.sql import functions as F
 from venturelens.llm import byte_bpe, mixing, parity_join, stream_dedup
@@ -39,3 +41,26 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
     for stage in (stream_dedup.keep_one, parity_join.keep_one, mixing.mixed):
         assert stage(docs.limit(0)).columns == docs.columns and stage(docs.limit(0)).count() == 0
     assert len(corpus_pipeline.STAGES) == 5 and byte_bpe.LONG_TEXT > byte_bpe.PIECE
+
+
+def test_near_dedup_keeps_links_of_buckets_of_two(spark):
+    """A set whose only shared keys with each of two partners are theirs alone is linked with both, not with the nearest only."""
+    sim, rng = parity_join.Similarity(5, 80), np.random.default_rng(1)
+    found = []
+    while len(found) < 3:
+        base = rng.integers(0, 1 << 30, (4000, 11))
+        texts = [" ".join(map(str, r)) for part in (base[:, 1:-1], base[:, :-1], base[:, 1:]) for r in part]     # 5 shingles, and one more at an end
+        h, to = parity_join.shingle_sets(pa.array(texts), 5)
+        keys, codes = [], []
+        for a, b in zip(to[:-1], to[1:]):
+            keys.append(set(parity_join._part_keys(h[a:b], sim).tolist()))
+            codes.append(int.from_bytes(parity_join._set_id(h[a:b])[:8], "little", signed=True))
+        for i in range(4000):
+            mid, left, right = i, 4000 + i, 8000 + i
+            if codes[mid] > max(codes[left], codes[right]) and not keys[mid] & keys[left] & keys[right]:
+                found.append([texts[j] for j in (left, right, mid)])
+    rows = [(10 * n + k, t) for n, group in enumerate(found) for k, t in enumerate(group)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for sparing in (False, True):
+        got = {r.doc_id: r.component_id for r in parity_join.join(docs, sim, sparing).collect()}
+        assert got == {d: d // 10 * 10 for d, _ in rows}, sparing

@@ -26,7 +26,8 @@ The verified links make components.  Then
 a bucket whose members still lie in several components has its
 members of different components compared by sketch, in blocks of bounded
 size: first a least spanning forest of the pairs that pass is verified, which joins
-nearly all components that are to be joined; then every pair that still passes.
+nearly all components that are to be joined; then every pair that still passes (with ``sparing`` buckets of
+two as well, whose members need not have been each other's nearest).
 Members of one component need no further
 comparison, so a large group of near copies costs few pairs, and no link between
 two components is lost.  Of buckets with the same members one is compared.  Verification intersects the whole sets.
@@ -258,9 +259,9 @@ def wide_sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def wide_distance(x: bytes, y: bytes) -> int:
+def wide_distance(x: bytes | pa.Buffer, y: bytes | pa.Buffer) -> int:
     """Hamming distance of two sketches, the longer folded to the length of the shorter; at most the symmetric difference."""
-    x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
     while len(y) > len(x):
         y = y[:len(y) // 2] ^ y[len(y) // 2:]
     return int(np.bitwise_count(x ^ y).sum())
@@ -287,10 +288,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, sim: Similarity, sparing: bool)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y, p, q in zip(*(batch.column(c).to_pylist() for c in ("a_wide", "b_wide", "a_size", "b_size"))):
-                good.append((100 + sim.percent) * wide_distance(x, y) <= (100 - sim.percent) * (p + q))
-            mask = pa.array(good, pa.bool_())
+            total = batch.column("a_size").to_numpy() + batch.column("b_size").to_numpy()
+            # one pair of sketches at a time, read where Arrow holds them
+            apart = np.fromiter((wide_distance(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("a_wide"), batch.column("b_wide"))),
+                                np.int64, batch.num_rows)
+            mask = pa.array((100 + sim.percent) * apart <= (100 - sim.percent) * total)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     wide = {s: whole.select(F.col("node").alias(s), F.col("wide").alias(f"{s}_wide"), (F.octet_length("hashes") / 8).cast("long").alias(f"{s}_size"))
@@ -367,25 +369,35 @@ def block_pairs(rows: dict[str, np.ndarray], folds: list[str], sim: Similarity,
     todo = np.maximum(far - at - 1, 0)
     done = np.concatenate([[0], np.cumsum(todo)])
     starts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(n)]])
+    node = rows["node"]
+    comps, comp = np.unique(rows["component"], return_inverse=True)
+    tree = block * len(comps) + comp
+
+    def ends(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.maximum(node[x], node[y]), np.minimum(node[x], node[y])
+
     run = 0
     while run < len(starts) - 1:
         # as many whole blocks as hold PAIRS, one at least
         to = max(run + 1, int(np.searchsorted(done[starts], done[starts[run]] + PAIRS, side="right")) - 1)
-        found = []
+        held = tuple(np.zeros(0, np.int64) for _ in range(3))
         p, last = starts[run], starts[to]
         while p < last:
             q = max(p + 1, min(last, int(np.searchsorted(done, done[p] + PAIRS, side="right")) - 1))
-            found.append(_close(rows, folds, np.repeat(at[p:q], todo[p:q]), ranges(at[p:q] + 1, todo[p:q]), sim))
+            found = _close(rows, folds, np.repeat(at[p:q], todo[p:q]), ranges(at[p:q] + 1, todo[p:q]), sim)
             p = q
-        x, y, apart = (np.concatenate(c) for c in zip(*found))
-        if forest and len(x):
-            # components of different blocks are different nodes of the forest
-            comps, comp = np.unique(rows["component"], return_inverse=True)
-            tree = block * len(comps) + comp
-            keep = spanning(tree[x], tree[y], apart * 1000 // (n[x] + n[y]))
-            x, y = x[keep], y[keep]
-        node = rows["node"]
-        yield np.maximum(node[x], node[y]), np.minimum(node[x], node[y])
+            if not forest:
+                yield ends(*found[:2])
+                continue
+            # the forest of all pairs is that of the forest so far and the new ones
+            held = tuple(np.concatenate(c) for c in zip(held, found))
+            x, y, apart = held
+            if len(x):
+                # components of different blocks are different nodes of the forest
+                keep = spanning(tree[x], tree[y], apart * 1000 // (n[x] + n[y]))
+                held = x[keep], y[keep], apart[keep]
+        if forest:
+            yield ends(*held[:2])
         run = to
 
 
@@ -428,13 +440,17 @@ def _across(members: DataFrame, sim: Similarity, forest: bool) -> DataFrame:
             .mapInArrow(run, "a bigint, b bigint").distinct())
 
 
-def _blocks(members: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members (key, node) of the buckets that hold several components, in blocks of at most 2 * BLOCK."""
+def _blocks(members: DataFrame, comp: DataFrame, classes: DataFrame, sparing: bool = False) -> DataFrame:
+    """Members (key, node) of the buckets that hold several components, in blocks of at most 2 * BLOCK.
+
+    The first round has compared a bucket of two, unless it was ``sparing``: then the larger member has met its nearest
+    partner alone, which another bucket may have given it.
+    """
     placed = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # a bucket of two has been compared; one component needs no more links; of buckets with the same members one is enough
+    # one component needs no more links; of buckets with the same members one is enough
     open_keys = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"),
                                            F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-                 .where("lo <> hi AND m > 2").groupBy("m", "x", "y").agg(F.min("key").alias("key"))
+                 .where(f"lo <> hi AND m > {1 if sparing else 2}").groupBy("m", "x", "y").agg(F.min("key").alias("key"))
                  .select("key", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("chunks")))
     return (placed.join(open_keys, "key")
             .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
@@ -467,7 +483,7 @@ def join(docs: DataFrame, sim: Similarity = Similarity(), sparing: bool = False)
                       .select("key", F.col("rep").alias("node")), "join-members")
     discard(met, first)
     for forest in (True, False):
-        second = written(_across(_blocks(members, comp, classes), sim, forest), "join-pairs")
+        second = written(_across(_blocks(members, comp, classes, sparing), sim, forest), "join-pairs")
         if second.isEmpty():
             discard(second)
             break

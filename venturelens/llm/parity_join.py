@@ -60,7 +60,7 @@ from venturelens.session import discard, written
 #: 64-bit words of the sketch that rejects candidates, and the most members of a bucket in one block.
 FOLD_WORDS, BLOCK = 8, 1024
 #: Keys that a task combines, and pairs of a block that it compares, at a time.
-COMBINE, PAIRS = 2_000_000, 1 << 19
+COMBINE, PAIRS = 500_000, 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -107,11 +108,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool
             for text in batch.column("text"):
                 ids = codec.encode(text.as_py() or "")
                 rows.append((len(ids), hashlib.sha256(",".join(map(name, ids)).encode()).hexdigest(),
-                             hashlib.sha256(codec.decode(ids)).hexdigest()) if digests else (len(ids), ids))
-            kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.int64(), pa.list_(pa.int32())]
-            columns = list(zip(*rows)) or [()] * len(kinds)
+                             hashlib.sha256(codec.decode(ids)).hexdigest()) if digests
+                            # four bytes an id: a slice's ids as Python numbers took some 100 MB
+                            else (len(ids), np.array(ids, np.int32)))
+            sizes, *rest = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=out)
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(
+                    (pa.array(c, pa.string()) for c in rest) if digests else
+                    [pa.ListArray.from_arrays(pa.array(np.cumsum((0, *sizes)), pa.int32()), pa.array(np.concatenate(rest[0])))])], names=out)
 
     out = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids"])]
     kind = dict(docs.dtypes)["doc_id"]

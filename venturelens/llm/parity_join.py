@@ -19,6 +19,13 @@ of the equal parts has shingles.  A set with more empty parts gives those keys
 as well, so no pair is lost.  A set whose partner may be in the next band gives
 keys for both.
 
+*Sections.*  512 bits tell long sets apart no more: sets of 1,152 shingles that share nothing
+differ in no more bits than linked ones may.  A band of long sets therefore divides the hash
+range into sections of at most 512 shingles on average, and its parts evenly among them.  In one section at
+least a linked pair differs by no more than the sections' average, hence has an equal
+part there: the pigeonhole holds within that section.  A key names its section, and the
+members of its bucket are compared by the 512-bit sketches of that section alone.
+
 *Links.*  Equal sets are one class, represented by its smallest doc_id.  In a
 first round every member of a key's bucket meets the bucket's smallest member
 (as many candidates as members; with ``sparing`` each set's nearest alone).
@@ -59,8 +66,13 @@ from venturelens.session import discard, written
 
 #: 64-bit words of the sketch that rejects candidates, and the most members of a bucket in one block.
 FOLD_WORDS, BLOCK = 8, 1024
+#: Most sections of a band, and the bits of a key that name one: the heap number, sections + place.
+SECTIONS = 1 << 11
+NAMED = 2 * SECTIONS - 1
 #: Keys that a task combines, and pairs of a block that it compares, at a time.
 COMBINE, PAIRS = 500_000, 1 << 18
+#: Bytes of text whose shingles a task makes at a time.
+SLICE = 2 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,12 +91,19 @@ class Similarity:
         """Bands in which a set of this size gives keys: its own and those of larger partners."""
         return range(bisect_left(_TOPS, size), bisect_left(_TOPS, size * 100 // self.percent) + 1)
 
+    def sections(self, band: int) -> int:
+        """Sections of a band: a power of two, one for sets that a sketch tells apart as a whole."""
+        return min(SECTIONS, 1 << ((_TOPS[band] - 1) // (64 * FOLD_WORDS)).bit_length())
+
     def parts(self, band: int) -> tuple[int, int]:
-        """Parts of a band and how many of them are spare."""
-        least = self.most_apart(2 * _TOPS[band]) + 1
-        low = _TOPS[band - 1] + 1 if band else 1
-        # half as many again as parts that stay empty, on average, in the band's smallest sets, and one
-        spare = 0 if least == 1 else 1 + math.ceil(1.5 * least * math.exp(-low / least))
+        """Parts of each section of a band and how many of them are spare."""
+        sections = self.sections(band)
+        least = self.most_apart(2 * _TOPS[band]) // sections + 1
+        low = (_TOPS[band - 1] + 1 if band else 1) / sections
+        # half as many again as parts that stay empty, on average, in the band's smallest sets, and one;
+        # of several sections none should have more
+        empty = least * math.exp(-low / least)
+        spare = 0 if least == 1 else 1 + math.ceil(max(1.5 * empty, empty + 3 * math.sqrt(empty) if sections > 1 else 0))
         return least + spare, spare
 
 
@@ -92,6 +111,8 @@ class Similarity:
 _TOPS = [1]
 while _TOPS[-1] < 1 << 40:
     _TOPS.append((_TOPS[-1] + 1) * 3 // 2)
+#: How many sections the band of a key has, by the section's heap number.
+_OF = np.array([0] + [1 << (c.bit_length() - 1) for c in range(1, NAMED + 1)])
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,22 +141,42 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _part_keys(h: np.ndarray, sim: Similarity) -> np.ndarray:
-    """The join keys of one sorted set."""
+    """The join keys of one sorted set; the lowest bits are the section's heap number."""
     out = []
     top = h >> np.uint64(32)
     bit = np.uint64(1) << (h & np.uint64(63))
     for band in sim.bands(len(h)):
-        parts, spare = sim.parts(band)
+        (each, spare), sections = sim.parts(band), sim.sections(band)
+        parts = each * sections
         part = (top * np.uint64(parts)) >> np.uint64(32)
         at = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
         base = (part[at] + np.uint64(band << 40)) * _ODD
-        out.append(mix64(base ^ mix64(np.bitwise_xor.reduceat(bit, at) * _ODD + np.bitwise_xor.reduceat(h, at))))
+        out.append(_named(mix64(base ^ mix64(np.bitwise_xor.reduceat(bit, at) * _ODD + np.bitwise_xor.reduceat(h, at))),
+                          part[at] // np.uint64(each), sections))
         if parts - len(at) > spare:
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[at])
-            out.append(mix64((empty + np.uint64(band << 40)) * _ODD ^ mix64(np.zeros(1, np.uint64))))
+            scarce = each - np.bincount((part[at] // np.uint64(each)).astype(np.int64), minlength=sections) > spare
+            empty = np.setdiff1d(np.flatnonzero(np.repeat(scarce, each)).astype(np.uint64), part[at])
+            out.append(_named(mix64((empty + np.uint64(band << 40)) * _ODD ^ mix64(np.zeros(1, np.uint64))),
+                              empty // np.uint64(each), sections))
     return np.concatenate(out)
 
 
+def _named(keys: np.ndarray, section: np.ndarray, sections: int) -> np.ndarray:
+    return keys & ~np.uint64(NAMED) | (section + np.uint64(sections))
+
+
+def section_folds(hashes: np.ndarray, least: int, most: int) -> bytes:
+    """Parity sketches of the sections that a set is divided into, ``least`` of them, twice as many and so on to ``most``: by heap number from ``least`` on."""
+    bit = (hashes >> np.uint64(7)) & np.uint64(64 * FOLD_WORDS - 1)
+    out = []
+    while least <= most:
+        section = ((hashes >> np.uint64(32)) * np.uint64(least)) >> np.uint64(32)
+        flips = np.bincount((section * np.uint64(64 * FOLD_WORDS) + bit).astype(np.int64), minlength=least * 64 * FOLD_WORDS) & 1
+        out.append(np.packbits(flips.astype(np.uint8)).tobytes())
+        least *= 2
+    return b"".join(out)
+
+
 def _usable(batch: pa.RecordBatch, size: np.ndarray) -> np.ndarray:
     return batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False) & (size > 0)
 
@@ -145,12 +186,15 @@ def _set_id(hashes: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """doc_id, n_shingles, set_id, code (half of set_id) and f0 .. f7 (the parity sketch)."""
+    """doc_id, n_shingles, set_id, code (half of set_id), f0 .. f7 (the parity sketch), least and sections.
+
+    ``sections`` holds the sketches of the sections of the bands in which the set gives keys, from the heap number ``least`` on.
+    """
     folds = [f"f{i}" for i in range(FOLD_WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 h, to = shingle_sets(part.column("text"), sim.n)
                 size = np.diff(to)
                 flips = np.bincount(np.repeat(np.arange(len(size)), size) * (64 * FOLD_WORDS)
@@ -159,13 +203,17 @@ def sketches(docs: DataFrame, sim: Similarity) -> DataFrame:
                 fold = np.packbits(flips.astype(np.uint8)).view(np.int64).reshape(len(size), FOLD_WORDS)
                 ids = [_set_id(h[a:b]) if ok else None for a, b, ok in zip(to[:-1], to[1:], _usable(part, size))]
                 codes = [None if i is None else int.from_bytes(i[:8], "little", signed=True) for i in ids]
+                ends = [(sim.sections(b[0]), sim.sections(b[-1])) for b in map(sim.bands, size.tolist())]
+                each = [fold[i].tobytes() if most == 1 else section_folds(h[to[i]:to[i + 1]], least, most) for i, (least, most) in enumerate(ends)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.array(codes, pa.int64()),
-                     *(pa.array(np.ascontiguousarray(fold[:, i])) for i in range(FOLD_WORDS))],
-                    names=["doc_id", "n_shingles", "set_id", "code", *folds])
+                     *(pa.array(np.ascontiguousarray(fold[:, i])) for i in range(FOLD_WORDS)),
+                     pa.array([least for least, _ in ends], pa.int64()), pa.array(each, pa.binary())],
+                    names=["doc_id", "n_shingles", "set_id", "code", *folds, "least", "sections"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, set_id binary, code bigint, " + ", ".join(f"{f} bigint" for f in folds))
+        run, "doc_id bigint, n_shingles bigint, set_id binary, code bigint, " + ", ".join(f"{f} bigint" for f in folds)
+        + ", least bigint, sections binary")
 
 
 def combine(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,7 +242,7 @@ def _keyed(docs: DataFrame, sim: Similarity) -> DataFrame:
                                               names=["key", "node", "hub"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 h, to = shingle_sets(part.column("text"), sim.n)
                 for a, b, ok in zip(to[:-1], to[1:], _usable(part, np.diff(to))):
                     if ok:
@@ -276,7 +324,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sim: Similarity, sparing: bool)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 h, to = shingle_sets(part.column("text"), sim.n)
                 sets = [h[x:y] for x, y in zip(to[:-1], to[1:])]
                 yield pa.RecordBatch.from_arrays(
@@ -343,18 +391,23 @@ def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def _close(rows: dict[str, np.ndarray], folds: list[str], x: np.ndarray, y: np.ndarray, sim: Similarity) -> tuple[np.ndarray, ...]:
     """Of the places x, y of two members each: those whose sketches allow a link, and how far apart these are."""
-    n, comp, chunk = rows["n"], rows["component"], rows["chunk"]
+    n, comp, chunk, sections = rows["n"], rows["component"], rows["chunk"], rows["sections"]
     ok = (comp[x] != comp[y]) & ((rows["i"][x] == rows["j"][x]) | (chunk[x] != chunk[y]))
     x, y = x[ok], y[ok]
     apart = np.zeros(len(x), np.int64)
     for c in folds:
         apart += np.bitwise_count((rows[c][x] ^ rows[c][y]).view(np.uint64))
+    apart *= sections[x]
     ok = (100 + sim.percent) * apart <= (100 - sim.percent) * (n[x] + n[y])
     return x[ok], y[ok], apart[ok]
 
 
 def block_pairs(rows: dict[str, np.ndarray], folds: list[str], sim: Similarity, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(larger, smaller) nodes of the pairs within each block of ``rows`` (whole blocks, one after the other), about PAIRS looked at at a time."""
+    """(larger, smaller) nodes of the pairs within each block of ``rows`` (whole blocks, one after the other), about PAIRS looked at at a time.
+
+    Sketches are of one of ``sections`` sections (without that column: of the whole set).
+    """
+    rows = {"sections": np.ones(len(rows["key"]), np.int64), **rows}
     change = np.zeros(len(rows["key"]), np.int64)
     for c in ("key", "i", "j"):
         change[1:] |= rows[c][1:] != rows[c][:-1]
@@ -404,24 +457,28 @@ def block_pairs(rows: dict[str, np.ndarray], folds: list[str], sim: Similarity,
 def _across(members: DataFrame, sim: Similarity, forest: bool) -> DataFrame:
     """Pairs of different components that share a block and may be linked; with ``forest`` a least spanning forest of them per block.
 
-    ``members``: block columns (key, i, j), chunk (its own), node, component, size, f0 ...
+    ``members``: block columns (key, i, j), chunk (its own), node, component, size n, fold (sketch of the key's section).
     """
-    folds = [c for c in members.columns if c.startswith("f")]
+    folds = [f"f{i}" for i in range(FOLD_WORDS)]
+    columns = [c for c in members.columns if c != "fold"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
 
         def found(parts):
-            rows = {c: np.concatenate([p[c] for p in parts]) for c in members_columns}
+            rows = {c: np.concatenate([p[c] for p in parts]) for c in [*columns, *folds]}
+            rows["sections"] = _OF[rows["key"] & NAMED]
             if len(rows["key"]):
                 for a, b in block_pairs(rows, folds, sim, forest):
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            data = {c: batch.column(c).to_numpy() for c in members_columns}
             if not batch.num_rows:
                 continue
+            data = {c: batch.column(c).to_numpy() for c in columns}
+            fold = np.frombuffer(b"".join(batch.column("fold").to_pylist()), np.int64).reshape(-1, FOLD_WORDS)
+            data |= {c: fold[:, i] for i, c in enumerate(folds)}
             other = np.zeros(batch.num_rows, bool)
             for c in ("key", "i", "j"):
                 other |= data[c] != data[c][-1]
@@ -435,7 +492,6 @@ def _across(members: DataFrame, sim: Similarity, forest: bool) -> DataFrame:
         if held:
             yield from found(held)
 
-    members_columns = list(members.columns)
     return (members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
             .mapInArrow(run, "a bigint, b bigint").distinct())
 
@@ -447,16 +503,19 @@ def _blocks(members: DataFrame, comp: DataFrame, classes: DataFrame, sparing: bo
     partner alone, which another bucket may have given it.
     """
     placed = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # one component needs no more links; of buckets with the same members one is enough
+    # one component needs no more links; of a section's buckets with the same members one is enough
+    section = F.col("key").bitwiseAND(NAMED)
     open_keys = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"),
                                            F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-                 .where(f"lo <> hi AND m > {1 if sparing else 2}").groupBy("m", "x", "y").agg(F.min("key").alias("key"))
+                 .where(f"lo <> hi AND m > {1 if sparing else 2}").groupBy("m", "x", "y", section).agg(F.min("key").alias("key"))
                  .select("key", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("chunks")))
     return (placed.join(open_keys, "key")
             .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            .join(classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"),
-                                 *(c for c in classes.columns if c.startswith("f"))), "node")
+            .join(classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "least", "sections"), "node")
+            # padded for a twin's keys, of which the set itself may not have the section
+            .withColumn("fold", F.expr(f"rpad(substring(sections, cast((key & {NAMED}) - least as int) * {8 * FOLD_WORDS} + 1, {8 * FOLD_WORDS}), {8 * FOLD_WORDS}, X'00')"))
+            .drop("least", "sections")
             .withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other", "chunks"))
 
 
@@ -467,7 +526,7 @@ def join(docs: DataFrame, sim: Similarity = Similarity(), sparing: bool = False)
     similarities, where the fixed sketch lets pairs of long texts pass.
     """
     every = written(sketches(docs, sim), "join-sketches")
-    same = [c for c in every.columns if c == "n_shingles" or c.startswith("f")]
+    same = [c for c in every.columns if c not in ("doc_id", "set_id", "code")]
     classes = written(every.where("set_id IS NOT NULL").groupBy("set_id", "code").agg(
         F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in same)), "join-classes")
     met = written(_met(_keyed(docs, sim)), "join-buckets")
